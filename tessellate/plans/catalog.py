@@ -6,7 +6,7 @@ import importlib
 
 from . import registry
 
-_MODULES = ["q_metrics"]
+_MODULES = ["q_metrics", "q_text"]
 
 
 def _load():
