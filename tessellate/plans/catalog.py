@@ -6,7 +6,7 @@ import importlib
 
 from . import registry
 
-_MODULES = ["q_metrics", "q_text"]
+_MODULES = ["q_metrics", "q_text", "q_labels"]
 
 
 def _load():
