@@ -6,7 +6,7 @@ import importlib
 
 from . import registry
 
-_MODULES = ["q_metrics", "q_text", "q_labels", "q_advantage"]
+_MODULES = ["q_metrics", "q_text", "q_labels", "q_advantage", "q_seq"]
 
 
 def _load():
