@@ -226,3 +226,23 @@ def scores(spark, sf_dir) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     return e.select("vec_id", F.slice("embedding", 1, 25).alias("scores"),
                     (F.col("label") % 7).cast("bigint").alias("domain_id"))
+
+
+def judge_inputs(spark, sf_dir):
+    """(predictions, question bank) for the judge flow.
+
+    Bank: benchmark items spread over the three QA datasets, answer = first
+    word; several items share an answer, so the bank has duplicate keys.
+    Predictions: assistant turns with the first word as gold; a fourth
+    dataset has no bank at all.
+    """
+    b = table(spark, sf_dir, "benchmark")
+    bank = b.select(_pick(["mimeqa", "siq2", "intentqa"], F.col("item_id") % 3).alias("dataset"),
+                    F.lower(F.split_part("text", F.lit(" "), F.lit(1))).alias("answer"),
+                    F.col("text").alias("question"), F.col("item_id").alias("ordinal"))
+    c = table(spark, sf_dir, "conversations").filter(F.col("role") == "assistant")
+    preds = c.select("conv_id", "turn",
+                     _pick(["mimeqa", "siq2", "intentqa", "other"], F.col("conv_id") % 4).alias("dataset"),
+                     F.col("text").alias("pred"),
+                     F.lower(F.split_part("text", F.lit(" "), F.lit(1))).alias("gold"))
+    return preds, bank

@@ -118,7 +118,13 @@ SELECT vec_id, embedding[1:25] AS scores, CAST(label % 7 AS BIGINT) AS domain_id
 
 
 def with_views(sql: str, *names: str) -> str:
-    ctes = ",\n".join(f"{n} AS ({VIEWS[n]})" for n in names)
+    """Prefix ``sql`` with CTEs for the named fixture views (names of base
+    tables are skipped); ``sql`` may continue the WITH list with ``, x AS``."""
+    known = [n for n in names if n in VIEWS]
+    body = sql.lstrip()
+    if not known:
+        return "WITH " + body[1:].lstrip() if body.startswith(",") else sql
+    ctes = ",\n".join(f"{n} AS ({VIEWS[n]})" for n in known)
     return f"WITH {ctes}\n{sql}"
 
 
