@@ -267,3 +267,8 @@ def accuracy(df: DataFrame, keys: Sequence[str], pred: str = "y_pred", true: str
 def label_names(spark) -> DataFrame:
     """LBL-10 dimension (global_index, label)."""
     return scheme.global_classes(spark).select("global_index", "label")
+
+
+def signature_counts(samples: DataFrame, sig: str = "modality_signature") -> DataFrame:
+    """MET-18: rows per modality signature (index build)."""
+    return samples.groupBy(sig).agg(F.count(F.lit(1)).alias("n"))

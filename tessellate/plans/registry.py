@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None, views: tuple[str, ...] = ()):
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = fn
         if sql is not None:
-            ORACLE[name] = with_views(sql, *views) if views else sql
+            ORACLE[name] = with_views(sql, *views)
         return fn
     return deco
 
