@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 IGNORE_INDEX = -100  # FIXED VALUE: label id ignored by the loss
 
@@ -72,7 +73,7 @@ def loss_mask(attention, prompt_len, total_len, max_len: int, shift: bool = Fals
     return m
 
 
-@F.arrow_udf("array<int>")
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
 def _position_ids_arrow(mask: pa.Array) -> pa.Array:
     lengths = pc.fill_null(pc.list_value_length(mask), 0).to_numpy().astype(np.int64)
     values = pc.list_flatten(mask).to_numpy(zero_copy_only=False).astype(np.int64)

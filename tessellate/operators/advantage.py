@@ -152,7 +152,8 @@ def task_mass(df: DataFrame, col: str = "adv") -> DataFrame:
         F.count(F.lit(1)).alias("cnt"))
 
 
-def task_density(mass: DataFrame, cfg: AdvantageConfig = AdvantageConfig()) -> DataFrame:
+def task_density(mass: DataFrame, cfg: AdvantageConfig = AdvantageConfig(),
+                 state: DataFrame | None = None) -> DataFrame:
     """ADV-07: rho per (step, task), its EMA (seeded with the first batch
     value, floored at eps) and the step references over tasks present:
     ``log_rho_ref`` (geometric) and ``rho_ref_arith``."""
@@ -163,7 +164,8 @@ def task_density(mass: DataFrame, cfg: AdvantageConfig = AdvantageConfig()) -> D
     else:
         raise ValueError(cfg.density)
     m = mass.withColumn("rho_batch", rb)
-    e = ema_fold(m, ["task"], "step", "rho_batch", cfg.beta_rho, seed="first", out="rho_ema")
+    init = state.select("task", F.col("rho_prev").alias("prev")) if state is not None else None
+    e = ema_fold(m, ["task"], "step", "rho_batch", cfg.beta_rho, seed="first", out="rho_ema", init_state=init)
     m = m.join(e, ["task", "step"]).withColumn("rho_ema", F.greatest(F.col("rho_ema"), F.lit(cfg.eps)))
     ref = m.groupBy("step").agg(F.avg(F.log("rho_ema")).alias("log_rho_ref"),
                                 F.avg("rho_ema").alias("rho_ref_arith"))
@@ -186,7 +188,8 @@ def rarity_boost(dens: DataFrame, cfg: AdvantageConfig = AdvantageConfig()) -> D
     return d.withColumn("k", F.exp(log_k))
 
 
-def task_scale(dens: DataFrame, cfg: AdvantageConfig = AdvantageConfig()) -> DataFrame:
+def task_scale(dens: DataFrame, cfg: AdvantageConfig = AdvantageConfig(),
+               state: DataFrame | None = None) -> DataFrame:
     """ADV-09: task scale per (step, task).
 
     geom: EMA (seed 0.0) of gamma*(log rho_ref - log rho) + log k, exp, clamp;
@@ -197,13 +200,15 @@ def task_scale(dens: DataFrame, cfg: AdvantageConfig = AdvantageConfig()) -> Dat
     rho = F.greatest(F.col("rho_ema"), F.lit(cfg.eps))
     if cfg.scaling == "geom":
         d = dens.withColumn("inst", cfg.gamma * (F.col("log_rho_ref") - F.log(rho)) + F.log("k"))
-        e = ema_fold(d, ["task"], "step", "inst", cfg.beta_logmult, seed=0.0, out="log_mult_ema")
+        init = state.select("task", F.col("scale_prev").alias("prev")) if state is not None else None
+        e = ema_fold(d, ["task"], "step", "inst", cfg.beta_logmult, seed=0.0, out="log_mult_ema", init_state=init)
         d = d.join(e, ["task", "step"])
         return d.withColumn("task_scale", _clamp(F.exp("log_mult_ema"), cfg.task_min, cfg.task_max))
     if cfg.scaling == "arith":
         d = dens.withColumn("inst", F.col("rho_ref_arith") / rho * F.col("k"))
+        init = state.select("task", F.col("scale_prev").alias("prev")) if state is not None else None
         e = ema_fold(d, ["task"], "step", "inst", cfg.beta_logmult, seed="first",
-                     clamp=(cfg.task_min, cfg.task_max), out="task_scale")
+                     clamp=(cfg.task_min, cfg.task_max), out="task_scale", init_state=init)
         return d.join(e, ["task", "step"])
     if cfg.scaling == "naive_density":
         return dens.withColumn("task_scale", _clamp(1.0 / rho, cfg.task_min, cfg.task_max))
@@ -230,7 +235,8 @@ def question_scale(df: DataFrame, cfg: AdvantageConfig = AdvantageConfig(), col:
     return j.select("step", "qid", s.alias("question_scale"))
 
 
-def group_relative_advantage(rollouts: DataFrame, cfg: AdvantageConfig = AdvantageConfig()) -> DataFrame:
+def group_relative_advantage(rollouts: DataFrame, cfg: AdvantageConfig = AdvantageConfig(),
+                             state: DataFrame | None = None, with_state: bool = False):
     """ADV-11: the full per-rollout advantage table.
 
     Columns: step, rollout_id, qid, task, dataset, raw, scaled, adv (after
@@ -239,15 +245,24 @@ def group_relative_advantage(rollouts: DataFrame, cfg: AdvantageConfig = Advanta
     base = rollouts.select("step", "rollout_id", "qid", "task", "dataset", "token_rewards")
     df = group_norm(minmax_scale(rollout_reward(base), cfg), cfg)
     df = responsibility(df, cfg)
-    dens = task_density(task_mass(df), cfg)
-    ts = task_scale(rarity_boost(dens, cfg), cfg).select("step", "task", "task_scale", "rho_ema",
-                                                         "log_rho_ref")
+    dens = task_density(task_mass(df), cfg, state)
+    ts_full = task_scale(rarity_boost(dens, cfg), cfg, state)
+    ts = ts_full.select("step", "task", "task_scale", "rho_ema", "log_rho_ref")
     qs = question_scale(df, cfg)
     out = df.join(ts, ["step", "task"], "left").join(qs, ["step", "qid"], "left")
     out = out.withColumn("task_scale", F.coalesce("task_scale", F.lit(1.0))) \
              .withColumn("question_scale", F.coalesce("question_scale", F.lit(1.0)))
-    return out.withColumn("advantage", F.col("adv") * F.col("task_scale") * F.col("question_scale")) \
-              .drop("token_rewards")
+    out = out.withColumn("advantage", F.col("adv") * F.col("task_scale") * F.col("question_scale")) \
+             .drop("token_rewards")
+    if not with_state:
+        return out
+    carried = "log_mult_ema" if cfg.scaling == "geom" else "task_scale"
+    new = (ts_full.groupBy("task").agg(F.max_by("rho_ema", "step").alias("rho_prev"),
+                                       F.max_by(carried, "step").alias("scale_prev")))
+    if state is not None:
+        new = state.select("task", "rho_prev", "scale_prev").join(new.select("task"), "task", "left_anti") \
+                   .unionByName(new)
+    return out, new
 
 
 def rollout_pos(df: DataFrame) -> DataFrame:

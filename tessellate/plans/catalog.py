@@ -6,7 +6,7 @@ import importlib
 
 from . import registry
 
-_MODULES = ["q_metrics", "q_text", "q_labels", "q_advantage", "q_seq", "q_prompts", "q_batch"]
+_MODULES = ["q_metrics", "q_text", "q_labels", "q_advantage", "q_seq", "q_prompts", "q_batch", "q_io"]
 
 
 def _load():
