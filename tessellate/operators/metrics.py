@@ -64,10 +64,10 @@ def class_prf(counts: DataFrame) -> DataFrame:
     """MET-02: precision, recall, f1, accuracy (= recall); x/0 = 0."""
     p = safe_div(F.col("tp"), F.col("tp") + F.col("fp"))
     r = safe_div(F.col("tp"), F.col("tp") + F.col("fn"))
-    return (counts.withColumn("precision", p).withColumn("recall", r)
-            .withColumn("f1", safe_div(2 * F.col("precision") * F.col("recall"),
-                                       F.col("precision") + F.col("recall")))
-            .withColumn("accuracy", F.col("recall")))
+    out = counts.withColumns({"precision": p, "recall": r})
+    return out.withColumns({"f1": safe_div(2 * F.col("precision") * F.col("recall"),
+                                           F.col("precision") + F.col("recall")),
+                            "accuracy": F.col("recall")})
 
 
 _KINDS = ("precision", "recall", "f1", "accuracy")
@@ -81,13 +81,13 @@ def set_metrics(prf: DataFrame, keys: Sequence[str] = ("dataset",)) -> DataFrame
     aggs += [F.sum("tp").alias("_tp"), F.sum("fp").alias("_fp"), F.sum("fn").alias("_fn"),
              F.sum("support").alias("_n")]
     g = prf.groupBy(*keys).agg(*aggs) if keys else prf.agg(*aggs)
-    for k in _KINDS:
-        g = g.withColumn(f"weighted_{k}", safe_div(F.col(f"_w_{k}"), F.col("_n")))
-    g = (g.withColumn("micro_precision", safe_div(F.col("_tp"), F.col("_tp") + F.col("_fp")))
-          .withColumn("micro_recall", safe_div(F.col("_tp"), F.col("_tp") + F.col("_fn")))
-          .withColumn("micro_f1", safe_div(2 * F.col("micro_precision") * F.col("micro_recall"),
-                                           F.col("micro_precision") + F.col("micro_recall")))
-          .withColumn("micro_accuracy", safe_div(F.col("_tp"), F.col("_n"))))
+    first = {f"weighted_{k}": safe_div(F.col(f"_w_{k}"), F.col("_n")) for k in _KINDS}
+    first["micro_precision"] = safe_div(F.col("_tp"), F.col("_tp") + F.col("_fp"))
+    first["micro_recall"] = safe_div(F.col("_tp"), F.col("_tp") + F.col("_fn"))
+    first["micro_accuracy"] = safe_div(F.col("_tp"), F.col("_n"))
+    g = g.withColumns(first).withColumn(
+        "micro_f1", safe_div(2 * F.col("micro_precision") * F.col("micro_recall"),
+                             F.col("micro_precision") + F.col("micro_recall")))
     return g.drop(*[c for c in g.columns if c.startswith("_")])
 
 

@@ -22,8 +22,17 @@ FIX_SPELLINGS = ["Positive", "strongly negative", " Neutral ", "weakly positive"
                  "sarcasm", "humour", "maybe", "highly positive"]
 
 
+_TABLES: dict = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """The named test table; the resolved DataFrame is reused per session so
+    the file listing and footer read happen once per table."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (id(spark), path)
+    if key not in _TABLES:
+        _TABLES[key] = spark.read.parquet(path)
+    return _TABLES[key]
 
 
 def _pick(values: list[str], idx: Column) -> Column:
