@@ -224,6 +224,8 @@ def recount(docs: DataFrame, trees: DataFrame, edits: DataFrame, id_col: str = "
     touched = (_keyed(docs, id_col, text_col).join(per_doc, F.col("doc_id") == F.col("__id")).join(same, "row_key")
                .select("doc_id", "text", "edits", "chars", "tokens", "pieces"))
 
+    names = unchanged.columns
+
     def run(batches):
         pre = pre_tokens(vocabulary)
         for b in as_batches(64)(batches):
@@ -236,7 +238,7 @@ def recount(docs: DataFrame, trees: DataFrame, edits: DataFrame, id_col: str = "
                 s = tree.sums.astype(np.int32)
                 out.append((r["doc_id"], before, int(s[1, 1]), int(s[1, 0]), len(good), skipped, encoded, *(s[:, c].tolist() for c in range(3))))
             kinds = [pa.int64()] * 7 + [pa.list_(pa.int32())] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=unchanged.columns)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
 
     return unchanged.unionByName(touched.mapInArrow(
         run, f"doc_id bigint, n_tokens_before bigint, n_tokens bigint, n_chars bigint, n_edits bigint, n_skipped bigint, n_chars_encoded bigint, {_TREE}"))
