@@ -16,17 +16,19 @@ decision.  Empty tables give an empty result; extra columns stay as they are.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import let, materialise
 
 #: Part of all tokens that the sample should hold.
 BUDGET = 0.5
 #: Targets by default: each marginal's share to this power, normalised.
 FLATTEN = 0.7
 TOPICS = 8
-ROUNDS, TOLERANCE = 30, 1e-3
+ROUNDS, TOLERANCE = 30, 5e-3
 SEED = 17
 #: Cells beyond this meet the documents in a shuffle join.
 MAX_BROADCAST_CELLS = 50_000
@@ -44,13 +46,13 @@ def hashed_topic(text: Column, topics: int = TOPICS) -> Column:
     ``none`` without such words.  A stand-in where no topic column is given."""
     if not 0 < topics <= 26:
         raise ValueError("between 1 and 26 topics")
-    words = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+")
-    words = F.filter(words, lambda w: F.length(w) > 4)
-    letter = F.transform(words, lambda w: F.char(F.pmod(F.hash(w), F.lit(topics)) + 97))
-    letters = F.array_join(letter, "")  # one letter a word, counted as a string
-    sizes = F.array(*[F.length(letters) - F.length(F.replace(letters, F.lit(chr(97 + t)), F.lit(""))) for t in range(topics)])
-    best = (F.array_position(sizes, F.array_max(sizes)) - 1).cast("string")
-    return F.when(F.size(words) > 0, F.concat(F.lit("t"), best)).otherwise("none")
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+"), lambda w: F.length(w) > 4)
+    letter = lambda w: F.char(F.pmod(F.hash(w), F.lit(topics)) + 97)
+    of = lambda s, t: F.length(s) - F.length(F.replace(s, F.lit(chr(97 + t)), F.lit("")))
+    sizes = lambda s: F.array(*[of(s, t) for t in range(topics)])
+    best = lambda n: F.when(F.array_max(n) > 0, F.concat(F.lit("t"), (F.array_position(n, F.array_max(n)) - 1).cast("string"))).otherwise("none")
+    # one letter a word, counted as a string
+    return let(F.array_join(F.transform(words, letter), ""), lambda s: let(sizes(s), best))
 
 
 def flattened_targets(cells: DataFrame, dim: str, power: float = FLATTEN) -> DataFrame:
@@ -66,13 +68,12 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], budget: float = BUDGET
 
     A round scales to each target in turn and caps weights at the cell's
     tokens.  It ends when no marginal is off by more than ``tolerance`` of its
-    target or after ``rounds`` rounds (targets that the caps or empty cells
-    put out of reach are met as nearly as the rounds get)."""
-    total = cells.agg(F.sum("tokens")).first()[0] or 0
-    w = materialise(cells.withColumn("weight", F.col("tokens") * F.lit(float(budget))), "rake")
+    target, when a round gains less than a fiftieth (the caps put the targets
+    out of reach together), or after ``rounds`` rounds."""
+    goals = {dim: goal_tokens(cells, dim, t, budget) for dim, t in targets.items()}
+    w, before = materialise(cells.withColumn("weight", F.col("tokens") * F.lit(float(budget))), "rake"), float("inf")
     for _ in range(rounds):
-        for dim, target in targets.items():
-            goal = target.select(F.col("value").alias("__v"), (F.col("share") * F.lit(float(budget) * total)).alias("__goal"))
+        for dim, goal in goals.items():
             have = w.groupBy(dim).agg(F.sum("weight").alias("__have"))
             scale = have.join(goal, F.col(dim).eqNullSafe(F.col("__v")), "left").select(
                 F.col(dim).alias("__d"),
@@ -80,20 +81,36 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], budget: float = BUDGET
             w = (w.join(scale, F.col(dim).eqNullSafe(F.col("__d")))
                   .withColumn("weight", F.least(F.col("tokens").cast("double"), F.col("weight") * F.col("__scale"))).drop("__d", "__scale"))
         w = materialise(w, "rake")
-        if worst_error(w, targets, budget * total) <= tolerance:
+        error = worst_error(w, goals)
+        if error <= tolerance or error > 0.98 * before:
             break
+        before = error
     return w
 
 
-def worst_error(cells: DataFrame, targets: dict[str, DataFrame], total: float) -> float:
-    """Largest relative distance of a marginal of ``weight`` from its target."""
-    worst = 0.0
-    for dim, target in targets.items():
-        have = cells.groupBy(dim).agg(F.sum("weight").alias("have"))
-        off = have.join(target, F.col(dim).eqNullSafe(F.col("value"))).agg(
-            F.max(F.abs(F.col("have") / (F.col("share") * F.lit(float(total) or 1.0)) - 1))).first()[0]
-        worst = max(worst, off or 0.0)
-    return worst
+def goal_tokens(cells: DataFrame, dim: str, target: DataFrame, budget: float) -> DataFrame:
+    """``__v, __goal``: budget times all tokens by the target shares.  A value
+    gets no more than the tokens it has; what it leaves goes to the others in
+    proportion to their shares."""
+    have = cells.groupBy(dim).agg(F.sum("tokens").cast("double").alias("__have"))
+    g = materialise(have.join(target, F.col(dim).eqNullSafe(F.col("value"))).select(F.col(dim).alias("__v"), "__have", "share"), "goals")
+    wanted = float(budget) * (cells.agg(F.sum("tokens")).first()[0] or 0)
+    factor = wanted
+    for _ in range(50):  # the set of values that give all they have only grows
+        full = F.col("share") * F.lit(factor) >= F.col("__have")
+        taken, rest = g.agg(F.sum(F.when(full, F.col("__have")).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("share")))).first()
+        new = (wanted - taken) / rest if rest else factor
+        if not rest or new <= factor * (1 + 1e-9):
+            break
+        factor = new
+    return g.select("__v", F.least(F.col("share") * F.lit(factor), F.col("__have")).alias("__goal"))
+
+
+def worst_error(cells: DataFrame, goals: dict[str, DataFrame]) -> float:
+    """Largest relative distance of a marginal of ``weight`` from its goal."""
+    off = [cells.groupBy(dim).agg(F.sum("weight").alias("__have")).join(goal.filter("__goal > 0"), F.col(dim).eqNullSafe(F.col("__v")))
+           .select(F.abs(F.col("__have") / F.col("__goal") - 1).alias("off")) for dim, goal in goals.items()]
+    return reduce(DataFrame.unionByName, off).agg(F.max("off")).first()[0] or 0.0
 
 
 def with_cells(docs: DataFrame, text_col: str = "text", source: str = "source", lang: str = "lang", topic: Column | None = None) -> DataFrame:

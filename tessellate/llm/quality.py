@@ -20,14 +20,14 @@ are ignored.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 from math import log2
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, materialise
+from .common import held_out, let, materialise
 
 WINDOW = 5
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
@@ -40,11 +40,6 @@ MAX_RULES, MAX_CONDITIONS = 8, 4
 PRECISION, SUPPORT = 0.95, 5
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` computed once, also inside lambdas."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[ \t-\r]+"), "")
 
@@ -155,7 +150,22 @@ def learn(labelled: DataFrame, max_rules: int = MAX_RULES, precision: float = PR
             break
         rules.append(rule)
         left = left.filter(~_all([c.on_bins() for c in rule]))
-    return rules
+    return _centred(stats, rules)
+
+
+def _centred(stats: DataFrame, rules: list[list[Condition]]) -> list[list[Condition]]:
+    """Thresholds in the middle of the gap between the labelled values around them."""
+    flat = [c for r in rules for c in r]
+    if not flat:
+        return []
+    ends = []
+    for i, c in enumerate(flat):
+        at = F.col(f"t_{c.name}")
+        ends += [F.max(F.when(at <= c.threshold, at)).alias(f"lo{i}"), F.min(F.when(at > c.threshold, at)).alias(f"hi{i}")]
+    got = stats.agg(*ends).first()
+    middle = iter([replace(c, threshold=(got[f"lo{i}"] + got[f"hi{i}"]) / 2) if got[f"lo{i}"] is not None and got[f"hi{i}"] is not None else c
+                   for i, c in enumerate(flat)])
+    return [[next(middle) for _ in r] for r in rules]
 
 
 def _grow(rows: DataFrame, cuts: dict[str, list[float]]) -> list[Condition]:

@@ -1,7 +1,7 @@
 """Operator 5: toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic documents are the positives; a sample of all other training
-documents is unlabelled text that holds some toxic ones too.  A linear model
+Confirmed toxic documents are the positives; a sample of all training documents
+is the unlabelled text, which holds toxic ones too.  A linear model
 over hashed features is trained in numpy on the non-negative risk
 ``pi * R_p(+) + max(0, R_u(-) - pi * R_p(-))`` with the sigmoid loss; where the
 estimated negative risk falls below zero the step goes the other way.  ``pi``,
@@ -35,9 +35,10 @@ from .common import as_batches, held_out
 BUCKETS = 1 << 20
 #: Most documents the model is fitted on.
 POSITIVES, UNLABELLED = 4000, 12000
-#: Features of fewer training documents are left out.
-MIN_DOCS = 4
-EPOCHS, RATE, DECAY, BATCH = 40, 0.05, 2e-4, 512
+#: Most features the model has, and the least likelihood ratio of one.
+FEATURES, MIN_RATIO = 1000, 30.0
+#: Steps over the whole sample: the correction is sound where the risks are, not in small batches.
+STEPS, RATE = 400, 0.05
 BETA, GAMMA = 0.0, 1.0
 _STRIP = ".,;:!?\"'()[]{}<>«»¡¿*#$%&|-_/\\"
 
@@ -46,7 +47,7 @@ def word_features(word: str) -> tuple[int, ...]:
     w = word.strip(_STRIP)
     if not w:
         return ()
-    parts = [f"w{w}", *[f"p{w[:k]}" for k in (3, 4, 5, 6) if len(w) >= k]]
+    parts = [f"w{w}", *[f"p{w[:k]}" for k in (4, 5, 6) if len(w) >= k]]
     return tuple(zlib.crc32(p.encode("utf-8", "surrogatepass")) % BUCKETS for p in parts)
 
 
@@ -81,51 +82,65 @@ class Model:
         return w
 
 
-def fit_nnpu(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, epochs: int = EPOCHS, rate: float = RATE,
-             decay: float = DECAY, batch: int = BATCH, seed: int = 5) -> Model:
+_MIXERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
+
+
+def distinct_rows(rows: list[np.ndarray]) -> list[np.ndarray]:
+    """Rows that share no pair of minhash values (of three pairs) with an earlier
+    one, so that near copies don't pass for independent evidence."""
+    seen, out = set(), []
+    for r in rows:
+        if not len(r):
+            continue
+        x = (r.astype(np.uint64) + np.uint64(1)) * _MIXERS[:, None]
+        h = ((x ^ x >> np.uint64(32)) * _MIXERS[0] >> np.uint64(16)).min(axis=1).tolist()
+        keys = {(k, *h[2 * k:2 * k + 2]) for k in range(3)}
+        if seen.isdisjoint(keys):
+            out.append(r)
+        seen |= keys
+    return out
+
+
+def select_features(pos: list[np.ndarray], unl: list[np.ndarray], most: int) -> np.ndarray:
+    """Buckets held by surely more or fewer positives than unlabelled documents:
+    those with the largest likelihood ratio of the positives' count against a
+    Poisson count at the unlabelled rate."""
+    count = lambda rows: np.bincount(np.concatenate(rows), minlength=BUCKETS).astype(float)
+    k, rate = count(pos), (count(unl) + 0.5) / (len(unl) + 1)
+    mean = rate * len(pos)
+    ratio = 2 * (np.where(k > 0, k * np.log(np.maximum(k, 1) / mean), 0) - (k - mean))
+    best = np.argsort(-ratio, kind="stable")[:most]
+    return np.sort(best[ratio[best] > MIN_RATIO])
+
+
+def fit_nnpu(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, steps: int = STEPS, rate: float = RATE,
+             features: int = FEATURES) -> Model | None:
     """Adam on the non-negative PU risk over sparse binary features."""
+    pos, unl = distinct_rows(pos), distinct_rows(unl)
+    if not pos or not unl:
+        return None
     docs = pos + unl
-    count = np.bincount(np.concatenate(docs) if docs else np.zeros(0, np.int32), minlength=BUCKETS)
-    ids = np.flatnonzero(count >= MIN_DOCS)
+    ids = select_features(pos, unl, features)
     slot = np.full(BUCKETS, -1, np.int32)
     slot[ids] = np.arange(len(ids))
     rows = [r[r >= 0] for r in (slot[d] for d in docs)]
-    is_pos = np.arange(len(docs)) < len(pos)
-    w, b = np.zeros(len(ids)), -1.0
-    m, v = np.zeros(len(ids) + 1), np.zeros(len(ids) + 1)
-    rng, t = np.random.default_rng(seed), 0
-    share = max(1, round(batch * len(pos) / len(docs)))
-    for _ in range(epochs):
-        p_order, u_order = rng.permutation(len(pos)), len(pos) + rng.permutation(len(unl))
-        for i in range(0, len(unl), batch - share):
-            u = u_order[i:i + batch - share]
-            k = (i // (batch - share)) * share
-            pick = np.concatenate([np.take(p_order, range(k, k + share), mode="wrap"), u])
-            part = [rows[j] for j in pick]
-            sizes = np.array([len(r) for r in part])
-            flat = np.concatenate(part)
-            owner = np.repeat(np.arange(len(part)), sizes)
-            z = np.bincount(owner, w[flat], len(part)) + b
-            s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            ds = s * (1 - s)  # sigmoid loss: l(+) = 1 - s, l(-) = s
-            p = is_pos[pick]
-            n_p, n_u = p.sum(), (~p).sum()
-            negative = s[~p].mean() - prior * s[p].mean()
-            g = np.zeros(len(part))
-            if negative >= -BETA:
-                g[p] = -2 * prior * ds[p] / n_p
-                g[~p] = ds[~p] / n_u
-            else:
-                g[p] = GAMMA * prior * ds[p] / n_p
-                g[~p] = -GAMMA * ds[~p] / n_u
-            grad = np.append(np.bincount(flat, g[owner], len(ids)) + decay * w * (w != 0), g.sum())
-            t += 1
-            m += 0.1 * (grad - m)
-            v += 0.001 * (grad * grad - v)
-            step = rate * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
-            w -= step[:-1]
-            b -= step[-1]
-    return Model(ids.astype(np.int32), w.astype(np.float32), float(b))
+    flat, owner = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    n_p, n_u = len(pos), len(unl)
+    theta = np.append(np.zeros(len(ids)), -1.0)
+    m, v = np.zeros_like(theta), np.zeros_like(theta)
+    for t in range(1, steps + 1):
+        z = np.bincount(owner, theta[flat], len(docs)) + theta[-1]
+        s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        slope = s * (1 - s)  # sigmoid loss: l(+) = 1 - s, l(-) = s; bounded, so a prior somewhat off does little
+        if s[n_p:].mean() - prior * s[:n_p].mean() >= -BETA:
+            g = np.append(-2 * prior * slope[:n_p] / n_p, slope[n_p:] / n_u)
+        else:
+            g = GAMMA * np.append(prior * slope[:n_p] / n_p, -slope[n_p:] / n_u)
+        grad = np.append(np.bincount(flat, g[owner], len(ids)), g.sum())
+        m += 0.1 * (grad - m)
+        v += 0.001 * (grad * grad - v)
+        theta -= rate * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
+    return Model(ids.astype(np.int32), theta[:-1].astype(np.float32), float(theta[-1]))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", prior: float | None = None,
@@ -146,8 +161,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return F.pmod(F.xxhash64(key, F.lit(71)), F.lit(1 << 30)) < F.lit(int(min(1.0, 1.05 * most / max(1, total)) * (1 << 30)))
 
     pos = d.join(lab.filter((F.col("__toxic") == 1) & drawn("__id", positives, n_pos)).select("__id"), F.col("id") == F.col("__id")).drop("__id")
-    unl = (d.filter(drawn("id", unlabelled * 1.15, n_all))
-           .join(lab.filter("__toxic = 1").select("__id"), F.col("id") == F.col("__id"), "left_anti"))
+    unl = d.filter(drawn("id", unlabelled, n_all))  # of all documents, as the risk estimator asks
 
     def read(frame, most):
         def run(batches):
