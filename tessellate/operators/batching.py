@@ -2,34 +2,63 @@
 (SMP-01 .. SMP-07, SMP-09, MET-16).
 
 Global numbering inside a group (a modality signature can hold ~95% of the
-rows) must not run as one window partition.  :func:`global_row_number` uses
-two-level numbering: range-partition by (group, order) so a hot group is
-split across many partitions, number rows inside each (partition, group)
-piece, count the pieces, turn the counts into per-group offsets on that
-small table (#partitions rows per group at most), and add the offset back.
+rows) must not run as one window partition.  :func:`number_keys` numbers the
+narrow key table alone: it is range-partitioned by (group, order), so a hot
+group is split across many pieces, numbered inside each piece and written
+once, with the piece as a stored value.  Offsets and group sizes come from the
+piece counts of that table (at most one row per piece and group), and
+:func:`global_row_number` joins the numbers back to whole rows on the unique
+key, which has no hot value.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import write_once
 
-def global_row_number(df: DataFrame, group: Sequence[str], order: Sequence[str], out: str = "rn",
-                      num_partitions: int | None = None) -> DataFrame:
-    """1-based row number inside ``group`` by ``order`` (which must be unique
-    within a group), without a single-partition window."""
+
+def number_keys(df: DataFrame, group: Sequence[str], order: Sequence[str], out: str = "rn", size: str = "group_n",
+                num_partitions: int | None = None) -> DataFrame:
+    """``group, order, out, copies, size`` for each distinct key: the 1-based
+    number of its first row inside its group in ``order``, the rows that have
+    the key (1 where ``order`` is unique) and the rows of the group.  Null is a
+    group, and comes first in the order, like any other value."""
     group, order = list(group), list(order)
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *[F.col(c) for c in group + order]).withColumn("_pid", F.spark_partition_id())
-    local = ranged.withColumn("_lrn", F.row_number().over(Window.partitionBy("_pid", *group).orderBy(*order)))
-    counts = local.groupBy("_pid", *group).agg(F.max("_lrn").alias("_cnt"))
-    before = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offs = counts.withColumn("_off", F.coalesce(F.sum("_cnt").over(before), F.lit(0))).drop("_cnt")
-    j = local.join(offs, ["_pid", *group])
-    return j.withColumn(out, (F.col("_lrn") + F.col("_off")).cast("bigint")).drop("_pid", "_lrn", "_off")
+    names = list(dict.fromkeys(group + order))
+    keys = df.groupBy(*names).agg(F.count(F.lit(1)).alias("copies"))
+    ranged = keys.repartitionByRange(n, *[F.col(c) for c in names]).withColumn("_piece", F.spark_partition_id())
+    w = Window.partitionBy("_piece", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    pieces = write_once(ranged.withColumn("_local", F.sum("copies").over(w) - F.col("copies") + 1), "numbered_keys")
+    counts = pieces.groupBy("_piece", *group).agg(F.sum("copies").alias("_cnt"))
+    per_group = Window.partitionBy(*[F.col(g) for g in group] or [F.lit(1)])
+    before = per_group.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    offs = counts.select(F.col("_piece").alias("_p"), *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)],
+                         F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"),
+                         F.sum("_cnt").over(per_group).alias("_size"))
+    on = reduce(Column.__and__, [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)], F.col("_piece") == F.col("_p"))
+    return pieces.join(offs, on).select(*names, (F.col("_local") + F.col("_off")).cast("bigint").alias(out), "copies",
+                                        F.col("_size").cast("bigint").alias(size))
+
+
+def global_row_number(df: DataFrame, group: Sequence[str], order: Sequence[str], out: str = "rn",
+                      num_partitions: int | None = None, size: str | None = None) -> DataFrame:
+    """All rows and columns of ``df`` with their 1-based number inside ``group``
+    by ``order`` and, if ``size`` names a column, the rows of the group.  Rows
+    with one and the same key are numbered in any order; no row is lost."""
+    keys = number_keys(df, group, order, "_rn", "_n", num_partitions)
+    names = [c for c in keys.columns if c not in ("_rn", "_n", "copies")]
+    k = keys.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(names)], "_rn", "_n")
+    on = reduce(Column.__and__, [df[c].eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(names)])
+    same = Window.partitionBy(*[f"_k{i}" for i in range(len(names))]).orderBy("_rn")
+    extra = [F.col("_n").alias(size)] if size else []
+    return df.join(k, on).withColumn("_nth", F.row_number().over(same)).select(
+        *df.columns, (F.col("_rn") + F.col("_nth") - 1).alias(out), *extra)
 
 
 def group_sizes(df: DataFrame, group: Sequence[str], out: str = "group_n") -> DataFrame:
@@ -42,11 +71,11 @@ def modality_batches(df: DataFrame, size: int, drop_last: bool, sig: str = "moda
     within the signature, in ``order``; with ``drop_last`` a trailing batch
     shorter than ``size`` is dropped.  Null signatures are skipped."""
     d = df.filter(F.col(sig).isNotNull())
-    d = global_row_number(d, [sig], [order])
+    d = global_row_number(d, [sig], [order], size="_group_n")
     d = d.withColumn("batch_no", F.floor((F.col("rn") - 1) / size).cast("bigint"))
     if drop_last:
-        full = d.join(group_sizes(d, [sig]), sig)
-        d = full.filter(F.floor(F.col("group_n") / size) > F.col("batch_no")).drop("group_n")
+        d = d.filter(F.floor(F.col("_group_n") / size) > F.col("batch_no"))
+    d = d.drop("_group_n")
     return d.withColumn("batch_id", F.concat_ws("#", F.col(sig), F.col("batch_no").cast("string")))
 
 
@@ -120,8 +149,7 @@ def p99_lower(df: DataFrame, group: Sequence[str], value: str, tiebreak: str, q:
     """MET-16: sorted[int(q * (n - 1))] per group (0-based rank on the lower
     side; neither percentile_disc nor percentile_approx uses this rank).
     Exact, via two-level numbering; groups are never collected."""
-    ranked = global_row_number(df, group, [value, tiebreak], "_r")
-    sizes = group_sizes(df, group, "_n")
-    j = ranked.join(sizes, list(group))
+    ranked = number_keys(df, group, [value, tiebreak], "_r", "_n")
     k = F.floor(F.lit(q) * (F.col("_n") - 1)).cast("bigint") + 1
-    return j.filter(F.col("_r") == k).select(*group, F.col(value).alias("p99"), F.col("_n").alias("n"))
+    hit = (F.col("_r") <= k) & (k < F.col("_r") + F.col("copies"))
+    return ranked.filter(hit).select(*group, F.col(value).alias("p99"), F.col("_n").alias("n"))

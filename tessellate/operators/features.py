@@ -1,17 +1,16 @@
 """Frame-feature pooling (FEA-01 .. FEA-06) and masked means (SEQ-08).
 
 Frames are rows ``(sample_id, t, feat array<float>)``.  Pooling explodes the
-feature dimension and aggregates per ``(sample_id, dim)``: partial + final
-hash aggregation, so no sample's frames are gathered into one array first.
-Quantiles use an exact rank inside ``(sample_id, dim)``; that group is one
-sample's frames for one dimension (bounded by the clip length, at most 512
-decoded frames), not a data-volume-sized group.  The pooled vector is put
+feature dimension and aggregates per ``(sample_id, dim)``.  Means and deviations
+combine before the shuffle.  Quantiles need the values of a dimension together:
+one sample's frames (bounded by the clip length, at most 512 decoded frames)
+are dealt to one task as compact arrays, in the only shuffle.  The pooled vector is put
 back together with one ``collect_list`` of ``D`` entries per sample.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # FIXED VALUES: part order of pose features and the normalisation floor.
@@ -40,22 +39,19 @@ def pool(frames: DataFrame, mode: str = "meanstd", feat: str = "feat") -> DataFr
     meanstdp25p75 where a quantile is the k-th smallest value,
     k = max(1, int(q * T)).  Invalid samples get a null vector.
     """
-    x = explode_dims(frames, feat)
-    stats = x.groupBy("sample_id", "d").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"),
-                                            F.count(F.lit(1)).alias("T"))
     if mode == "meanstdp25p75":
-        w = Window.partitionBy("sample_id", "d").orderBy("v")
-        ranked = x.withColumn("_rk", F.row_number().over(w)).join(
-            stats.select("sample_id", "d", F.col("T").alias("_T")), ["sample_id", "d"])
-        k25 = F.greatest(F.lit(1), F.floor(0.25 * F.col("_T")).cast("int"))
-        k75 = F.greatest(F.lit(1), F.floor(0.75 * F.col("_T")).cast("int"))
-        q = ranked.groupBy("sample_id", "d").agg(
-            F.max(F.when(F.col("_rk") == k25, F.col("v"))).alias("p25"),
-            F.max(F.when(F.col("_rk") == k75, F.col("v"))).alias("p75"))
-        stats = stats.join(q, ["sample_id", "d"])
+        # quantiles need all values of a dimension together: the frames are dealt
+        # by sample before they are exploded, and both aggregations reuse that
+        x = explode_dims(frames.select("sample_id", "t", feat).repartition("sample_id"), feat)
+        k = lambda q: F.greatest(F.lit(1), F.floor(q * F.col("T")).cast("int"))
+        stats = x.groupBy("sample_id", "d").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.count(F.lit(1)).alias("T"),
+                                                F.sort_array(F.collect_list("v")).alias("_v"))
+        stats = stats.withColumn("p25", F.element_at("_v", k(0.25))).withColumn("p75", F.element_at("_v", k(0.75)))
         a = _assemble(stats, ["mean", "std", "p25", "p75", "T"])
         pooled = F.concat("mean", "std", "p25", "p75")
     else:
+        stats = explode_dims(frames, feat).groupBy("sample_id", "d").agg(
+            F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.count(F.lit(1)).alias("T"))
         a = _assemble(stats, ["mean", "std", "T"])
         if mode in ("mean", "none"):
             pooled = F.col("mean")
@@ -103,8 +99,8 @@ def pose_frames(parts: DataFrame, use_conf: bool = True) -> DataFrame:
     [T, K, C].  A part is skipped when missing, empty (T = 0) or when some
     keypoint's last axis is not 2 or 3; ``use_conf=False`` keeps the first
     two values.  Valid parts are concatenated per frame in the fixed order;
-    unequal frame counts make the sample invalid.  Output (sample_id, valid,
-    n_frames, frames array<array<float>>).
+    no valid part or unequal frame counts make the sample invalid (it keeps its
+    row).  Output (sample_id, valid, n_frames, frames array<array<float>>).
     """
     order = F.array_position(F.array(*[F.lit(p) for p in POSE_PARTS]), F.col("part"))
     kp = F.col("kp")
@@ -113,14 +109,15 @@ def pose_frames(parts: DataFrame, use_conf: bool = True) -> DataFrame:
     if not use_conf:
         kp = F.transform(kp, lambda fr: F.transform(fr, lambda k: F.slice(k, 1, 2)))
     flat = F.transform(kp, lambda fr: F.flatten(fr))
-    p = parts.filter(ok).select("sample_id", order.alias("o"), flat.alias("fr"))
-    g = p.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("o", "fr"))).alias("_p"))
+    # a sample without any valid part still has its row: collect_list skips nulls
+    p = parts.select("sample_id", F.when(ok, F.struct(order.alias("o"), flat.alias("fr"))).alias("part"))
+    g = p.groupBy("sample_id").agg(F.array_sort(F.collect_list("part")).alias("_p"))
     sizes = F.transform("_p", lambda x: F.size(x["fr"]))
     T = F.array_min(sizes)
-    valid = T == F.array_max(sizes)
+    valid = (F.size("_p") > 0) & (T == F.array_max(sizes))
     frames = F.transform(F.sequence(F.lit(0), T - 1),
                          lambda t: F.flatten(F.transform("_p", lambda x: F.element_at(x["fr"], t + 1))))
-    return g.select("sample_id", valid.alias("valid"), T.alias("n_frames"),
+    return g.select("sample_id", F.coalesce(valid, F.lit(False)).alias("valid"), F.coalesce(T, F.lit(0)).alias("n_frames"),
                     F.when(valid, frames).alias("frames"))
 
 
@@ -149,8 +146,13 @@ def masked_mean(frames: DataFrame, mask: str = "m", floor_one: bool = True, feat
     ``floor_one`` divides by max(sum(mask), 1) (one variant); otherwise by
     sum(mask) itself (null when it is 0).  Output (sample_id, d, value).
     """
+    return masked_means(frames, mask, feat).select("sample_id", "d", F.col("value_floor" if floor_one else "value").alias("value"))
+
+
+def masked_means(frames: DataFrame, mask: str = "m", feat: str = "feat") -> DataFrame:
+    """SEQ-08, both variants from one aggregation: (sample_id, d, value_floor,
+    value)."""
     x = frames.select("sample_id", F.col(mask).cast("double").alias("_m"), F.posexplode(feat).alias("d", "v"))
-    num = F.sum(F.col("v").cast("double") * F.col("_m"))
-    den = F.sum("_m")
-    val = num / F.greatest(den, F.lit(1.0)) if floor_one else num / F.when(den != 0, den)
-    return x.groupBy("sample_id", "d").agg(val.alias("value"))
+    s = x.groupBy("sample_id", "d").agg(F.sum(F.col("v").cast("double") * F.col("_m")).alias("_num"), F.sum("_m").alias("_den"))
+    return s.select("sample_id", "d", (F.col("_num") / F.greatest(F.col("_den"), F.lit(1.0))).alias("value_floor"),
+                    (F.col("_num") / F.when(F.col("_den") != 0, F.col("_den"))).alias("value"))

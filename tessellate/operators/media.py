@@ -44,7 +44,7 @@ def media_budget(ids: Column, markers: dict[str, int], image_grid: Column, video
                     S.grid_tokens(video_grid).alias("video_kv_tokens_est"), F.round(secs, 6).alias("audio_secs"))
 
 
-def frame_plan(n: Column, duration: Column, start: Column, k: int) -> Column:
+def frame_plan(n: Column, duration: Column, start: Column, k: int, max_frames: int = MAX_DECODED_FRAMES) -> Column:
     """MED-02: struct(kind, plan) of which frames to take.
 
     seek: timestamps int(start + duration * i / k) when a duration is known
@@ -55,7 +55,7 @@ def frame_plan(n: Column, duration: Column, start: Column, k: int) -> Column:
     seek = duration.isNotNull() & (duration > 0) & (n > k)
     i = F.sequence(F.lit(0), F.lit(k - 1))
     ts = F.transform(i, lambda x: F.floor(start + duration * x / F.lit(k)).cast("bigint"))
-    m = F.least(n, F.lit(MAX_DECODED_FRAMES))
+    m = F.least(n, F.lit(max_frames))
     lin = F.transform(i, lambda x: F.floor(x * (m - 1) / F.lit(k - 1)).cast("bigint"))
     allf = F.when(m > 0, F.sequence(F.lit(0).cast("bigint"), (m - 1).cast("bigint"))) \
             .otherwise(F.array().cast("array<bigint>"))
@@ -79,29 +79,34 @@ AUDIO_PROFILE_SCHEMA = ("sample_id bigint, item int, sample_rate int, channels i
                         "seconds double, clipped_samples bigint, failed boolean")
 
 
-def _profile_one(b: bytes):
+#: Bytes of an item that hold its header (the data chunk's size stands in it).
+HEADER_BYTES = 4096
+
+
+def _profile_one(b: bytes, rate: int, clip: float):
     try:
         with wave.open(io.BytesIO(b), "rb") as w:
             sr, ch, n = w.getframerate(), w.getnchannels(), w.getnframes()
     except Exception:  # noqa: BLE001 - any undecodable item is reported, not raised
         return None, None, None, None, None, True
     secs = n / float(sr) if sr else None
-    # resampled to 16 kHz, then clipped to 10 s
-    resampled = int(round(n * TARGET_RATE / sr)) if sr else 0
-    return sr, ch, n, secs, min(resampled, CLIP_SECONDS * TARGET_RATE), False
+    # resampled to the target rate, then clipped
+    resampled = int(round(n * rate / sr)) if sr else 0
+    return sr, ch, n, secs, min(resampled, int(clip * rate)), False
 
 
-def audio_profile(df: DataFrame, col: str = "audios") -> DataFrame:
+def audio_profile(df: DataFrame, col: str = "audios", rate: int = TARGET_RATE, clip: float = CLIP_SECONDS) -> DataFrame:
     """MED-01: WAV header facts per audio item of a binary media column.
 
-    Rows are exploded to (sample_id, item, bytes) first, so each Python call
-    sees one Arrow batch of items; nothing is gathered per sample.
+    Rows are exploded to (sample_id, item, first HEADER_BYTES bytes) in the JVM,
+    so Python sees headers only, never whole media items.
     """
-    items = df.select("sample_id", F.posexplode(col).alias("item", "b"))
+    items = df.select("sample_id", F.posexplode(col).alias("item", "b")).select(
+        "sample_id", "item", F.substring("b", 1, HEADER_BYTES).alias("b"))
 
     def run(batches):
         for pdf in batches:
-            rows = [_profile_one(bytes(b)) if b is not None else (None,) * 5 + (True,) for b in pdf["b"]]
+            rows = [_profile_one(bytes(b), rate, clip) if b is not None else (None,) * 5 + (True,) for b in pdf["b"]]
             out = pd.DataFrame(rows, columns=["sample_rate", "channels", "n_samples", "seconds",
                                               "clipped_samples", "failed"])
             out.insert(0, "item", pdf["item"].astype("int32").values)

@@ -177,8 +177,7 @@ def med03(spark, sf_dir):
 SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM documents)
 WHERE i >= CAST(floor(n * 0.10) AS BIGINT) AND i < CAST(floor(n * 0.35) AS BIGINT)""")
 def src04(spark, sf_dir):
-    df = RD.read_split(spark, f"{sf_dir.rstrip('/')}/documents.parquet", "train")
-    return RD.split_slice(df, "train[10%:35]").select("doc_id")
+    return RD.read_slice(spark, f"{sf_dir.rstrip('/')}/documents.parquet", "train[10%:35]").select("doc_id")
 
 
 @query("src04b_split_slice_after_filter", """

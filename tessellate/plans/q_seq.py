@@ -141,9 +141,7 @@ SELECT sample_id, CAST(d AS INTEGER) AS d, round(sum(v * m) / greatest(sum(m), 1
        round(sum(v * m) / sum(m), 6) AS value FROM x GROUP BY 1, 2""", ("frames",))
 def seq08(spark, sf_dir):
     fr = X.frames(spark, sf_dir).withColumn("m", (F.col("t") % 3 != 0).cast("int"))
-    a = FE.masked_mean(fr, "m", floor_one=True).withColumnRenamed("value", "value_floor")
-    b = FE.masked_mean(fr, "m", floor_one=False)
-    return finish(a.join(b, ["sample_id", "d"]).withColumn("d", F.col("d").cast("int")))
+    return finish(FE.masked_means(fr, "m").withColumn("d", F.col("d").cast("int")))
 
 
 @query("seq09_domain_argmax", """

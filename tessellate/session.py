@@ -74,6 +74,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/tables/{name}-{os.getpid()}-{next(_COUNTER)}"
 
 
+def write_once(df, name: str):
+    """Write ``df`` under the shared checkpoint folder and read it again: its
+    rows are fixed from here on, and lineage is cut."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _counter():
     i = 0
     while True:

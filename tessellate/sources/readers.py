@@ -8,8 +8,9 @@ system of the path (works for local, HDFS and object stores).
 from __future__ import annotations
 
 import re
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,6 +46,12 @@ def _is_file(spark: SparkSession, path: str) -> bool:
     return fs.exists(p) and fs.getFileStatus(p).isFile()
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    """A file or folder (as Spark writes them) of that name."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def find_split_files(spark: SparkSession, path: str, split: str) -> list[str]:
     """SRC-01 listing: a single .parquet file as is; else
     ``{split}-*.parquet`` sorted by name; else ``*.parquet``; else error."""
@@ -61,7 +68,10 @@ def read_split(spark: SparkSession, path: str, split: str) -> DataFrame:
     """SRC-01: read the split's shards; keeps ``_file`` and ``_row`` (file
     path and row index inside it) for order-dependent slicing."""
     files = find_split_files(spark, path, split)
-    df = spark.read.parquet(*files)
+    return _with_position(spark.read.parquet(*files))
+
+
+def _with_position(df: DataFrame) -> DataFrame:
     return df.withColumn("_file", F.col("_metadata.file_path")).withColumn("_row", F.col("_metadata.row_index"))
 
 
@@ -77,21 +87,57 @@ def parse_split(spec: str) -> tuple[str, float, float]:
     return m.group(1), start, end
 
 
-def split_slice(df: DataFrame, spec: str) -> DataFrame:
-    """SRC-04: rows [int(n*a), int(n*b)) in (file, row) order.
+def file_row_counts(spark: SparkSession, files: list[str]) -> list[int]:
+    """Rows of each Parquet file, in the given order.  No column is read: Spark
+    takes the counts of an empty projection from the footers."""
+    d = spark.read.parquet(*files)
+    got = {r[0]: r[1] for r in d.groupBy(F.col("_metadata.file_name").alias("f"), F.col("_metadata.file_path").alias("p"))
+           .agg(F.count(F.lit(1)).alias("n")).select("p", "n").collect()}  # one row a file
+    bare = {_bare(p): n for p, n in got.items()}
+    return [bare.get(_bare(f), 0) for f in files]
 
-    Global position without a single-partition window: count rows per file
-    (a table with one row per file), turn the counts into cumulative
-    offsets, broadcast that file table, and add the in-file row index.  When
-    rows were filtered first, the in-file index is renumbered the same way
-    per (file) with two-level numbering.
-    """
-    _, a, b = parse_split(spec)
-    from ..operators.batching import global_row_number
-    ranked = global_row_number(df, [], ["_file", "_row"], "_pos")
-    n = df.count()  # one number; the slice bounds depend on it
+
+def _bare(path: str) -> str:
+    """A path without scheme and authority, for comparing spellings of one file."""
+    return re.sub(r"^[A-Za-z][\w+.-]*:(//[^/]*)?", "", path)
+
+
+def read_slice(spark: SparkSession, path: str, spec: str) -> DataFrame:
+    """SRC-01 + SRC-04: the slice of a whole split, in (file, row) order, without
+    a shuffle: row counts per file give offsets, files outside the slice are not
+    read, and the two files at its ends are cut by row index."""
+    name, a, b = parse_split(spec)
+    files = find_split_files(spark, path, name)
+    counts = file_row_counts(spark, files)
+    n = sum(counts)
     lo, hi = int(n * a), int(n * b)
-    return ranked.filter((F.col("_pos") - 1 >= lo) & (F.col("_pos") - 1 < hi)).drop("_pos")
+    whole, out, start = [], [], 0
+    for f, c in zip(files, counts):
+        first, last = max(lo - start, 0), min(hi - start, c)
+        if first < last:
+            if first == 0 and last == c:
+                whole.append(f)
+            else:
+                d = _with_position(spark.read.parquet(f))
+                out.append(d.filter((F.col("_row") >= first) & (F.col("_row") < last)))
+        start += c
+    if whole:
+        out.append(_with_position(spark.read.parquet(*whole)))
+    if not out:
+        return _with_position(spark.read.parquet(files[0])).limit(0)
+    return reduce(DataFrame.unionByName, out)
+
+
+def split_slice(df: DataFrame, spec: str) -> DataFrame:
+    """SRC-04 after a filter: rows [int(n*a), int(n*b)) of ``df`` in (file, row)
+    order.  Only the (file, row) keys are numbered; the total comes from the
+    piece counts.  For a whole split use :func:`read_slice`, which does not
+    shuffle."""
+    from ..operators.batching import global_row_number
+    _, a, b = parse_split(spec)
+    ranked = global_row_number(df, [], ["_file", "_row"], "_pos", size="_n")
+    keep = (F.col("_pos") - 1 >= F.floor(F.col("_n") * F.lit(a))) & (F.col("_pos") - 1 < F.floor(F.col("_n") * F.lit(b)))
+    return ranked.filter(keep).drop("_pos", "_n")
 
 
 def read_samples(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -117,8 +163,9 @@ def read_jsonl_tolerant(spark: SparkSession, paths: list[str], schema: T.StructT
     skipped and missing paths skipped.  Returns (rows, report) where the
     report has the non-blank line count and the parsed row count (their
     difference is the malformed lines)."""
-    existing = [p for p in paths if _fs_glob(spark, p.rstrip("/") + ("/*" if not p.endswith(("json", "jsonl", "gz")) else ""))
-                or _is_file(spark, p)]
+    existing = [p for p in paths if _exists(spark, p)]
+    if not existing:
+        raise ValueError(f"none of {paths} exists")
     good = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(existing)
     lines = spark.read.text(existing).filter(F.trim("value") != "")
     report = (lines.groupBy().agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit("nonblank_lines"))
@@ -142,33 +189,33 @@ def light_scan(df: DataFrame, heavy: list[str] = HEAVY_COLUMNS) -> DataFrame:
     return df.select(*[c for c in df.columns if c not in heavy])
 
 
-def read_annotations(spark: SparkSession, csv_paths: list[str], jsonl_paths: list[str],
-                     n_choices: int = 5) -> DataFrame:
+def read_annotations(spark: SparkSession, csv_paths: list[tuple[str, str]], jsonl_paths: list[tuple[str, str]]) -> DataFrame:
     """SRC-07: question banks -> (dataset, answer, question, ordinal).
 
     CSV banks with ``reference_answer`` use it; CSV banks with an ``answer``
-    index pick the column ``a{answer}``; JSON-lines banks use ``ans_corr``
-    and ``q``.  Answers are lower-cased; ``ordinal`` keeps file order.
+    index pick the column ``a{answer}`` out of all that the header has;
+    JSON-lines banks use ``ans_corr`` and ``q``.  Answers are lower-cased.
+    ``ordinal`` orders rows by the position of their bank in the lists (later
+    banks come later), file name, block of the file and place in the block.
     """
+    def part(d: DataFrame, at: int, ds: str, answer, question) -> DataFrame:
+        place = F.struct(F.lit(at).alias("bank"), F.col("_metadata.file_name").alias("file"),
+                         F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+        return d.select(F.lit(ds).alias("dataset"), F.lower(answer).alias("answer"), question.alias("question"), place.alias("ordinal"))
+
     parts = []
     for ds, p in csv_paths:
         d = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(p)
         if "reference_answer" in d.columns:
             a = F.col("reference_answer")
         else:
-            choices = F.array(*[F.col(f"a{i}") for i in range(n_choices) if f"a{i}" in d.columns])
-            a = F.get(choices, F.col("answer").cast("int"))
-        parts.append(d.select(F.lit(ds).alias("dataset"), F.lower(a).alias("answer"), F.col("question"),
-                              F.col("_metadata.file_path").alias("_f"), F.monotonically_increasing_id().alias("_i")))
+            choices = sorted((c for c in d.columns if re.fullmatch(r"a\d+", c)), key=lambda c: int(c[1:]))
+            picked = [F.when(F.col("answer").cast("int") == int(c[1:]), F.col(c)) for c in choices]
+            a = F.coalesce(*picked) if picked else F.lit(None).cast("string")
+        parts.append(part(d, len(parts), ds, a, F.col("question")))
     for ds, p in jsonl_paths:
-        d = spark.read.json(p)
-        parts.append(d.select(F.lit(ds).alias("dataset"), F.lower("ans_corr").alias("answer"),
-                              F.col("q").alias("question"), F.col("_metadata.file_path").alias("_f"),
-                              F.monotonically_increasing_id().alias("_i")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.withColumn("ordinal", F.struct("_f", "_i")).drop("_f", "_i")
+        parts.append(part(spark.read.json(p), len(parts), ds, F.col("ans_corr"), F.col("q")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def read_predictions(spark: SparkSession, path: str, layout: str = "rows") -> DataFrame:
@@ -183,9 +230,11 @@ def read_predictions(spark: SparkSession, path: str, layout: str = "rows") -> Da
     from ..functions import text as TX
     if layout == "arrays":
         d = spark.read.option("multiLine", True).json(path)
-        z = d.select(F.inline(F.arrays_zip(F.col("predictions").alias("pred"),
-                                           F.col("ground_truths").alias("gold"),
-                                           F.col("datasets").alias("dataset"))))
+        # rows end where the shortest of the three lists ends
+        n = F.least(F.size("predictions"), F.size("ground_truths"), F.size("datasets"))
+        cut = lambda c: F.slice(F.col(c), F.lit(1), n)
+        z = d.select(F.inline(F.arrays_zip(cut("predictions").alias("pred"), cut("ground_truths").alias("gold"),
+                                           cut("datasets").alias("dataset"))))
         return z.select("dataset", TX.boxed_judge("pred").alias("pred"), F.lower("gold").alias("gold"))
     d = spark.read.json(path)
     return d.select("dataset", "pred", F.lower("gold").alias("gold"))

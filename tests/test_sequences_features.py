@@ -36,3 +36,11 @@ def test_pool_none_needs_single_frame(spark):
     df = spark.createDataFrame(rows, "sample_id bigint, t bigint, feat array<float>")
     got = {r.sample_id: r.pooled for r in FE.pool(df, "none").collect()}
     assert got[1] == [1.0, 2.0] and got[2] is None
+
+
+def test_pose_samples_without_valid_part_keep_their_row(spark):
+    kp = [[[1.0, 2.0]], [[3.0, 4.0]]]
+    df = spark.createDataFrame([(1, "pose", kp), (2, "pose", [[[1.0]]]), (3, "pose", kp), (3, "face", kp[:1]), (4, "pose", None)],
+                               "sample_id bigint, part string, kp array<array<array<float>>>")
+    got = {r.sample_id: (r.valid, r.n_frames) for r in FE.pose_frames(df).collect()}
+    assert got == {1: (True, 2), 2: (False, 0), 3: (False, 1), 4: (False, 0)}
