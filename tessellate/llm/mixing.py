@@ -16,9 +16,7 @@ decision.  Empty tables give an empty result; extra columns stay as they are.
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import let, materialise
@@ -32,6 +30,8 @@ ROUNDS, TOLERANCE = 30, 5e-3
 SEED = 17
 #: Cells beyond this meet the documents in a shuffle join.
 MAX_BROADCAST_CELLS = 50_000
+#: Cells up to this many are raked in one task, more are shuffled.
+MAX_ONE_TASK_CELLS = 50_000
 _DIMS = ("source", "lang", "topic")
 
 
@@ -68,24 +68,42 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], budget: float = BUDGET
 
     A round scales to each target in turn and caps weights at the cell's
     tokens.  It ends when no marginal is off by more than ``tolerance`` of its
-    target, when a round gains less than a fiftieth (the caps put the targets
-    out of reach together), or after ``rounds`` rounds."""
-    goals = {dim: goal_tokens(cells, dim, t, budget) for dim, t in targets.items()}
-    w, before = materialise(cells.withColumn("weight", F.col("tokens") * F.lit(float(budget))), "rake"), float("inf")
-    for _ in range(rounds):
-        for dim, goal in goals.items():
-            have = w.groupBy(dim).agg(F.sum("weight").alias("__have"))
-            scale = have.join(goal, F.col(dim).eqNullSafe(F.col("__v")), "left").select(
-                F.col(dim).alias("__d"),
-                F.when(F.col("__have") > 0, F.coalesce("__goal", F.lit(0.0)) / F.col("__have")).otherwise(0.0).alias("__scale"))
-            w = (w.join(scale, F.col(dim).eqNullSafe(F.col("__d")))
-                  .withColumn("weight", F.least(F.col("tokens").cast("double"), F.col("weight") * F.col("__scale"))).drop("__d", "__scale"))
-        w = materialise(w, "rake")
-        error = worst_error(w, goals)
-        if error <= tolerance or error > 0.98 * before:
+    target, when it hardly falls any more (the caps put the targets out of
+    reach together), or after ``rounds`` rounds."""
+    # a table of bounded size is raked in one partition, without a shuffle, some
+    # rounds at a time; a larger one with shuffled sums, a round at a time
+    few = cells.count() <= MAX_ONE_TASK_CELLS
+    whole = lambda d: d.coalesce(1) if few else d
+    at_once = 4 if few else 1
+
+    def with_sum(w: DataFrame, dim: str) -> DataFrame:
+        if few:
+            return w.withColumn("__have", F.sum("weight").over(Window.partitionBy(dim)))
+        have = w.groupBy(F.col(dim).alias("__d")).agg(F.sum("weight").alias("__have"))
+        return w.join(have, F.col(dim) == F.col("__d")).drop("__d")
+
+    w = whole(cells).withColumn("weight", F.col("tokens") * F.lit(float(budget)))
+    for dim, t in targets.items():
+        goal = goal_tokens(whole(cells), dim, whole(t), budget).withColumnRenamed("__goal", f"__goal_{dim}")
+        w = w.join(whole(goal), F.col(dim) == F.col("__v"), "left").drop("__v")
+    w, before = whole(materialise(w.na.fill(0.0, [f"__goal_{d}" for d in targets]), "rake")), float("inf")
+    columns = w.columns
+    for _ in range(0, rounds, at_once):
+        for dim in list(targets) * at_once:
+            scaled = F.col("weight") * F.col(f"__goal_{dim}") / F.when(F.col("__have") > 0, F.col("__have"))
+            w = with_sum(w, dim).withColumn("weight", F.least(F.col("tokens").cast("double"), F.coalesce(scaled, F.lit(0.0)))).drop("__have")
+        off = F.lit(0.0)
+        for dim in targets:
+            miss = F.when(F.col(f"__goal_{dim}") > 0, F.abs(F.col("__have") / F.col(f"__goal_{dim}") - 1)).otherwise(0.0)
+            w = with_sum(w, dim).withColumn(f"__off_{dim}", miss).drop("__have")
+            off = F.greatest(off, F.col(f"__off_{dim}"))
+        w = whole(materialise(w.select(*columns, off.alias("__off")), "rake"))
+        error = w.agg(F.max("__off")).first()[0] or 0.0
+        w = w.select(*columns)
+        if error <= tolerance or error > 0.95 * before:
             break
         before = error
-    return w
+    return w.select(*cells.columns, "weight")
 
 
 def goal_tokens(cells: DataFrame, dim: str, target: DataFrame, budget: float) -> DataFrame:
@@ -93,7 +111,7 @@ def goal_tokens(cells: DataFrame, dim: str, target: DataFrame, budget: float) ->
     gets no more than the tokens it has; what it leaves goes to the others in
     proportion to their shares."""
     have = cells.groupBy(dim).agg(F.sum("tokens").cast("double").alias("__have"))
-    g = materialise(have.join(target, F.col(dim).eqNullSafe(F.col("value"))).select(F.col(dim).alias("__v"), "__have", "share"), "goals")
+    g = materialise(have.join(target, F.col(dim) == F.col("value")).select(F.col(dim).alias("__v"), "__have", "share"), "goals")
     wanted = float(budget) * (cells.agg(F.sum("tokens")).first()[0] or 0)
     factor = wanted
     for _ in range(50):  # the set of values that give all they have only grows
@@ -106,13 +124,6 @@ def goal_tokens(cells: DataFrame, dim: str, target: DataFrame, budget: float) ->
     return g.select("__v", F.least(F.col("share") * F.lit(factor), F.col("__have")).alias("__goal"))
 
 
-def worst_error(cells: DataFrame, goals: dict[str, DataFrame]) -> float:
-    """Largest relative distance of a marginal of ``weight`` from its goal."""
-    off = [cells.groupBy(dim).agg(F.sum("weight").alias("__have")).join(goal.filter("__goal > 0"), F.col(dim).eqNullSafe(F.col("__v")))
-           .select(F.abs(F.col("__have") / F.col("__goal") - 1).alias("off")) for dim, goal in goals.items()]
-    return reduce(DataFrame.unionByName, off).agg(F.max("off")).first()[0] or 0.0
-
-
 def with_cells(docs: DataFrame, text_col: str = "text", source: str = "source", lang: str = "lang", topic: Column | None = None) -> DataFrame:
     """``docs`` with a struct ``__cell`` of source, lang and topic (as labels that
     tell null from any text) and tokens.  ``topic`` defaults to :func:`hashed_topic`."""
