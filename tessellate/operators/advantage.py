@@ -27,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..streaming.ema import ema_fold
+from ..streaming.ema import Ema, ema_fold, ema_folds
 
 
 @dataclass(frozen=True)
@@ -59,6 +59,10 @@ class AdvantageConfig:
     eps: float = 1e-6
 
 
+#: Per-task state that the z_score mode carries, besides density, scale and rarity.
+STAT_STATE = ("ema_mu", "ema_sigma", "ema_abs_mu", "ema_abs_sigma")
+
+
 def _clamp(c: Column, lo: float, hi: float) -> Column:
     return F.greatest(F.lit(lo), F.least(F.lit(hi), c))
 
@@ -98,29 +102,30 @@ def group_norm(df: DataFrame, cfg: AdvantageConfig = AdvantageConfig(), col: str
 
 
 def group_stats(df: DataFrame, by: str, col: str, cfg: AdvantageConfig = AdvantageConfig(),
-                prefix: str = "") -> DataFrame:
+                prefix: str = "", state: DataFrame | None = None) -> DataFrame:
     """ADV-03 / ADV-05: per (step, by) mean, population std, count of ``col``
     and of abs(``col``), plus their EMAs across steps (seeded with the first
-    batch value; decay ``beta_mu`` / ``beta_sigma``)."""
+    batch value, or going on from ``state`` (key, ema_*); decay ``beta_mu`` /
+    ``beta_sigma``), all four in one fold."""
     st = df.groupBy("step", F.col(by).alias("key")).agg(
         F.avg(col).alias("mu"), F.stddev_pop(col).alias("sigma"), F.count(F.lit(1)).alias("count"),
         F.avg(F.abs(col)).alias("abs_mu"), F.stddev_pop(F.abs(col)).alias("abs_sigma"))
-    for c, beta in (("mu", cfg.beta_mu), ("sigma", cfg.beta_sigma), ("abs_mu", cfg.beta_mu),
-                    ("abs_sigma", cfg.beta_sigma)):
-        e = ema_fold(st, ["key"], "step", c, beta, seed="first", out=f"ema_{c}")
-        st = st.join(e, ["key", "step"])
+    emas = [Ema(c, cfg.beta_mu if c.endswith("mu") else cfg.beta_sigma, f"ema_{c}") for c in ("mu", "sigma", "abs_mu", "abs_sigma")]
+    st = st.join(ema_folds(st, ["key"], "step", emas, state), ["key", "step"])
     st = st.withColumn("kind", F.lit(by))
     if prefix:
         st = st.withColumn("stage", F.lit(prefix))
     return st
 
 
-def responsibility(df: DataFrame, cfg: AdvantageConfig = AdvantageConfig(), col: str = "adv") -> DataFrame:
+def responsibility(df: DataFrame, cfg: AdvantageConfig = AdvantageConfig(), col: str = "adv",
+                   stats: DataFrame | None = None) -> DataFrame:
     """ADV-06: responsibility r per rollout from a = abs(A).
 
     global_norm: sigmoid(beta * (a / mean_step(a) - 1)); z_score:
     sigmoid(beta * (z - delta)) with the task's EMA abs statistics;
-    absolute: sigmoid(beta * (a - a0)); no_responsibilities: 1.
+    absolute: sigmoid(beta * (a - a0)); no_responsibilities: 1.  ``stats``
+    optionally gives the result of :func:`group_stats` by task (z_score).
     """
     a = F.abs(F.col(col))
     if cfg.mode == "no_responsibilities":
@@ -133,7 +138,7 @@ def responsibility(df: DataFrame, cfg: AdvantageConfig = AdvantageConfig(), col:
         gm = F.greatest(F.coalesce(F.col("_gm"), F.lit(cfg.eps)), F.lit(cfg.eps))
         return j.withColumn("r", _sigmoid(cfg.beta_r * (a / gm - 1.0))).drop("_gm")
     if cfg.mode == "z_score":
-        st = group_stats(df, "task", col, cfg).select(
+        st = (group_stats(df, "task", col, cfg) if stats is None else stats).select(
             "step", F.col("key").alias("task"), "ema_abs_mu", "ema_abs_sigma", "ema_sigma")
         j = df.join(st, ["step", "task"])
         mu = F.greatest(F.col("ema_abs_mu"), F.lit(cfg.eps))
@@ -172,12 +177,13 @@ def task_density(mass: DataFrame, cfg: AdvantageConfig = AdvantageConfig(),
     return m.join(ref, "step")
 
 
-def rarity_boost(dens: DataFrame, cfg: AdvantageConfig = AdvantageConfig()) -> DataFrame:
+def rarity_boost(dens: DataFrame, cfg: AdvantageConfig = AdvantageConfig(), state: DataFrame | None = None) -> DataFrame:
     """ADV-08: k per (step, task); 1 when rarity is off."""
     if not cfg.rarity:
         return dens.withColumn("k", F.lit(1.0))
     d = dens.withColumn("sig_batch", F.greatest(F.col("sig"), F.lit(cfg.eps)))
-    e = ema_fold(d, ["task"], "step", "sig_batch", cfg.beta_rho, seed="first", out="sig_ema")
+    init = state.select("task", F.col("sig_prev").alias("prev")) if state is not None else None
+    e = ema_fold(d, ["task"], "step", "sig_batch", cfg.beta_rho, seed="first", out="sig_ema", init_state=init)
     d = d.join(e, ["task", "step"])
     ref = d.groupBy("step").agg(F.exp(F.avg(F.log(F.greatest(F.col("sig_ema"), F.lit(cfg.eps))))).alias("sig_ref"))
     d = d.join(ref, "step")
@@ -236,17 +242,24 @@ def question_scale(df: DataFrame, cfg: AdvantageConfig = AdvantageConfig(), col:
 
 
 def group_relative_advantage(rollouts: DataFrame, cfg: AdvantageConfig = AdvantageConfig(),
-                             state: DataFrame | None = None, with_state: bool = False):
+                             state: DataFrame | None = None, with_state: bool = False, hold=lambda d: d):
     """ADV-11: the full per-rollout advantage table.
 
+    ``hold`` is applied to each intermediate table that is read more than once;
+    a caller that runs several actions passes ``DataFrame.persist`` or a writer.
+
     Columns: step, rollout_id, qid, task, dataset, raw, scaled, adv (after
     group normalisation), r, task_scale, question_scale, advantage.
     """
     base = rollouts.select("step", "rollout_id", "qid", "task", "dataset", "token_rewards")
-    df = group_norm(minmax_scale(rollout_reward(base), cfg), cfg)
-    df = responsibility(df, cfg)
-    dens = task_density(task_mass(df), cfg, state)
-    ts_full = task_scale(rarity_boost(dens, cfg), cfg, state)
+    df = hold(group_norm(minmax_scale(rollout_reward(base), cfg), cfg))
+    stats = None
+    if cfg.mode == "z_score":
+        init = None if state is None else state.select(F.col("task").alias("key"), *[F.col(c) for c in STAT_STATE])
+        stats = hold(group_stats(df, "task", "adv", cfg, state=init))
+    df = hold(responsibility(df, cfg, stats=stats))
+    dens = hold(task_density(hold(task_mass(df)), cfg, state))
+    ts_full = hold(task_scale(hold(rarity_boost(dens, cfg, state)), cfg, state))
     ts = ts_full.select("step", "task", "task_scale", "rho_ema", "log_rho_ref")
     qs = question_scale(df, cfg)
     out = df.join(ts, ["step", "task"], "left").join(qs, ["step", "qid"], "left")
@@ -257,11 +270,17 @@ def group_relative_advantage(rollouts: DataFrame, cfg: AdvantageConfig = Advanta
     if not with_state:
         return out
     carried = "log_mult_ema" if cfg.scaling == "geom" else "task_scale"
-    new = (ts_full.groupBy("task").agg(F.max_by("rho_ema", "step").alias("rho_prev"),
-                                       F.max_by(carried, "step").alias("scale_prev")))
+    none = F.lit(None).cast("double")
+    last = F.max_by(F.struct(F.col("rho_ema").alias("rho_prev"), F.col(carried).alias("scale_prev"),
+                             (F.col("sig_ema") if cfg.rarity else none).alias("sig_prev")), F.col("step"))
+    new = ts_full.groupBy("task").agg(last.alias("s")).select("task", "s.*")
+    if stats is None:
+        new = new.select("*", *[none.alias(c) for c in STAT_STATE])
+    else:
+        st = stats.groupBy(F.col("key").alias("task")).agg(F.max_by(F.struct(*STAT_STATE), F.col("step")).alias("s"))
+        new = new.join(st.select("task", "s.*"), "task")
     if state is not None:
-        new = state.select("task", "rho_prev", "scale_prev").join(new.select("task"), "task", "left_anti") \
-                   .unionByName(new)
+        new = state.select(*new.columns).join(new.select("task"), "task", "left_anti").unionByName(new)
     return out, new
 
 

@@ -68,14 +68,19 @@ def adv02(spark, sf_dir):
 
 
 _STATS_SQL = """
-, st0 AS (SELECT step, '{by}' AS kind, {by} AS key, avg({c}) AS mu, stddev_pop({c}) AS sigma, count(*) AS count
+, st0 AS (SELECT step, '{by}' AS kind, {by} AS key, avg({c}) AS mu, stddev_pop({c}) AS sigma, count(*) AS count,
+                 avg(abs({c})) AS abs_mu, stddev_pop(abs({c})) AS abs_sigma
           FROM {src} GROUP BY 1, 2, 3)
 , st1 AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY step) AS i FROM st0)
 , st_{by} AS (SELECT step, kind, key, mu, sigma, count,
      pow(0.95, i - 1) * first_value(mu) OVER w
        + 0.05 * pow(0.95, i) * sum(CASE WHEN i >= 2 THEN mu * pow(0.95, -i) ELSE 0 END) OVER w AS ema_mu,
      pow(0.95, i - 1) * first_value(sigma) OVER w
-       + 0.05 * pow(0.95, i) * sum(CASE WHEN i >= 2 THEN sigma * pow(0.95, -i) ELSE 0 END) OVER w AS ema_sigma
+       + 0.05 * pow(0.95, i) * sum(CASE WHEN i >= 2 THEN sigma * pow(0.95, -i) ELSE 0 END) OVER w AS ema_sigma,
+     pow(0.95, i - 1) * first_value(abs_mu) OVER w
+       + 0.05 * pow(0.95, i) * sum(CASE WHEN i >= 2 THEN abs_mu * pow(0.95, -i) ELSE 0 END) OVER w AS ema_abs_mu,
+     pow(0.95, i - 1) * first_value(abs_sigma) OVER w
+       + 0.05 * pow(0.95, i) * sum(CASE WHEN i >= 2 THEN abs_sigma * pow(0.95, -i) ELSE 0 END) OVER w AS ema_abs_sigma
    FROM st1 WINDOW w AS (PARTITION BY key ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
 """
 
@@ -86,13 +91,14 @@ def _stats_sql(by, c, src):
 
 
 _STATS_OUT = ("SELECT step, kind, key, round(mu, 6) AS mu, round(sigma, 6) AS sigma, count, "
-              "round(ema_mu, 6) AS ema_mu, round(ema_sigma, 6) AS ema_sigma FROM st_task "
+              "round(ema_mu, 6) AS ema_mu, round(ema_sigma, 6) AS ema_sigma, round(ema_abs_mu, 6) AS ema_abs_mu, "
+              "round(ema_abs_sigma, 6) AS ema_abs_sigma FROM st_task "
               "UNION ALL SELECT step, kind, key, round(mu, 6), round(sigma, 6), count, round(ema_mu, 6), "
-              "round(ema_sigma, 6) FROM st_dataset")
+              "round(ema_sigma, 6), round(ema_abs_mu, 6), round(ema_abs_sigma, 6) FROM st_dataset")
 
 
 def _stats_spark(df, col, cfg=A.AdvantageConfig()):
-    cols = ["step", "kind", "key", "mu", "sigma", "count", "ema_mu", "ema_sigma"]
+    cols = ["step", "kind", "key", "mu", "sigma", "count", "ema_mu", "ema_sigma", "ema_abs_mu", "ema_abs_sigma"]
     t = A.group_stats(df, "task", col, cfg).select(*cols)
     d = A.group_stats(df, "dataset", col, cfg).select(*cols)
     return finish(t.unionByName(d))
@@ -118,19 +124,30 @@ def adv05(spark, sf_dir):
     return _stats_spark(df, "adv")
 
 
-@query("adv06_responsibility", _BASE + """
+_EMA = ("pow(0.95, i - 1) * first_value({c}) OVER w + 0.05 * pow(0.95, i) * "
+        "sum(CASE WHEN i >= 2 THEN {c} * pow(0.95, -i) ELSE 0 END) OVER w AS e_{c}")
+
+
+@query("adv06_responsibility", _BASE + f"""
 , g AS (SELECT step, avg(abs(adv)) AS gm FROM r2 GROUP BY 1)
+, z0 AS (SELECT step, task, stddev_pop(adv) AS sg, avg(abs(adv)) AS am, stddev_pop(abs(adv)) AS asg FROM r2 GROUP BY 1, 2)
+, z1 AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY step) AS i FROM z0)
+, z2 AS (SELECT step, task, {_EMA.format(c="sg")}, {_EMA.format(c="am")}, {_EMA.format(c="asg")} FROM z1
+         WINDOW w AS (PARTITION BY task ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
 SELECT rollout_id, 1.0 AS r_none,
        round(1 / (1 + exp(-4.0 * (abs(adv) - 0.5))), 6) AS r_absolute,
-       round(1 / (1 + exp(-4.0 * (abs(adv) / greatest(gm, 1e-6) - 1))), 6) AS r_global_norm
-FROM r2 JOIN g USING (step)""", _V)
+       round(1 / (1 + exp(-4.0 * (abs(adv) / greatest(gm, 1e-6) - 1))), 6) AS r_global_norm,
+       round(1 / (1 + exp(-4.0 * ((abs(adv) - greatest(e_am, 1e-6))
+           / (greatest(CASE WHEN e_asg <= 0 THEN e_sg ELSE e_asg END, 1e-6) + 1e-6) - 0.25))), 6) AS r_z_score
+FROM r2 JOIN g USING (step) JOIN z2 USING (step, task)""", _V)
 def adv06(spark, sf_dir):
     df = A.group_norm(A.minmax_scale(A.rollout_reward(X.rollouts(spark, sf_dir))))
-    out = df.select("step", "rollout_id", "adv")
+    out = df.select("step", "rollout_id", "task", "adv")
     a = A.responsibility(out, A.AdvantageConfig(mode="no_responsibilities")).withColumnRenamed("r", "r_none")
     a = A.responsibility(a, A.AdvantageConfig(mode="absolute")).withColumnRenamed("r", "r_absolute")
     a = A.responsibility(a, A.AdvantageConfig(mode="global_norm")).withColumnRenamed("r", "r_global_norm")
-    return finish(a.select("rollout_id", "r_none", "r_absolute", "r_global_norm"))
+    a = A.responsibility(a, A.AdvantageConfig(mode="z_score")).withColumnRenamed("r", "r_z_score")
+    return finish(a.select("rollout_id", "r_none", "r_absolute", "r_global_norm", "r_z_score"))
 
 
 @query("adv07_task_density", _BASE + """

@@ -208,41 +208,50 @@ def udf02(spark, sf_dir):
     return e.select("conv_id", "turn", F.round(R.cosine_scaled("e_pred", "e_truth"), 6).alias("similarity"))
 
 
-@query("str02_advantage_stream")
+#: Configurations whose streamed result is compared with the batch result.
+STREAM_MODES = {
+    "default": A.AdvantageConfig(),
+    "z_score": A.AdvantageConfig(mode="z_score"),
+    "arith_rarity": A.AdvantageConfig(scaling="arith", rarity=True, rare_ratio=0.5),
+}
+
+
+@query("str02_advantage_stream", """
+SELECT m.mode, r.task, count(*) AS n, true AS same
+FROM rollouts r CROSS JOIN (VALUES ('default'), ('z_score'), ('arith_rarity')) m(mode) GROUP BY 1, 2""", ("rollouts",))
 def str02(spark, sf_dir):
-    """Streaming advantage over three micro-batches of whole steps; reports
-    the largest difference to the batch result per task."""
+    """Streaming advantage over three micro-batches of whole steps, the stream
+    stopped and resumed between them; per mode and task the rows and whether
+    every advantage is that of the batch operator (to 1e-9)."""
     base = scratch_path(spark, "adv_stream")
     ro = X.rollouts(spark, sf_dir)
     lo, hi = ro.agg(F.min("step"), F.max("step")).first()
     span = max(1, (hi - lo + 3) // 3)
+    src = None
     for c in range(3):
         chunk = ro.filter((F.col("step") - lo >= c * span) & (F.col("step") - lo < (c + 1) * span))
-        chunk.repartition("step").write.mode("append").partitionBy("step").parquet(f"{base}/src")
-    src = spark.readStream.schema(ro.schema).option("maxFilesPerTrigger", span).parquet(f"{base}/src")
-    q = ST.advantage_stream(spark, src.select(*ro.columns), f"{base}/out", f"{base}/state", f"{base}/ckpt")
-    q.awaitTermination()
-    streamed = spark.read.parquet(f"{base}/out").select("rollout_id", "task", F.col("advantage").alias("a_stream"))
-    batch = A.group_relative_advantage(ro).select("rollout_id", F.col("advantage").alias("a_batch"))
-    j = streamed.join(batch, "rollout_id")
-    return j.groupBy("task").agg(F.count(F.lit(1)).alias("n"),
-                                 F.max(F.abs(F.col("a_stream") - F.col("a_batch"))).alias("max_abs_diff"))
-
-
-@query("str03_metric_stream")
+        chunk.write.mode("append").parquet(f"{base}/src")
+        src = spark.readStream.schema(ro.schema).option("maxFilesPerTrigger", 1_000_000).parquet(f"{base}/src")
+        for mode, cfg in STREAM_MODES.items():
+            ST.advantage_stream(spark, src, f"{base}/{mode}/out", f"{base}/{mode}/state", f"{base}/{mode}/ckpt", cfg).awaitTermination()
+    out = None
+    for mode, cfg in STREAM_MODES.items():
+        streamed = spark.read.parquet(f"{base}/{mode}/out").select("rollout_id", "task", F.col("advantage").alias("a_stream"))
+        batch = A.group_relative_advantage(ro, cfg).select("rollout_id", F.col("advantage").alias("a_batch"))
+        j = streamed.join(batch, "rollout_id").groupBy("task").agg(
+            F.count(F.lit(1)).alias("n"), (F.max(F.abs(F.col("a_stream") - F.col("a_batch"))) < 1e-9).alias("same"))
+        j = j.select(F.lit(mode).alias("mode"), "task", "n", "same")
+        out = j if out is None else out.unionByName(j)
+    return out
+
+
+@query("str03_metric_stream", """
+SELECT dataset, y_true, y_pred, count(*) AS n FROM preds GROUP BY 1, 2, 3""", ("preds",))
 def str03(spark, sf_dir):
-    """Running confusion cells over a stream of prediction files; metrics
-    from the streamed cells next to the batch metrics."""
+    """Confusion cells counted over a stream of prediction files."""
     base = scratch_path(spark, "metric_stream")
     p = X.preds(spark, sf_dir)
     p.repartition(4).write.mode("overwrite").parquet(f"{base}/src")
     src = spark.readStream.schema(p.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/src")
-    name = f"cells_{abs(hash(base)) % 10**8}"
-    q = ST.metric_stream(spark, src, name, f"{base}/ckpt")
-    q.awaitTermination()
-    streamed = ST.cells_to_metrics(spark.table(name)).select("dataset", F.col("micro_f1").alias("stream_f1"))
-    from ..operators import metrics as M
-    batch = M.set_metrics(M.class_prf(M.class_counts(p, ["dataset"])), ["dataset"]).select(
-        "dataset", F.col("micro_f1").alias("batch_f1"))
-    return streamed.join(batch, "dataset").select("dataset", F.round("stream_f1", 6).alias("stream_f1"),
-                                                  F.round("batch_f1", 6).alias("batch_f1"))
+    ST.metric_stream(src, f"{base}/cells", f"{base}/ckpt").awaitTermination()
+    return ST.current_cells(spark, f"{base}/cells")

@@ -3,14 +3,16 @@
 STR-02: each micro-batch carries one or more *whole* steps.  The step-level
 reference density mixes all tasks of a step, so the state cannot be a
 per-key state store alone; ``foreachBatch`` runs the batch operator with the
-per-task EMA state (``rho_prev``, ``scale_prev``) read from a versioned
-state table, writes the batch's advantages and the next state version, both
+per-task state (density, scale, rarity and z-score averages) of the version
+written before, writes the batch's advantages and the next state version, both
 keyed by batch id.  A replayed batch id overwrites its own output and reads
-the state version written before it, so recovery after a lost executor or a
-restarted query is idempotent.
+the version written before it, so recovery after a lost executor or a
+restarted query is idempotent.  A step that goes on in a later batch is an
+error, as its statistics would be those of a part.
 
 STR-03: cumulative confusion cells per dataset as predictions arrive
-(streaming aggregation with Spark's state store), metrics from the cells.
+(streaming aggregation with Spark's state store), written as a table version
+per batch; metrics from the cells.
 """
 
 from __future__ import annotations
@@ -20,20 +22,30 @@ from pyspark.sql import functions as F
 
 from ..operators import advantage as A
 from ..operators import metrics as M
+from ..session import write_once
 
-STATE_SCHEMA = "task string, rho_prev double, scale_prev double, batch_id bigint"
+STATE_SCHEMA = ("task string, rho_prev double, scale_prev double, sig_prev double, "
+                + ", ".join(f"{c} double" for c in A.STAT_STATE) + ", last_step bigint")
 
 
-def _latest_state(spark: SparkSession, state_dir: str, batch_id: int) -> DataFrame | None:
-    try:
-        st = spark.read.schema(STATE_SCHEMA).parquet(state_dir)
-    except Exception:  # noqa: BLE001 - no state written yet
+def latest_version(spark: SparkSession, path: str, before: int | None = None) -> int | None:
+    """The largest batch id (below ``before``) that has a finished version in
+    ``path``; None if there is none or no such folder.  Only names are listed."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p):
         return None
-    prev = st.filter(F.col("batch_id") < batch_id)
-    last = prev.agg(F.max("batch_id")).first()[0]
-    if last is None:
-        return None
-    return prev.filter(F.col("batch_id") == last).drop("batch_id")
+    done = fs.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/batch_id=*/_SUCCESS")) or []
+    ids = [int(str(s.getPath().getParent().getName()).split("=")[1]) for s in done]
+    return max((i for i in ids if before is None or i < before), default=None)
+
+
+def read_version(spark: SparkSession, path: str, batch_id: int, schema: str) -> DataFrame:
+    return spark.read.schema(schema).parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
+
+
+def _write_version(df: DataFrame, path: str, batch_id: int) -> None:
+    df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
 
 
 def advantage_stream(spark: SparkSession, source: DataFrame, out_dir: str, state_dir: str,
@@ -42,27 +54,54 @@ def advantage_stream(spark: SparkSession, source: DataFrame, out_dir: str, state
     """STR-02: start the streaming advantage job; returns the query handle."""
 
     def run(batch: DataFrame, batch_id: int):
-        state = _latest_state(batch.sparkSession, state_dir, batch_id)
-        adv, new_state = A.group_relative_advantage(batch, cfg, state, with_state=True)
-        adv.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite") \
-           .parquet(f"{out_dir.rstrip('/')}/batch_id={batch_id}")
-        new_state.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("overwrite") \
-                 .parquet(f"{state_dir.rstrip('/')}/batch_id={batch_id}")
+        session = batch.sparkSession
+        last = latest_version(session, state_dir, before=batch_id)
+        if last is None and batch_id > 0:
+            raise ValueError(f"no state before batch {batch_id} in {state_dir}")
+        def hold(d: DataFrame) -> DataFrame:
+            return write_once(d, "advantage_batch")  # cuts the plan, too
+
+        batch = hold(batch)  # read from the source once
+        first, newest = batch.agg(F.min("step"), F.max("step")).first()
+        state = None if last is None else read_version(session, state_dir, last, STATE_SCHEMA)
+        if state is not None:
+            seen = state.agg(F.max("last_step")).first()[0]
+            if first is not None and seen is not None and first <= seen:
+                raise ValueError(f"step {first} of batch {batch_id} is not later than step {seen}: steps must come whole and in order")
+            newest = seen if newest is None else newest
+        adv, new_state = A.group_relative_advantage(batch, cfg, state, with_state=True, hold=hold)
+        _write_version(adv, out_dir, batch_id)
+        _write_version(new_state.withColumn("last_step", F.lit(newest).cast("bigint")), state_dir, batch_id)
 
     w = source.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if trigger_once else w
     return w.start()
 
 
-def metric_stream(spark: SparkSession, source: DataFrame, name: str, checkpoint: str):
+CELL_SCHEMA = "dataset string, y_true bigint, y_pred bigint, n bigint"
+
+
+def metric_stream(source: DataFrame, table_dir: str, checkpoint: str):
     """STR-03: running confusion cells in complete mode (bounded by datasets
-    x classes^2); returns the query handle.  Read the table ``name`` and pass
-    it to :func:`cells_to_metrics`."""
+    x classes^2), a version of the table ``table_dir`` per batch; returns the
+    query handle.  Read them with :func:`current_cells`."""
     cells = source.groupBy("dataset", "y_true", "y_pred").agg(F.count(F.lit(1)).alias("n"))
-    return (cells.writeStream.outputMode("complete").format("memory").queryName(name)
+
+    def run(batch: DataFrame, batch_id: int):
+        _write_version(batch.coalesce(1), table_dir, batch_id)
+
+    return (cells.writeStream.outputMode("complete").foreachBatch(run)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
+def current_cells(spark: SparkSession, table_dir: str) -> DataFrame:
+    """The newest version of the cells of :func:`metric_stream`."""
+    last = latest_version(spark, table_dir)
+    if last is None:
+        return spark.createDataFrame([], CELL_SCHEMA)
+    return read_version(spark, table_dir, last, CELL_SCHEMA)
+
+
 def cells_to_metrics(cells: DataFrame) -> DataFrame:
     prf = M.class_prf(M.class_counts_from_cells(cells, ["dataset"]))
     return M.set_metrics(prf, ["dataset"])

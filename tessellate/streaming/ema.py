@@ -6,58 +6,89 @@ the key's first value, a number seeds with that number).  A key absent from a
 step keeps its state, so the fold runs over the steps where the key appears.
 
 Batch form: one ``groupBy(key)`` collects the key's *history* (one entry per
-step, not per row; callers aggregate rows to steps first) and a JVM-side
-``aggregate`` higher-order function folds it.  History length is the number
-of training steps, bounded by the training schedule rather than by data
-volume.  Streaming form: the same update applied per micro-batch against a
-state table (see :mod:`tessellate.streaming.advantage_stream`).
+step, not per row; callers aggregate rows to steps first) and JVM-side
+``aggregate`` higher-order functions fold it, any number of statistics at once.
+History length is the number of training steps, bounded by the training
+schedule rather than by data volume.  The history is folded in blocks of about
+the square root of its length, so that growing the output costs
+length ** 1.5 copies at most.  Streaming form: the same fold per micro-batch
+from a state table (see :mod:`tessellate.streaming.advantage_stream`).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+@dataclass(frozen=True)
+class Ema:
+    """One statistic to fold: input column, decay, output column, seed, and
+    bounds *inside* the recursion (the stored previous value is the bounded one)."""
+
+    value: str
+    beta: float
+    out: str = "ema"
+    seed: str | float = "first"
+    clamp: tuple[float, float] | None = None
+
+    def step(self, prev: Column, value: Column) -> Column:
+        seeded = F.coalesce(prev, value if self.seed == "first" else F.lit(float(self.seed)))
+        e = ema_update(seeded, value, self.beta)
+        return e if self.clamp is None else F.greatest(F.lit(self.clamp[0]), F.least(F.lit(self.clamp[1]), e))
+
+
 def ema_update(prev: Column, value: Column, beta: float) -> Column:
     return F.lit(beta) * prev + F.lit(1.0 - beta) * value
 
 
-def ema_fold(df: DataFrame, keys: Sequence[str], order: str, value: str, beta: float,
-             seed: str | float = "first", clamp: tuple[float, float] | None = None,
-             out: str = "ema", init_state: DataFrame | None = None) -> DataFrame:
-    """Return ``(keys, order, out)``: the EMA after each step of each key.
+def ema_folds(df: DataFrame, keys: Sequence[str], order: str, emas: Sequence[Ema],
+              init_state: DataFrame | None = None) -> DataFrame:
+    """``keys, order`` and the EMA of each statistic after each step of each key.
 
-    ``clamp`` bounds the EMA *inside* the recursion (the stored previous
-    value is the clamped one).  ``init_state`` optionally supplies
-    ``(keys, prev)`` carried over from earlier batches.
+    ``init_state`` optionally supplies the values carried over from earlier
+    batches: ``keys`` and a column named like each ``out``.
     """
-    keys = list(keys)
-    hist = (df.groupBy(*keys)
-            .agg(F.array_sort(F.collect_list(F.struct(F.col(order).cast("bigint").alias("o"),
-                                                      F.col(value).cast("double").alias("v")))).alias("_h")))
+    keys, n = list(keys), range(len(emas))
+    entry = F.struct(F.col(order).cast("bigint").alias("o"), *[F.col(m.value).cast("double").alias(f"v{i}") for i, m in enumerate(emas)])
+    hist = df.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("_h"))
     if init_state is not None:
-        hist = hist.join(init_state.select(*keys, F.col("prev").cast("double").alias("_p0")), keys, "left")
+        prev = init_state.select(*keys, F.struct(*[F.col(m.out).cast("double").alias(f"p{i}") for i, m in enumerate(emas)]).alias("_p"))
+        hist = hist.join(prev, keys, "left")
+        start = F.struct(*[F.col(f"_p.p{i}").alias(f"p{i}") for i in n])
     else:
-        hist = hist.withColumn("_p0", F.lit(None).cast("double"))
+        start = F.struct(*[F.lit(None).cast("double").alias(f"p{i}") for i in n])
+
+    one = "struct<o:bigint," + ",".join(f"e{i}:double" for i in n) + ">"
 
     def step(acc, x):
-        if seed == "first":
-            prev = F.coalesce(acc["prev"], x["v"])
-        else:
-            prev = F.coalesce(acc["prev"], F.lit(float(seed)))
-        e = ema_update(prev, x["v"], beta)
-        if clamp is not None:
-            e = F.greatest(F.lit(clamp[0]), F.least(F.lit(clamp[1]), e))
-        return F.struct(e.alias("prev"),
-                        F.concat(acc["out"], F.array(F.struct(x["o"].alias("o"), e.alias("e")))).alias("out"))
-
-    init = F.struct(F.col("_p0").alias("prev"),
-                    F.array().cast("array<struct<o:bigint,e:double>>").alias("out"))
-    folded = hist.select(*keys, F.aggregate("_h", init, step)["out"].alias("_o"))
-    return folded.select(*keys, F.inline("_o")).withColumnRenamed("o", order).withColumnRenamed("e", out)
+        e = [m.step(acc["prev"][f"p{i}"], x[f"v{i}"]) for i, m in enumerate(emas)]
+        row = F.struct(x["o"].alias("o"), *[e[i].alias(f"e{i}") for i in n])
+        return F.struct(F.struct(*[e[i].alias(f"p{i}") for i in n]).alias("prev"), F.concat(acc["out"], F.array(row)).alias("out"))
+
+    def block(acc, part):
+        done = F.aggregate(part, F.struct(acc["prev"].alias("prev"), F.array().cast(f"array<{one}>").alias("out")), step)
+        return F.element_at(F.transform(F.array(done), lambda r: F.struct(
+            r["prev"].alias("prev"), F.concat(acc["out"], F.array(r["out"])).alias("out"))), 1)
+
+    width = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size("_h"))).cast("int"))
+    hist = hist.withColumn("_w", width)
+    parts = F.transform(F.sequence(F.lit(1), F.size("_h"), F.col("_w")), lambda i: F.slice("_h", i, F.col("_w")))
+    empty = F.struct(start.alias("prev"), F.array().cast(f"array<array<{one}>>").alias("out"))
+    folded = hist.select(*keys, F.flatten(F.aggregate(parts, empty, block)["out"]).alias("_o"))
+    flat = folded.select(*keys, F.inline("_o"))
+    return flat.select(*keys, F.col("o").alias(order), *[F.col(f"e{i}").alias(m.out) for i, m in enumerate(emas)])
+
+
+def ema_fold(df: DataFrame, keys: Sequence[str], order: str, value: str, beta: float,
+             seed: str | float = "first", clamp: tuple[float, float] | None = None,
+             out: str = "ema", init_state: DataFrame | None = None) -> DataFrame:
+    """:func:`ema_folds` of one statistic; ``init_state`` is (keys, prev)."""
+    init = init_state.withColumnRenamed("prev", out) if init_state is not None else None
+    return ema_folds(df, keys, order, [Ema(value, beta, out, seed, clamp)], init)
 
 
 def ema_last(folded: DataFrame, keys: Sequence[str], order: str, out: str = "ema") -> DataFrame:
