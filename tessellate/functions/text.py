@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..scheme import BOOL_FALSE, BOOL_TRUE
+
 # FIXED VALUES: patterns of the answer formats the scorers recognise.
 BOXED_ANY = r"\\boxed\{([^}]*)\}"        # \boxed{...}, may be empty
 BOXED_NONEMPTY = r"\\boxed\{([^}]+)\}"   # \boxed{...}, at least one char
@@ -24,8 +26,6 @@ ANSWER_TAG = r"(?d)<answer>(.*?)</answer>"
 ANSWER_TAG_NO_LT = r"<answer>([^<]+)</answer>"
 FIRST_PHRASE = r"^([^.\n,!?]+)"
 TAG_SPACING = r"(?U)\s*(<|>|/)\s*"
-BOOL_TRUE = ["true", "yes", "1", "y", "t"]
-BOOL_FALSE = ["false", "no", "0", "n", "f"]
 
 
 def _c(c) -> Column:

@@ -97,10 +97,18 @@ def resolve_index(canon: DataFrame, spark, strict: bool = False) -> DataFrame:
     return j
 
 
-def label_report(canon: DataFrame) -> DataFrame:
-    """LBL-06: (reason, n) over resolved pairs; reasons with no pair are absent."""
-    return (canon.filter(F.col("reason").isNotNull()).groupBy("reason")
-            .agg(F.count(F.lit(1)).alias("n")))
+def label_report(resolved: DataFrame, qa: DataFrame | None = None) -> DataFrame:
+    """LBL-06: the build report as rows (reason, item): the key of every pair
+    with a reason (unknown dataset or spelling outside the class list), of every
+    pair of a known dataset that resolves to no class (``unmappable``), and the
+    excluded QA datasets (``excluded_qa_datasets``) of ``qa``.  ``resolved`` is
+    the result of :func:`resolve_index`."""
+    named = resolved.filter(F.col("reason").isNotNull()).select("reason", F.col("key").alias("item"))
+    lost = resolved.filter(F.col("status") == "unmappable").select(F.lit("unmappable").alias("reason"), F.col("key").alias("item"))
+    out = named.unionByName(lost)
+    if qa is not None:
+        out = out.unionByName(qa.select(F.lit("excluded_qa_datasets").alias("reason"), F.col("dataset").alias("item")).distinct())
+    return out
 
 
 def dataset_labels(pairs: DataFrame) -> DataFrame:
@@ -133,7 +141,7 @@ def domain_id(df: DataFrame, spark, qa: DataFrame | None = None) -> DataFrame:
     out = df.join(dd, "dataset", "left")
     qa_names = qa if qa is not None else df.sparkSession.createDataFrame(
         [(d,) for d in scheme.QA_DATASETS], "dataset string")
-    qa_flag = F.broadcast(qa_names.select("dataset").distinct().withColumn("_qa", F.lit(True)))
+    qa_flag = qa_names.select("dataset").distinct().withColumn("_qa", F.lit(True))
     out = out.join(qa_flag, "dataset", "left")
     did = F.when(F.col("_qa"), F.lit(-1).cast("bigint")).otherwise(F.col("domain_id"))
     return (out.withColumn("domain_id", did)
@@ -154,7 +162,7 @@ def include_datasets(df: DataFrame, include: DataFrame | None) -> DataFrame:
     """PRJ-09 / JON-04: keep listed datasets (None = all)."""
     if include is None:
         return df
-    return df.join(F.broadcast(include.select("dataset").distinct()), "dataset", "left_semi")
+    return df.join(include.select("dataset").distinct(), "dataset", "left_semi")
 
 
 def unknown_datasets(include: DataFrame, df: DataFrame) -> DataFrame:

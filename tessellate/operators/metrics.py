@@ -105,7 +105,8 @@ def metrics_by_dataset(preds: DataFrame, label_names: DataFrame | None = None) -
 
     Output rows ``(scope, metric, value)``: ``scope`` is the dataset name or
     ``__all__`` for the pooled set.  Class f1 is keyed by class index
-    (``class_f1/<index>``) because unnamed classes would collide on ``''``.
+    (``class_f1/<index>``), or with ``label_names`` (global_index, label) by
+    class name (``<name>/class_f1``; the index where a class has no name).
     The pooled class set is computed from the same cells (its fp counts need
     the pooled ground-truth class set, which is not the union of per-dataset
     fp counts).
@@ -117,8 +118,13 @@ def metrics_by_dataset(preds: DataFrame, label_names: DataFrame | None = None) -
     ds_set = to_long(set_metrics(per_ds, ["dataset"]), ["dataset"], SET_METRIC_NAMES)
     all_set = to_long(set_metrics(pooled, []).withColumn("dataset", F.lit("__all__")),
                       ["dataset"], SET_METRIC_NAMES)
-    cls_f1 = per_ds.select("dataset", F.concat(F.lit("class_f1/"), F.col("cls").cast("string")).alias("metric"),
-                           F.col("f1").alias("value"))
+    if label_names is None:
+        name = F.concat(F.lit("class_f1/"), F.col("cls").cast("string"))
+    else:
+        names = label_names.select(F.col("global_index").alias("_gi"), F.col("label").alias("_name"))
+        per_ds = per_ds.join(names, F.col("cls") == F.col("_gi"), "left")
+        name = F.concat(F.coalesce(F.col("_name"), F.col("cls").cast("string")), F.lit("/class_f1"))
+    cls_f1 = per_ds.select("dataset", name.alias("metric"), F.col("f1").alias("value"))
     out = ds_set.unionByName(all_set).unionByName(cls_f1)
     return out.withColumnRenamed("dataset", "scope")
 
@@ -215,6 +221,17 @@ def emotion_weighted_accuracy(preds: DataFrame, domains: DataFrame,
     return per_class.unionByName(mean)
 
 
+def flat_report(preds: DataFrame, label_names: DataFrame, positions: DataFrame, domains: DataFrame) -> DataFrame:
+    """MET-06 with MET-09 and MET-10 as one flat result (key, value): the pooled
+    set under the bare metric name, everything else under ``dataset/metric``."""
+    base = metrics_by_dataset(preds, label_names)
+    flat = base.select(F.when(F.col("scope") == "__all__", F.col("metric"))
+                       .otherwise(F.concat_ws("/", "scope", "metric")).alias("key"), "value")
+    for more in (sentiment_metrics(preds, positions, domains), emotion_weighted_accuracy(preds, domains, label_names)):
+        flat = flat.unionByName(more.select(F.concat_ws("/", "dataset", "metric").alias("key"), "value"))
+    return flat
+
+
 # ---------------------------------------------------------------------------
 # Generation, judge, loss, simple accuracy
 # ---------------------------------------------------------------------------

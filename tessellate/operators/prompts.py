@@ -100,6 +100,17 @@ def first_feature_path(col: str, base_dir: str) -> Column:
                   F.when(first.startswith("/"), first).otherwise(F.concat(F.lit(base_dir.rstrip("/") + "/"), first)))
 
 
+def first_existing_path(df: DataFrame, col: str, base_dir: str, existing: DataFrame, out: str, key: str = "sample_id") -> DataFrame:
+    """PRJ-07, the variant that tests for existence: the first list element (in
+    list order, joined to the base directory) that is in ``existing`` (one
+    column ``path``, a listing of the store), else null.  The listing is joined,
+    no file is opened; ``key`` identifies rows."""
+    items = df.select(key, F.posexplode(col).alias("_pos", "_item")).filter(F.col("_item").isNotNull())
+    full = F.when(F.col("_item").startswith("/"), F.col("_item")).otherwise(F.concat(F.lit(base_dir.rstrip("/") + "/"), F.col("_item")))
+    hit = items.withColumn("path", full).join(existing.select("path").distinct(), "path")
+    return df.join(hit.groupBy(key).agg(F.min_by("path", "_pos").alias(out)), key, "left")
+
+
 def task_suffix(task: Column) -> Column:
     """The task type of a dataset's first row: text after the last '_', or
     'cls' when there is no '_'."""
@@ -126,7 +137,7 @@ def route_row(df: DataFrame, qa: DataFrame | None = None) -> DataFrame:
     dataset (then lm_label = lower(answer), label 0); else classification."""
     names = qa if qa is not None else df.sparkSession.createDataFrame(
         [(d,) for d in scheme.QA_DATASETS], "dataset string")
-    flag = F.broadcast(names.select(F.lower("dataset").alias("_ds")).distinct().withColumn("_isqa", F.lit(True)))
+    flag = names.select(F.lower("dataset").alias("_ds")).distinct().withColumn("_isqa", F.lit(True))
     j = df.join(flag, F.lower(df["dataset"]) == flag["_ds"], "left").drop("_ds")
     is_qa = F.lower(F.coalesce(F.col("task"), F.lit(""))).endswith("_qa") | F.coalesce(F.col("_isqa"), F.lit(False))
     return (j.withColumn("route", F.when(is_qa, "qa").otherwise("cls"))
@@ -209,9 +220,11 @@ def build_chat(df: DataFrame, modalities: list[str], form: str = "path",
 
 
 def render_judge_prompt(df: DataFrame, instructions: DataFrame, template: str = JUDGE_TEMPLATE) -> DataFrame:
-    """PRJ-17: per-dataset grading instruction (broadcast lookup of a
-    dataset-sized table) plus the question / candidate / reference text."""
-    j = df.join(F.broadcast(instructions.select("dataset", "instruction")), "dataset", "left")
+    """PRJ-17: per-dataset grading instruction plus the question / candidate /
+    reference text.  Of several instructions for a dataset the smallest in text
+    order is taken, so no row is doubled."""
+    one = instructions.groupBy("dataset").agg(F.min("instruction").alias("instruction"))
+    j = df.join(one, "dataset", "left")
     return j.withColumn("judge_prompt", F.format_string(template, F.col("question"), F.col("pred"), F.col("gold")))
 
 

@@ -131,8 +131,8 @@ def label_pairs_in(spark, sf_dir) -> DataFrame:
 
 
 def responses(spark, sf_dir) -> DataFrame:
-    """Assistant turns wrapped in the answer formats the scorers look for."""
-    c = table(spark, sf_dir, "conversations").filter(F.col("role") == "assistant")
+    """All turns wrapped in the answer formats the scorers look for."""
+    c = table(spark, sf_dir, "conversations")
     k = F.col("conv_id")
     truth = F.lower(F.split_part(F.col("text"), F.lit(" "), F.lit(1)))
     t = F.col("text")
@@ -156,7 +156,7 @@ def responses(spark, sf_dir) -> DataFrame:
 
 def judge_replies(spark, sf_dir) -> DataFrame:
     """Stored judge replies in five shapes, one per conversation turn."""
-    c = table(spark, sf_dir, "conversations").filter(F.col("role") == "user")
+    c = table(spark, sf_dir, "conversations")
     k = F.col("conv_id") + F.col("turn")
     expl = F.concat(F.lit("turn "), F.col("turn").cast("string"))
     flag = F.when(F.col("conv_id") % 2 == 0, "true").otherwise("false")
@@ -242,14 +242,14 @@ def judge_inputs(spark, sf_dir):
 
     Bank: benchmark items spread over the three QA datasets, answer = first
     word; several items share an answer, so the bank has duplicate keys.
-    Predictions: assistant turns with the first word as gold; a fourth
+    Predictions: all turns with the first word as gold; a fourth
     dataset has no bank at all.
     """
     b = table(spark, sf_dir, "benchmark")
     bank = b.select(_pick(["mimeqa", "siq2", "intentqa"], F.col("item_id") % 3).alias("dataset"),
                     F.lower(F.split_part("text", F.lit(" "), F.lit(1))).alias("answer"),
                     F.col("text").alias("question"), F.col("item_id").alias("ordinal"))
-    c = table(spark, sf_dir, "conversations").filter(F.col("role") == "assistant")
+    c = table(spark, sf_dir, "conversations")
     preds = c.select("conv_id", "turn",
                      _pick(["mimeqa", "siq2", "intentqa", "other"], F.col("conv_id") % 4).alias("dataset"),
                      F.col("text").alias("pred"),

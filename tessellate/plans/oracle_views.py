@@ -75,7 +75,7 @@ SELECT conv_id, turn, 'd' || (conv_id % 4) AS dataset,
             WHEN 4 THEN '< think >' || text || '< /think >\\boxed{ ' || lower(split_part(text, ' ', 1)) || ' }'
             ELSE text END AS response,
        lower(split_part(text, ' ', 1)) AS truth
-FROM conversations WHERE role = 'assistant'""",
+FROM conversations""",
     "judge_replies": """
 SELECT conv_id, turn, 'd' || (conv_id % 4) AS dataset,
        CASE (conv_id + turn) % 5
@@ -86,7 +86,7 @@ SELECT conv_id, turn, 'd' || (conv_id % 4) AS dataset,
             WHEN 2 THEN 'Verdict: TRUE, turn ' || turn
             WHEN 3 THEN 'no. turn ' || turn
             ELSE '{"explanation": "turn ' || turn || '"}' END AS reply
-FROM conversations WHERE role = 'user'""",
+FROM conversations""",
     "pairs": """
 SELECT a.vec_id, a.embedding AS emb_a, a.label, b.embedding AS emb_b
 FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""",

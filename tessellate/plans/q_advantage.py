@@ -254,12 +254,15 @@ def adv12(spark, sf_dir):
                   .withColumn("pos", F.col("pos").cast("bigint")))
 
 
-@query("adv13_advantage_log")
+@query("adv13_advantage_log", _BASE + """
+SELECT step, 'final' AS stage, qid, task, dataset, round(advantage, 6) AS advantage, 1.0 AS responsibility FROM fin
+UNION ALL SELECT step, 'post_grpo', qid, task, dataset, round(adv, 6), NULL FROM fin""", _V)
 def adv13(spark, sf_dir):
     """Writes the advantage log partitioned by step and reads it back."""
     path = scratch_path(spark, "advantage_log")
     A.advantage_log(_adv(spark, sf_dir), path)
-    return spark.read.parquet(path).groupBy("step", "stage").agg(F.count(F.lit(1)).alias("n"))
+    log = spark.read.parquet(path)
+    return finish(log.select(F.col("step").cast("bigint").alias("step"), "stage", "qid", "task", "dataset", "advantage", "responsibility"))
 
 
 @query("smp08_rollout_pos", """

@@ -51,7 +51,7 @@ def smp03(spark, sf_dir):
     return b.select("sample_id", "batch_id", pos["epoch"].alias("epoch"), pos["offset"].alias("offset"))
 
 
-@query("smp04_seeded_shuffle")
+@query("smp04_seeded_shuffle", "SELECT count(*) AS n, count(DISTINCT doc_id) AS distinct_ids FROM documents")
 def smp04(spark, sf_dir):
     """Seeded total order; checked for being a permutation of the input."""
     s = B.seeded_shuffle(X.samples(spark, sf_dir).select("sample_id"), seed=42)

@@ -1,4 +1,4 @@
-"""Source/sink, streaming, plug-in and media-profile queries (rows checks).
+"""Source/sink, streaming, plug-in and media-profile queries.
 
 These write Spark-derived tables under the shared checkpoint folder
 (``spark.checkpoint.dir``) and read them back through the library readers.
@@ -9,8 +9,11 @@ from __future__ import annotations
 import io
 import wave
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,6 +28,8 @@ from ..sources import readers as RD
 from ..sources import sinks as SK
 from ..streaming import advantage_stream as ST
 from . import fixtures as X
+from . import q_labels as QL
+from . import q_text as QT
 from .registry import query
 
 
@@ -33,24 +38,32 @@ def _samples_schema_rows(spark, sf_dir):
     return s.select(*[f.name for f in RD.SAMPLE_SCHEMA.fields])
 
 
-@query("src01_read_split")
+@query("src01_read_split", "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS row_in_file FROM documents")
 def src01(spark, sf_dir):
-    """Single-file form of the split reader, with file/row positions."""
+    """Single-file form of the split reader, with row positions."""
     df = RD.read_split(spark, f"{sf_dir.rstrip('/')}/documents.parquet", "train")
-    return df.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.max("_row").alias("max_row"))
+    return df.select("doc_id", F.col("_row").alias("row_in_file"))
 
 
-@query("src02_read_samples")
+@query("src02_read_samples", """
+SELECT dataset, 2 * count(*) AS n, CAST(2 * sum(len(images)) AS BIGINT) AS n_images, 2 * count(task) AS n_tasks,
+       2 * count_if(audios IS NULL) AS no_audio, CAST(2 * sum(length(problem)) AS BIGINT) AS chars FROM samples GROUP BY 1""", ("samples",))
 def src02(spark, sf_dir):
     base = scratch_path(spark, "samples_in")
     s = _samples_schema_rows(spark, sf_dir)
     s.write.mode("overwrite").parquet(f"{base}/samples.parquet")
     s.write.mode("overwrite").json(f"{base}/samples.jsonl")
     df = RD.read_samples(spark, [f"{base}/samples.parquet", f"{base}/samples.jsonl"])
-    return df.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"))
+    return df.groupBy("dataset").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.size("images")).alias("n_images"), F.count("task").alias("n_tasks"),
+        F.count_if(F.col("audios").isNull()).alias("no_audio"), F.sum(F.length("problem")).alias("chars"))
 
 
-@query("src03_read_jsonl_tolerant")
+@query("src03_read_jsonl_tolerant", """
+, l AS (SELECT dataset, row_id % 13 = 0 AS broken, row_id % 13 <> 0 AND row_id % 29 = 0 AS blank FROM label_pairs_in)
+SELECT dataset AS key, count(*) AS n FROM l WHERE NOT broken AND NOT blank GROUP BY 1
+UNION ALL SELECT 'nonblank_lines', count_if(NOT blank) FROM l
+UNION ALL SELECT 'parsed', count_if(NOT blank AND NOT broken) FROM l""", ("label_pairs_in",))
 def src03(spark, sf_dir):
     base = scratch_path(spark, "jsonl_in")
     d = X.label_pairs_in(spark, sf_dir)
@@ -69,7 +82,9 @@ X_PAIRS_SCHEMA = T.StructType([T.StructField("dataset", T.StringType()), T.Struc
                                T.StructField("answer", T.StringType())])
 
 
-@query("src05_media_form")
+@query("src05_media_form", """
+SELECT 'path_form' AS "table", 'path' AS form, count(*) AS n FROM samples
+UNION ALL SELECT 'binary_form', 'binary', NULL""", ("samples",))
 def src05(spark, sf_dir):
     s = X.samples(spark, sf_dir)
     b = s.withColumn("audios", F.transform(F.coalesce("audios", F.array().cast("array<string>")),
@@ -80,77 +95,106 @@ def src05(spark, sf_dir):
     return forms.join(n, "table", "left")
 
 
-@query("src07_read_annotations")
+@query("src07_read_annotations", """
+SELECT 'mimeqa' AS dataset, lower(split_part(text, ' ', 1)) AS answer, text AS question FROM benchmark WHERE item_id % 3 = 0
+UNION ALL SELECT 'siq2', lower(split_part(text, ' ', 1)), text FROM benchmark WHERE item_id % 3 = 1
+UNION ALL SELECT 'intentqa', lower(coalesce(string_split(text, ' ')[item_id % 7 + 1], '-')), text FROM benchmark WHERE item_id % 3 = 2""")
 def src07(spark, sf_dir):
     base = scratch_path(spark, "banks")
     b = X.table(spark, sf_dir, "benchmark")
     first = F.split_part("text", F.lit(" "), F.lit(1))
-    b.filter(F.col("item_id") % 3 == 0).select(F.col("text").alias("question"), first.alias("reference_answer")) \
-        .write.mode("overwrite").option("header", True).csv(f"{base}/mimeqa")
+
+    def csv(df, path):
+        df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+    csv(b.filter(F.col("item_id") % 3 == 0).select(F.col("text").alias("question"), first.alias("reference_answer")), f"{base}/mimeqa")
     b.filter(F.col("item_id") % 3 == 1).select(F.col("text").alias("q"), first.alias("ans_corr")) \
         .write.mode("overwrite").json(f"{base}/siq2")
     words = F.split("text", " ")
-    b.filter(F.col("item_id") % 3 == 2).select(
-        F.col("text").alias("question"), (F.col("item_id") % 3).cast("string").alias("answer"),
-        *[F.coalesce(F.get(words, i), F.lit("")).alias(f"a{i}") for i in range(5)]) \
-        .write.mode("overwrite").option("header", True).csv(f"{base}/intentqa")
+    csv(b.filter(F.col("item_id") % 3 == 2).select(
+        F.col("text").alias("question"), (F.col("item_id") % 7).cast("string").alias("answer"),
+        *[F.coalesce(F.get(words, i), F.lit("-")).alias(f"a{i}") for i in range(7)]), f"{base}/intentqa")
     bank = RD.read_annotations(spark, [("mimeqa", f"{base}/mimeqa"), ("intentqa", f"{base}/intentqa")],
                                [("siq2", f"{base}/siq2")])
-    return bank.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"),
-                                       F.count_distinct("answer").alias("distinct_answers"))
+    return bank.select("dataset", "answer", "question")
 
 
-@query("src08_read_predictions")
+@query("src08_read_predictions", """
+SELECT dataset, 'x' || truth AS gold, count(*) AS n, CAST(sum(length(response)) AS BIGINT) AS chars FROM responses GROUP BY 1, 2""", ("responses",))
 def src08(spark, sf_dir):
     path = scratch_path(spark, "predictions_rows")
-    r = X.responses(spark, sf_dir).select("dataset", F.col("response").alias("pred"), F.upper("truth").alias("gold"))
+    r = X.responses(spark, sf_dir).select("dataset", F.col("response").alias("pred"), F.concat(F.lit("X"), "truth").alias("gold"))
     r.write.mode("overwrite").json(path)
     p = RD.read_predictions(spark, path, layout="rows")
-    return p.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"),
-                                    F.sum((F.col("gold") == F.lower("gold")).cast("int")).alias("lower_gold"))
+    return p.groupBy("dataset", "gold").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("pred")).alias("chars"))
+
+
+@query("src08b_read_prediction_arrays", r"""
+, r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, count(*) OVER (PARTITION BY conv_id) AS c FROM responses)
+SELECT dataset, CASE WHEN regexp_matches(response, '\\boxed\{[^}]+\}') THEN regexp_extract(response, '\\boxed\{([^}]+)\}', 1)
+                     ELSE regexp_replace(response, '^\s+|\s+$', '', 'g') END AS pred, 'x' || truth AS gold, count(*) AS n
+FROM r WHERE conv_id % 2 = 0 OR k < c GROUP BY 1, 2, 3""", ("responses",))
+def src08b(spark, sf_dir):
+    """The parallel-array layout, one document per conversation; every other
+    one lacks its last gold answer, so its rows end one earlier."""
+    path = scratch_path(spark, "prediction_arrays")
+    r = X.responses(spark, sf_dir)
+    d = r.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "response", "truth", "dataset", "task"))).alias("t"))
+    gold = F.transform("t", lambda x: F.concat(F.lit("X"), x["truth"]))
+    d.select(F.col("t.response").alias("predictions"),
+             F.when(F.col("conv_id") % 2 == 0, gold).otherwise(F.slice(gold, F.lit(1), F.size("t") - 1)).alias("ground_truths"),
+             F.col("t.dataset").alias("datasets"), F.col("t.task").alias("tasks")).write.mode("overwrite").json(path)
+    p = RD.read_predictions(spark, path, layout="arrays", multiline=False)
+    return p.groupBy("dataset", "pred", "gold").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("src09_write_predictions")
+@query("src09_write_predictions", """
+SELECT CASE WHEN y_true < 3 THEN 100 ELSE 200 END AS step, dataset, y_true, y_pred, count(*) AS n FROM preds GROUP BY 1, 2, 3, 4""", ("preds",))
 def src09(spark, sf_dir):
     path = scratch_path(spark, "predictions_by_step")
     p = X.preds(spark, sf_dir).withColumn("step", F.when(F.col("y_true") < 3, 100).otherwise(200))
     SK.write_predictions(p, path)
-    return spark.read.json(path).groupBy("step").agg(F.count(F.lit(1)).alias("n"))
+    return spark.read.json(path).groupBy("step", "dataset", "y_true", "y_pred").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("src10_write_label_scheme")
+@query("src10_write_label_scheme", QL._SQL_CANON + """
+SELECT 'label_mapping' AS "table", key AS item, CAST(global_index AS VARCHAR) AS value FROM canon
+UNION ALL SELECT 'global_classes', label, CAST(global_index AS VARCHAR) FROM gclass
+UNION ALL SELECT 'dataset_labels', dataset, array_to_string(list_sort(list(answer)), '|') FROM lp GROUP BY dataset
+UNION ALL SELECT 'dataset_domain', dataset, domain FROM dsdomain""", QL._V)
 def src10(spark, sf_dir):
     path = scratch_path(spark, "label_scheme")
     rows = X.label_pairs_in(spark, sf_dir)
     pairs = L.label_pairs(rows, L.qa_datasets(rows))
     mapping = L.resolve_index(L.canonical_label(pairs, spark), spark)
     SK.write_label_scheme(spark, mapping, pairs, path)
-    parts = ["label_mapping", "global_classes", "dataset_labels", "dataset_domain"]
-    out = None
-    for p in parts:
-        c = spark.read.parquet(f"{path}/{p}").groupBy().agg(F.count(F.lit(1)).alias("n")) \
-                 .withColumn("table", F.lit(p))
-        out = c if out is None else out.unionByName(c)
-    return out
+    values = {"label_mapping": ("key", F.col("global_index").cast("string")), "global_classes": ("label", F.col("global_index").cast("string")),
+              "dataset_labels": ("dataset", F.array_join("labels", "|")), "dataset_domain": ("dataset", F.col("domain"))}
+    parts = [spark.read.parquet(f"{path}/{t}").select(F.lit(t).alias("table"), F.col(k).alias("item"), v.alias("value")) for t, (k, v) in values.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
-@query("src11_write_graded")
+@query("src11_write_graded", QT._S_JUDGE.replace("\nSELECT conv_id, turn,\n", "\n, v AS (SELECT conv_id, turn,\n") + """)
+SELECT r.dataset, v.correct AS graded_result, v.explanation AS graded_result_explanation, count(*) AS n
+FROM v JOIN judge_replies r USING (conv_id, turn) GROUP BY 1, 2, 3""", ("judge_replies",))
 def src11(spark, sf_dir):
     path = scratch_path(spark, "graded")
     j = X.judge_replies(spark, sf_dir).select("dataset", TX.parse_judge_reply("reply").alias("v"))
     g = j.select("dataset", F.col("v.correct").alias("graded_result"),
                  F.col("v.explanation").alias("graded_result_explanation"))
     SK.write_graded(g, path)
-    return spark.read.json(path).groupBy("dataset", "graded_result").agg(F.count(F.lit(1)).alias("n"))
+    return spark.read.json(path).groupBy("dataset", "graded_result", "graded_result_explanation").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("src12_export_by_dataset")
+@query("src12_export_by_dataset", """
+SELECT dataset, CASE WHEN n_chars % 4 = 3 THEN 'validation' ELSE 'train' END AS split, count(*) AS n,
+       CAST(sum(length(problem)) AS BIGINT) AS chars FROM samples GROUP BY 1, 2""", ("samples",))
 def src12(spark, sf_dir):
     path = scratch_path(spark, "export")
     s = X.samples(spark, sf_dir).withColumn(
         "split", F.when(F.col("n_chars") % 4 == 3, "validation").otherwise("train"))
     SK.export_by_dataset(s.select("sample_id", "problem", "dataset", "split"), path)
-    return spark.read.parquet(path).groupBy("dataset", "split").agg(F.count(F.lit(1)).alias("n"))
+    return spark.read.parquet(path).groupBy("dataset", "split").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("problem")).alias("chars"))
 
 
 def _wav_bytes(values: np.ndarray, rate: int, channels: int) -> bytes:
@@ -166,7 +210,12 @@ def _wav_bytes(values: np.ndarray, rate: int, channels: int) -> bytes:
     return buf.getvalue()
 
 
-@query("med01_audio_profile")
+@query("med01_audio_profile", """
+, i AS (SELECT [8000, 16000, 44100][label % 3 + 1] AS sample_rate, 1 + label % 2 AS channels, false AS failed FROM embeddings
+        UNION ALL SELECT NULL, NULL, true FROM embeddings WHERE vec_id % 10 = 0)
+SELECT sample_rate, channels, failed, count(*) AS n,
+       CAST(sum(CASE WHEN NOT failed THEN least(CAST(round(3200 * 16000 / sample_rate) AS BIGINT), 160000) END) AS BIGINT) AS clipped_samples,
+       round(sum(3200 / sample_rate), 6) AS seconds FROM i GROUP BY 1, 2, 3""", ("embeddings",))
 def med01(spark, sf_dir):
     """WAV header profile of audio bytes built from the embedding values."""
     e = X.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("sample_id"), "embedding", "label")
@@ -188,15 +237,15 @@ def med01(spark, sf_dir):
         F.round(F.sum("seconds"), 6).alias("seconds"))
 
 
-@query("udf01_reward_plugin")
+@query("udf01_reward_plugin", """
+, x AS (SELECT conv_id, turn, lower(response) AS r, lower(truth) AS g FROM responses)
+, y AS (SELECT *, list_distinct(string_split(g, '')) AS gs, string_split(r, '') AS rs FROM x)
+SELECT conv_id, turn, round(CASE WHEN contains(r, g) THEN 1.0 ELSE len(list_filter(gs, lambda c: list_contains(rs, c))) / greatest(1, len(gs)) END
+       + CASE WHEN length(r) > 400 THEN -0.1 ELSE 0.0 END, 6) AS score FROM y""", ("responses",))
 def udf01(spark, sf_dir):
     r = X.responses(spark, sf_dir)
-    scored = U.apply_reward_fn(r, U.python_cls_reward, ["conv_id", "turn"])
-    native = r.select("conv_id", "turn", R.reward_v2("response", "truth", F.lit("cls"), max_len=None)
-                      .alias("v")).select("conv_id", "turn", F.col("v.score").alias("native_score"))
-    j = scored.join(native, ["conv_id", "turn"])
-    return j.groupBy().agg(F.count(F.lit(1)).alias("n"),
-                           F.sum((F.abs(F.col("score") - F.col("native_score")) < 1e-9).cast("int")).alias("agree"))
+    scored = U.apply_reward_fn(r, U.containment_reward, ["conv_id", "turn"])
+    return scored.select("conv_id", "turn", F.round("score", 6).alias("score"))
 
 
 @query("udf02_embedding_plugin")

@@ -84,9 +84,12 @@ def lbl05(spark, sf_dir):
 
 
 @query("lbl06_label_report", _SQL_CANON + """
-SELECT reason, count(*) AS n FROM canon WHERE reason IS NOT NULL GROUP BY 1""", _V)
+SELECT reason, key AS item FROM canon WHERE reason IS NOT NULL
+UNION ALL SELECT 'unmappable', key FROM canon WHERE status = 'unmappable'
+UNION ALL SELECT 'excluded_qa_datasets', dataset FROM qa""", _V)
 def lbl06(spark, sf_dir):
-    return L.label_report(_canon(spark, sf_dir))
+    rows = X.label_pairs_in(spark, sf_dir)
+    return L.label_report(L.resolve_index(_canon(spark, sf_dir), spark), L.qa_datasets(rows))
 
 
 @query("lbl07_dataset_labels", _SQL_CANON + """

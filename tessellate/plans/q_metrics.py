@@ -89,6 +89,14 @@ def met06(spark, sf_dir):
     return finish(M.metrics_by_dataset(X.preds(spark, sf_dir)))
 
 
+@query("met06b_named_classes", _MET06_SQL.replace(
+    "SELECT dataset AS scope, 'class_f1/' || cls AS metric, round(f1, 6) AS value FROM prf WHERE dataset <> '__all__'",
+    "SELECT p.dataset, coalesce(g.label, CAST(p.cls AS VARCHAR)) || '/class_f1', round(p.f1, 6) "
+    "FROM prf p LEFT JOIN gclass g ON g.global_index = p.cls WHERE p.dataset <> '__all__'"), ("preds", "gclass"))
+def met06b(spark, sf_dir):
+    return finish(M.metrics_by_dataset(X.preds(spark, sf_dir), M.label_names(spark)))
+
+
 @query("met07_sentiment_position", """
 SELECT u.y_true, coalesce(g.pos, -1) AS position, count(*) AS n
 FROM (SELECT y_true FROM preds UNION ALL SELECT y_true FROM emo_preds) u

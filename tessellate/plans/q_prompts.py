@@ -66,6 +66,17 @@ def prj07(spark, sf_dir):
                     P.first_feature_path("ext_audio_feats", "/data/base").alias("audio_path"))
 
 
+@query("prj07b_first_existing_path", """
+, e AS (SELECT sample_id, '/data/base/' || i AS path, p FROM (SELECT sample_id, unnest(images) AS i, unnest(range(len(images))) AS p FROM samples)
+        WHERE NOT (i LIKE '%a.png' AND sample_id % 2 = 0))
+SELECT s.sample_id, (SELECT arg_min(e.path, e.p) FROM e WHERE e.sample_id = s.sample_id) AS image_path FROM samples s""", _V)
+def prj07b(spark, sf_dir):
+    s = X.samples(spark, sf_dir)
+    listing = s.select("sample_id", F.explode("images").alias("i")).filter(
+        ~(F.col("i").endswith("a.png") & (F.col("sample_id") % 2 == 0))).select(F.concat(F.lit("/data/base/"), "i").alias("path"))
+    return P.first_existing_path(s.select("sample_id", "images"), "images", "/data/base", listing, "image_path").select("sample_id", "image_path")
+
+
 @query("prj08_dataset_inventory", """
 , s AS (SELECT *, CASE WHEN n_chars % 4 = 3 THEN 'validation' ELSE 'train' END AS split FROM samples)
 , g AS (SELECT dataset, count_if(split = 'train') AS n_train, count_if(split = 'validation') AS n_val,
@@ -184,7 +195,7 @@ _JUDGE_SQL = """
 , bank AS (SELECT dataset, answer, arg_max(question, ordinal) AS question FROM bank0 GROUP BY 1, 2)
 , preds AS (SELECT conv_id, turn, (['mimeqa', 'siq2', 'intentqa', 'other'])[conv_id % 4 + 1] AS dataset,
                    text AS pred, lower(split_part(text, ' ', 1)) AS gold
-            FROM conversations WHERE role = 'assistant')
+            FROM conversations)
 , known AS (SELECT DISTINCT dataset FROM bank)
 """
 

@@ -209,26 +209,36 @@ def fea05(spark, sf_dir):
 
 
 def _pose_parts(spark, sf_dir):
-    """Embeddings reshaped into pose parts [T, K, C] (three shapes)."""
+    """Embeddings reshaped into pose parts [T, K, C]: 8 frames of 4 keypoints by
+    label, or 4 frames of 8, or keypoints of four values, which are no valid part."""
     e = X.table(spark, sf_dir, "embeddings")
-    lab = F.col("label") % 3
-    T = F.when(lab == 0, 4).when(lab == 1, 8).otherwise(7)
-    K = F.when(lab == 0, 4).when(lab == 1, 4).otherwise(3)
-    C = F.when(lab == 0, 4).when(lab == 1, 2).otherwise(3)
+    T = F.when(F.col("label") % 10 < 2, 4).otherwise(8)
+    C = F.when(F.col("label") % 10 == 0, 4).otherwise(2)
+    K = (F.lit(64) / T / C).cast("int")
     kp = F.transform(F.sequence(F.lit(0), T - 1), lambda t: F.transform(
         F.sequence(F.lit(0), K - 1), lambda k: F.slice("embedding", t * K * C + k * C + 1, C)))
     part = F.element_at(F.array(*[F.lit(p) for p in FE.POSE_PARTS]), (F.col("vec_id") % 4 + 1).cast("int"))
     return e.select((F.col("vec_id") / 4).cast("bigint").alias("sample_id"), part.alias("part"), kp.alias("kp"))
 
 
-@query("fea01_pose_frames")
+_POSE_SQL = """
+, p AS (SELECT vec_id // 4 AS sample_id, label % 10 <> 0 AS ok, CASE WHEN label % 10 < 2 THEN 4 ELSE 8 END AS t FROM embeddings)
+, f AS (SELECT sample_id, count_if(ok) > 0 AND coalesce(min(t) FILTER (ok) = max(t) FILTER (ok), false) AS valid,
+               CAST(coalesce(min(t) FILTER (ok), 0) AS INTEGER) AS n_frames, count_if(ok) * 64 AS width FROM p GROUP BY 1)
+"""
+
+
+@query("fea01_pose_frames", _POSE_SQL + """
+SELECT sample_id, valid, n_frames, CAST(CASE WHEN valid THEN width END AS INTEGER) AS n_values FROM f""")
 def fea01(spark, sf_dir):
     """Pose parts -> frame-wise features; validity and sizes per sample."""
     pf = FE.pose_frames(_pose_parts(spark, sf_dir), use_conf=False)
     return pf.select("sample_id", "valid", "n_frames", F.size(F.flatten("frames")).alias("n_values"))
 
 
-@query("fea02_audio_frames")
+@query("fea02_audio_frames", """
+SELECT vec_id AS sample_id, true AS valid, CAST(1 + label % 2 AS INTEGER) AS n_frames,
+       CAST(CASE WHEN label % 2 = 0 THEN 128 ELSE 64 END AS INTEGER) AS pooled_width FROM embeddings""")
 def fea02(spark, sf_dir):
     """Audio features as [D] vectors or [T, D] matrices -> frames."""
     e = X.table(spark, sf_dir, "embeddings")
@@ -241,8 +251,9 @@ def fea02(spark, sf_dir):
         pooled.select("sample_id", F.size("pooled").alias("pooled_width")), "sample_id", "left")
 
 
-@query("fea06_batch_valid")
+@query("fea06_batch_valid", _POSE_SQL + """
+SELECT sample_id // 2 AS batch_id, bool_and(valid) AS batch_valid, count(*) AS n FROM f GROUP BY 1""")
 def fea06(spark, sf_dir):
-    """A batch of 8 pose samples is void when one sample is invalid."""
+    """A batch of two pose samples is void when one sample is invalid."""
     pf = FE.pose_frames(_pose_parts(spark, sf_dir))
-    return FE.batch_valid(pf.withColumn("batch_id", (F.col("sample_id") / 8).cast("bigint")))
+    return FE.batch_valid(pf.withColumn("batch_id", (F.col("sample_id") / 2).cast("bigint")))

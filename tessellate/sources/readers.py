@@ -218,10 +218,11 @@ def read_annotations(spark: SparkSession, csv_paths: list[tuple[str, str]], json
     return reduce(DataFrame.unionByName, parts)
 
 
-def read_predictions(spark: SparkSession, path: str, layout: str = "rows") -> DataFrame:
+def read_predictions(spark: SparkSession, path: str, layout: str = "rows", multiline: bool = True) -> DataFrame:
     """SRC-08: predictions -> (dataset, pred, gold).
 
-    ``arrays``: one JSON document with parallel arrays predictions /
+    ``arrays``: a JSON document per file (or, with ``multiline=False``, per
+    line) with parallel arrays predictions /
     ground_truths / datasets (zipped back to rows; the boxed answer is
     extracted and gold lower-cased).  ``rows``: JSON records; gold is
     lower-cased.  The array layout is one document by construction, so only
@@ -229,7 +230,7 @@ def read_predictions(spark: SparkSession, path: str, layout: str = "rows") -> Da
     """
     from ..functions import text as TX
     if layout == "arrays":
-        d = spark.read.option("multiLine", True).json(path)
+        d = spark.read.option("multiLine", multiline).json(path)
         # rows end where the shortest of the three lists ends
         n = F.least(F.size("predictions"), F.size("ground_truths"), F.size("datasets"))
         cut = lambda c: F.slice(F.col(c), F.lit(1), n)
