@@ -76,17 +76,30 @@ def join_on_hot_key(left: DataFrame, right: DataFrame, key: str, weight: str, to
     return a.unionByName(b)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with more underscores if ``df`` has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def same_columns(df: DataFrame, names: list[str]) -> DataFrame:
+    """``df`` with the columns ``names``, whatever characters they hold."""
+    return df.select(*[F.col("`" + c.replace("`", "``") + "`") for c in names])
+
+
 def keep_rows(docs: DataFrame, keepers: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` whose :func:`row_key` is in ``keepers`` (one column
     ``row_key``, unique), one of each set of repeated rows, with the columns of
     ``docs``.  One shuffle; the row number reuses the join's order."""
     from pyspark.sql import Window
 
-    k, n = "__row_key", "__row_no"
+    k, n = free_name(docs, "__row_key"), free_name(docs, "__row_no")
     d = docs.withColumn(k, row_key(docs[id_col], docs[text_col]))
     j = d.join(keepers.select(F.col("row_key").alias(k)), k)
     first = j.withColumn(n, F.row_number().over(Window.partitionBy(k).orderBy(k)))
-    return first.filter(F.col(n) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return same_columns(first.filter(F.col(n) == 1), docs.columns)
 
 
 def as_batches(rows: int = 512):

@@ -152,8 +152,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return Model(langs, log_p)
 
 
-def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with a struct ``__lang`` of lang and score."""
+def identify(docs: DataFrame, model: Model, text_col: str = "text", out: str = "language") -> DataFrame:
+    """``docs`` with a struct of lang and score in ``out``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang string, score double")
@@ -163,11 +163,11 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
             best, prob = shared.value.posterior(texts.tolist())
             yield pd.DataFrame({"lang": names[best], "score": prob})
 
-    return docs.withColumn("__lang", scored(F.col(text_col)))
+    return docs.withColumn(out, scored(F.col(text_col)))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with predicted language and score."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = identify(docs.select("doc_id", "text"), train(docs)).withColumn("held_out", held_out(F.col("doc_id")))
-    return out.select("doc_id", "held_out", F.col("__lang.lang").alias("lang_pred"), F.col("__lang.score").alias("score"))
+    return out.select("doc_id", "held_out", F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import let, materialise
+from .common import free_name, let, materialise, same_columns
 
 #: Part of all tokens that the sample should hold.
 BUDGET = 0.5
@@ -124,49 +124,55 @@ def goal_tokens(cells: DataFrame, dim: str, target: DataFrame, budget: float) ->
     return g.select("__v", F.least(F.col("share") * F.lit(factor), F.col("__have")).alias("__goal"))
 
 
-def with_cells(docs: DataFrame, text_col: str = "text", source: str = "source", lang: str = "lang", topic: Column | None = None) -> DataFrame:
-    """``docs`` with a struct ``__cell`` of source, lang and topic (as labels that
-    tell null from any text) and tokens.  ``topic`` defaults to :func:`hashed_topic`."""
+def cell_of(text_col: str = "text", source: str = "source", lang: str = "lang", topic: Column | None = None) -> Column:
+    """A struct of source, lang and topic (as labels that tell null from any
+    text) and tokens.  ``topic`` defaults to :func:`hashed_topic`."""
     topic = hashed_topic(F.col(text_col)) if topic is None else topic
-    return docs.withColumn("__cell", F.struct(_label(F.col(source)).alias("source"), _label(F.col(lang)).alias("lang"),
-                                              _label(topic).alias("topic"), n_tokens(F.col(text_col)).alias("tokens")))
+    return F.struct(_label(F.col(source)).alias("source"), _label(F.col(lang)).alias("lang"),
+                    _label(topic).alias("topic"), n_tokens(F.col(text_col)).alias("tokens"))
 
 
 def _label(c: Column) -> Column:
     return F.concat(F.when(c.isNull(), F.lit("-")).otherwise(F.lit("+")), F.coalesce(c.cast("string"), F.lit("")))
 
 
-def mix(docs: DataFrame, budget: float = BUDGET, targets: dict[str, DataFrame] | None = None,
+def mix(docs: DataFrame, cell: str, budget: float = BUDGET, targets: dict[str, DataFrame] | None = None,
         id_col: str = "doc_id", seed: int = SEED) -> DataFrame:
-    """All rows of ``docs`` (as made by :func:`with_cells`; it is written once,
-    so leave columns not needed out) with a struct ``__mix`` of topic, tokens,
-    probability and sampled in place of the cell.  ``targets`` maps source, lang
-    and topic to tables (value, share); by default shares are flattened."""
+    """All rows of ``docs`` with, in place of the column ``cell`` (as made by
+    :func:`cell_of`), a struct of topic, tokens, probability and sampled.
+    ``docs`` is written once, so leave columns not needed out.  ``targets`` maps
+    source, lang and topic to tables (value, share); by default shares are
+    flattened."""
     d = materialise(docs, "mix-docs")
-    names = [c for c in docs.columns if c != "__cell"]
-    cells = materialise(d.groupBy(*[F.col(f"__cell.{c}").alias(c) for c in _DIMS]).agg(F.sum("__cell.tokens").alias("tokens")), "cells")
+    cells = materialise(d.groupBy(*[F.col(f"{cell}.{c}").alias(c) for c in _DIMS]).agg(F.sum(f"{cell}.tokens").alias("tokens")), "cells")
     if targets is None:
         targets = {c: materialise(flattened_targets(cells, c), "targets") for c in _DIMS}
     else:
         targets = {c: t.select(_label(F.col("value")).alias("value"), F.col("share").cast("double").alias("share")) for c, t in targets.items()}
-    p = rake(cells, targets, budget).select(*[F.col(c).alias(f"__{c}") for c in _DIMS],
-                                            F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0).alias("__p"))
+    key, p = free_name(docs, "__mix_key"), free_name(docs, "__mix_p")
+    w = rake(cells, targets, budget).select(
+        F.struct(*_DIMS).alias(key), F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0).alias(p))
     if cells.count() <= MAX_BROADCAST_CELLS:
-        p = F.broadcast(p)
-    j = d.join(p, [F.col(f"__cell.{c}") == F.col(f"__{c}") for c in _DIMS])
+        w = F.broadcast(w)
+    j = d.join(w, F.struct(*[F.col(f"{cell}.{c}").alias(c) for c in _DIMS]) == F.col(key))
     u = F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
-    out = F.struct(F.expr("substring(__cell.topic, 2)").alias("topic"), F.col("__cell.tokens").alias("tokens"),
-                   F.col("__p").alias("probability"), (u < F.col("__p")).alias("sampled"))
-    return j.select(*[F.col(f"`{c}`") for c in names], out.alias("__mix"))
+    out = F.struct(F.substring(F.col(f"{cell}.topic"), 2, 1 << 20).alias("topic"), F.col(f"{cell}.tokens").alias("tokens"),
+                   F.col(p).alias("probability"), (u < F.col(p)).alias("sampled"))
+    return same_columns(j.withColumn(cell, out), docs.columns)
+
+
+def decisions(docs: DataFrame) -> DataFrame:
+    """``doc_id, source, lang, topic, tokens, probability, sampled`` of every row."""
+    out = mix(docs.select("doc_id", "source", "lang", cell_of().alias("cell")), "cell")
+    return out.select("doc_id", "source", "lang", "cell.topic", "cell.tokens", F.round("cell.probability", 9).alias("probability"), "cell.sampled")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with their cell, probability and whether they are sampled."""
-    docs = with_cells(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    out = mix(docs.select("doc_id", "source", "lang", "__cell"))
-    return out.select("doc_id", "source", "lang", "__mix.topic", "__mix.tokens", F.round("__mix.probability", 9).alias("probability"), "__mix.sampled")
+    return decisions(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the sampled documents."""
-    return mix(with_cells(docs)).filter("__mix.sampled").select(*[F.col(f"`{c}`") for c in docs.columns])
+    cell = free_name(docs, "__mix_cell")
+    return same_columns(mix(docs.withColumn(cell, cell_of()), cell).filter(f"{cell}.sampled"), docs.columns)

@@ -180,8 +180,10 @@ def shards(values: DataFrame, radius: int = RADIUS, max_shard: int = MAX_SHARD)
         if large.isEmpty():
             return out
         pending = join_on_hot_key(dealt, large, "shard", "n", dealt.count()).select("fp", F.col("shard.tag").alias("tag"))
-        fixed = nxt
-        level = {t: _blocks([b for b in range(BITS) if b not in bits], radius + 1) for t, bits in nxt.items()}
+        # the block paths that still have large shards, a few hundred at most
+        tags = {r[0] for r in large.select("shard.tag").distinct().collect()}
+        fixed = {t: bits for t, bits in nxt.items() if t in tags}
+        level = {t: _blocks([b for b in range(BITS) if b not in bits], radius + 1) for t, bits in fixed.items()}
 
 
 def link_fingerprints(values: DataFrame, radius: int = RADIUS, max_shard: int = MAX_SHARD) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_batches, held_out
+from .common import as_batches, free_name, held_out, same_columns
 
 BUCKETS = 1 << 20
 #: Most documents the model is fitted on.
@@ -160,7 +160,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def drawn(key, most, total):  # by hash; a little above the bound may come, the rest is cut in read()
         return F.pmod(F.xxhash64(key, F.lit(71)), F.lit(1 << 30)) < F.lit(int(min(1.0, 1.05 * most / max(1, total)) * (1 << 30)))
 
-    pos = d.join(lab.filter((F.col("__toxic") == 1) & drawn("__id", positives, n_pos)).select("__id"), F.col("id") == F.col("__id")).drop("__id")
+    # the drawn ids are about ``positives`` in number whatever the input, so they are broadcast
+    ids = F.broadcast(lab.filter((F.col("__toxic") == 1) & drawn("__id", positives, n_pos)).select("__id"))
+    pos = d.join(ids, F.col("id") == F.col("__id")).drop("__id")
     unl = d.filter(drawn("id", unlabelled, n_all))  # of all documents, as the risk estimator asks
 
     def read(frame, most):
@@ -176,10 +178,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit_nnpu(p, u, prior) if p and u else None
 
 
-def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All rows and columns of ``docs`` with ``__score`` (0 to 1)."""
+def score(docs: DataFrame, model: Model | None, text_col: str = "text", out: str = "score") -> DataFrame:
+    """All rows and columns of ``docs`` with the score (0 to 1) in ``out``."""
     if model is None:
-        return docs.withColumn("__score", F.lit(0.0))
+        return docs.withColumn(out, F.lit(0.0))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
@@ -189,7 +191,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
             z = np.array([w[reader(t)].sum(dtype=np.float64) for t in texts], np.float64) + bias
             yield pd.Series(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
-    return docs.withColumn("__score", scored(F.col(text_col)))
+    return docs.withColumn(out, scored(F.col(text_col)))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,10 +199,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     out = score(docs.select("doc_id", "text"), model).withColumn("held_out", held_out(F.col("doc_id")))
-    return out.select("doc_id", "held_out", F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"))
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that score below 0.5."""
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score(docs, model).filter(F.col("__score") < 0.5).select(*[F.col(f"`{c}`") for c in docs.columns])
+    name = free_name(docs, "__score")
+    return same_columns(score(docs, model, out=name).filter(F.col(name) < 0.5), docs.columns)
