@@ -4,15 +4,15 @@ Input: one row per rollout ``(step, rollout_id, qid, task, dataset,
 token_rewards array<double>, response_mask array<int>)``; a *step* is one
 training batch.  Output: one advantage per rollout.
 
-Plan shape (all per-step statistics are aggregations joined back, never a
-window over a group, so a hot task or question never lands in one task):
+Plan shape (per-step and per-task statistics are aggregations joined back, so
+a hot task never lands in one task; windows only span one question's rollouts,
+a handful per prompt, and share one shuffle by (step, qid)):
 
     rollouts -> reward sum (ADV-01) -> per-step min/max join (ADV-02)
-      -> per-(step, qid) mean/std join (ADV-04)
-      -> responsibilities (ADV-06) -> per-(step, task) mass
+      -> per-(step, qid) mean/std and question means (ADV-04, ADV-10)
+      -> responsibilities (ADV-06) -> per-(step, task) mass and question statistics
       -> density EMA per task across steps (ADV-07, STR-01 fold)
       -> per-step reference over tasks present -> task scale EMA (ADV-09)
-      -> per-(step, task, qid) question scale (ADV-10)
       -> A * task_scale * question_scale (ADV-11) -> token broadcast (ADV-12)
 
 The cross-step state (EMA per task) is folded over the per-(step, task)
@@ -24,7 +24,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..streaming.ema import Ema, ema_fold, ema_folds
@@ -90,15 +90,14 @@ def minmax_scale(df: DataFrame, cfg: AdvantageConfig = AdvantageConfig(), col: s
 def group_norm(df: DataFrame, cfg: AdvantageConfig = AdvantageConfig(), col: str = "scaled",
                out: str = "adv") -> DataFrame:
     """ADV-04: per question (v - mean) / max(std_pop, eps); a question with a
-    single rollout keeps its value."""
+    single rollout keeps its value.  The window holds the rollouts of one
+    question, a handful by construction (rollouts per prompt)."""
     if not cfg.group_norm:
         return df.withColumn(out, F.col(col))
-    st = df.groupBy("step", "qid").agg(F.avg(col).alias("_mu"), F.stddev_pop(col).alias("_sd"),
-                                       F.count(F.lit(1)).alias("_n"))
-    j = df.join(st, ["step", "qid"])
-    v = F.when(F.col("_n") < 2, F.col(col)).otherwise(
-        (F.col(col) - F.col("_mu")) / F.greatest(F.col("_sd"), F.lit(cfg.eps)))
-    return j.withColumn(out, v).drop("_mu", "_sd", "_n")
+    w = Window.partitionBy("step", "qid")
+    v = F.when(F.count(F.lit(1)).over(w) < 2, F.col(col)).otherwise(
+        (F.col(col) - F.avg(col).over(w)) / F.greatest(F.stddev_pop(col).over(w), F.lit(cfg.eps)))
+    return df.withColumn(out, v)
 
 
 def group_stats(df: DataFrame, by: str, col: str, cfg: AdvantageConfig = AdvantageConfig(),
@@ -230,15 +229,39 @@ def question_scale(df: DataFrame, cfg: AdvantageConfig = AdvantageConfig(), col:
         return q.select("step", "qid", F.lit(1.0).alias("question_scale"))
     t = q.groupBy("step", "task").agg(F.count(F.lit(1)).alias("nq"), F.avg(F.log("m")).alias("log_mbar"),
                                       F.avg("m").alias("mbar"))
-    j = q.join(t, ["step", "task"])
+    return q.join(t, ["step", "task"]).select("step", "qid", _question_factor(cfg).alias("question_scale"))
+
+
+def _question_factor(cfg: AdvantageConfig) -> Column:
+    """ADV-10 from a question's mean ``m`` and its task's ``nq``, ``log_mbar``
+    and ``mbar`` in the step."""
+    if not cfg.hierarchical:
+        return F.lit(1.0)
     if cfg.scaling == "geom":
         s = cfg.alpha_roll * F.exp(F.col("log_mbar") - F.log("m"))
     elif cfg.scaling == "arith":
         s = cfg.alpha_roll * F.col("mbar") / F.col("m")
     else:
         s = cfg.alpha_roll / F.col("m")
-    s = F.when(F.col("nq") >= 2, _clamp(s, cfg.hier_min, cfg.hier_max)).otherwise(F.lit(1.0))
-    return j.select("step", "qid", s.alias("question_scale"))
+    return F.when(F.col("nq") >= 2, _clamp(s, cfg.hier_min, cfg.hier_max)).otherwise(F.lit(1.0))
+
+
+def question_means(df: DataFrame, cfg: AdvantageConfig = AdvantageConfig(), col: str = "adv") -> DataFrame:
+    """Rollouts with ``m``, the mean signal of their question in its task, and
+    ``_first``, true for one rollout of each question.  Both windows reuse the
+    distribution by (step, qid) of :func:`group_norm`."""
+    w = Window.partitionBy("step", "qid", "task")
+    m = F.greatest(F.avg(F.col("r") * F.abs(col)).over(w), F.lit(cfg.eps))
+    return df.withColumn("m", m).withColumn("_first", F.row_number().over(w.orderBy("rollout_id")) == 1)
+
+
+def task_signals(df: DataFrame, col: str = "adv") -> DataFrame:
+    """:func:`task_mass` and the question statistics of ADV-10 per (step, task),
+    in one aggregation over the result of :func:`question_means`."""
+    one = F.col("_first")
+    return df.groupBy("step", "task").agg(
+        F.sum(F.col("r") * F.abs(col)).alias("mass"), F.sum("r").alias("sig"), F.count(F.lit(1)).alias("cnt"),
+        F.count_if(one).alias("nq"), F.avg(F.when(one, F.log("m"))).alias("log_mbar"), F.avg(F.when(one, F.col("m"))).alias("mbar"))
 
 
 def group_relative_advantage(rollouts: DataFrame, cfg: AdvantageConfig = AdvantageConfig(),
@@ -257,16 +280,15 @@ def group_relative_advantage(rollouts: DataFrame, cfg: AdvantageConfig = Advanta
     if cfg.mode == "z_score":
         init = None if state is None else state.select(F.col("task").alias("key"), *[F.col(c) for c in STAT_STATE])
         stats = hold(group_stats(df, "task", "adv", cfg, state=init))
-    df = hold(responsibility(df, cfg, stats=stats))
-    dens = hold(task_density(hold(task_mass(df)), cfg, state))
+    df = hold(question_means(responsibility(df, cfg, stats=stats), cfg))
+    dens = hold(task_density(hold(task_signals(df)), cfg, state))
     ts_full = hold(task_scale(hold(rarity_boost(dens, cfg, state)), cfg, state))
-    ts = ts_full.select("step", "task", "task_scale", "rho_ema", "log_rho_ref")
-    qs = question_scale(df, cfg)
-    out = df.join(ts, ["step", "task"], "left").join(qs, ["step", "qid"], "left")
+    ts = ts_full.select("step", "task", "task_scale", "rho_ema", "log_rho_ref", "nq", "log_mbar", "mbar")
+    out = df.join(ts, ["step", "task"], "left")
     out = out.withColumn("task_scale", F.coalesce("task_scale", F.lit(1.0))) \
-             .withColumn("question_scale", F.coalesce("question_scale", F.lit(1.0)))
+             .withColumn("question_scale", F.coalesce(_question_factor(cfg), F.lit(1.0)))
     out = out.withColumn("advantage", F.col("adv") * F.col("task_scale") * F.col("question_scale")) \
-             .drop("token_rewards")
+             .drop("token_rewards", "m", "_first", "nq", "log_mbar", "mbar")
     if not with_state:
         return out
     carried = "log_mult_ema" if cfg.scaling == "geom" else "task_scale"
@@ -290,7 +312,6 @@ def rollout_pos(df: DataFrame) -> DataFrame:
     A question holds a handful of rollouts (n per prompt), so the window over
     (step, qid) is bounded by the rollout count per prompt.
     """
-    from pyspark.sql import Window
     w = Window.partitionBy("step", "qid").orderBy("rollout_id")
     return df.withColumn("rollout_pos", F.row_number().over(w) - 1)
 
