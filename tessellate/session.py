@@ -7,8 +7,8 @@ benchmark and command-line use.
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -71,7 +71,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for written tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     # the checkpoint dir may already carry an application sub-folder
-    return f"{base}/tables/{name}-{os.getpid()}-{next(_COUNTER)}"
+    return f"{base}/tables/{name}-{uuid.uuid4().hex}"
 
 
 def write_once(df, name: str):
@@ -80,13 +80,3 @@ def write_once(df, name: str):
     path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def _counter():
-    i = 0
-    while True:
-        i += 1
-        yield i
-
-
-_COUNTER = _counter()
