@@ -34,8 +34,9 @@ SHINGLE = 3
 RADIUS = 2
 #: Most distinct fingerprints that one BK-tree holds.
 MAX_SHARD = 4096
-#: Nodes of the trees that are searched together, and queries at a time.
-FOREST_NODES, QUERY_BLOCK = 1 << 14, 1 << 11
+#: Nodes of the trees that are searched together, queries at a time, and visits
+#: at a time.
+FOREST_NODES, QUERY_BLOCK, FRONTIER = 1 << 14, 1 << 11, 1 << 15
 HASH_SEED = 42
 
 
@@ -98,16 +99,24 @@ def build_forest(values: np.ndarray, tree: np.ndarray) -> tuple[np.ndarray, np.n
 
 def search_forest(values: np.ndarray, child: np.ndarray, query: np.ndarray, node: np.ndarray, radius: int):
     """Yields (query, node) links: ``query`` indexes values, ``node`` is where
-    its search starts.  Only edges within ``radius`` of the distance are followed."""
+    its search starts.  Only edges within ``radius`` of the distance are
+    followed, at most FRONTIER visits at a time (deepest first), so dense
+    shards need no more memory than others."""
     span = np.arange(-radius, radius + 1)
-    while len(query):
-        d = np.bitwise_count(values[query] ^ values[node]).astype(np.int64)
+    todo = [(query.astype(np.int32), node.astype(np.int32))]
+    while todo:
+        query, node = todo.pop()
+        if len(query) > FRONTIER:
+            todo.append((query[FRONTIER:], node[FRONTIER:]))
+            query, node = query[:FRONTIER], node[:FRONTIER]
+        d = np.bitwise_count(values[query] ^ values[node]).astype(np.int32)
         near = d <= radius
         yield query[near], node[near]
         edge = d[:, None] + span
         nxt = np.where((edge >= 0) & (edge <= BITS), child[node[:, None], np.clip(edge, 0, BITS)], -1)
         go = nxt >= 0
-        query, node = np.repeat(query, go.sum(axis=1)), nxt[go]
+        if go.any():
+            todo.append((np.repeat(query, go.sum(axis=1)), nxt[go]))
 
 
 def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
