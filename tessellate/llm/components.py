@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 
 from .common import join_on_hot_key, materialise
 
+#: An edge table of at most this many rows is worked on in one partition, without
+#: a shuffle and with one file a round; a larger one is spread.
+ONE_TASK_EDGES = 200_000
+
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """``node, root`` for every node of ``edges`` (columns ``a, b``, bigint);
@@ -18,16 +22,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     e = materialise(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc-edges")
     mark = _mark(e)
     while mark[0]:
-        both = materialise(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))), "cc-both")
-        # large star: greater neighbours of a node go to the least of its neighbourhood
-        least = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"),
-                                                  F.count(F.lit(1)).alias("w")), "cc-least")
-        large = materialise(join_on_hot_key(both.filter("b > a"), least, "a", "w", 2 * mark[0])
-                            .select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "cc-large")
-        # small star: a node and its lesser neighbours go to the least of them
-        least = materialise(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("w")), "cc-least")
-        small = join_on_hot_key(large, least, "a", "w", mark[0]).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = materialise(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "cc-edges")
+        few = mark[0] <= ONE_TASK_EDGES
+        e = materialise(_round(e, mark[0], few), "cc-edges")
         now = _mark(e)
         if now == mark:
             break
@@ -36,5 +32,21 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return nodes.unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+def _round(e: DataFrame, n: int, few: bool) -> DataFrame:
+    """The edges after a large-star and a small-star step over ``n`` edges."""
+    one = (lambda d: d.coalesce(1)) if few else (lambda d: d)
+    cut = (lambda d, name: d) if few else materialise
+    meet = (lambda left, right, w: left.join(right, "a")) if few else (lambda left, right, w: join_on_hot_key(left, right, "a", "w", w))
+    e = one(e)
+    both = cut(one(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))), "cc-both")
+    # large star: greater neighbours of a node go to the least of its neighbourhood
+    least = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("w")), "cc-least")
+    large = cut(meet(both.filter("b > a"), least, 2 * n).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "cc-large")
+    # small star: a node and its lesser neighbours go to the least of them
+    least = cut(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("w")), "cc-least")
+    small = meet(large, least, n).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return one(small.unionByName(least.select("a", F.col("m").alias("b")))).distinct()
+
+
 def _mark(e: DataFrame) -> tuple:
     return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)"))).first())

@@ -1,6 +1,8 @@
+import pytest
 from pyspark.sql import functions as F
 
 from tessellate.llm import common as C
+from tessellate.llm import components
 from tessellate.llm.components import connected_components
 
 
@@ -19,8 +21,10 @@ def test_keep_rows_keeps_columns_and_one_of_repeated(make_docs):
     assert sorted(((r.doc_id, r.text, r["__row_key"]) for r in out.collect()), key=str) == [(1, "a", "k"), (2, None, "k"), (None, "b", "k")]
 
 
-def test_components_against_union_find(spark):
+@pytest.mark.parametrize("limit", [200_000, 0])
+def test_components_against_union_find(spark, monkeypatch, limit):
     import random
+    monkeypatch.setattr(components, "ONE_TASK_EDGES", limit)
     rnd = random.Random(3)
     edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(180)] + [(1000 + i, 1001 + i) for i in range(60)] + [(-5, i) for i in range(2000, 2200)]
     parent = {}
