@@ -157,7 +157,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     d = d.filter(F.col("id").isNotNull() & ~held_out(F.col("id")))
     n_all = d.count()
 
-    def drawn(key, most, total):  # by hash; a little above the bound may come, the rest is cut in read()
+    def drawn(key, most, total):  # by hash; what comes above the bound (also where rows repeat an id) is cut in read()
         return F.pmod(F.xxhash64(key, F.lit(71)), F.lit(1 << 30)) < F.lit(int(min(1.0, 1.05 * most / max(1, total)) * (1 << 30)))
 
     # the drawn ids are about ``positives`` in number whatever the input, so they are broadcast
@@ -171,7 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             for b in as_batches()(batches):
                 yield pa.RecordBatch.from_arrays([pa.array([reader(t).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["f"])
 
-        got = frame.mapInArrow(run, "f binary").toArrow().column(0).slice(0, most)
+        got = frame.mapInArrow(run, "f binary").limit(most).toArrow().column(0)
         return [np.frombuffer(x.as_buffer(), np.int32) for x in got]
 
     p, u = read(pos, positives), read(unl, unlabelled)

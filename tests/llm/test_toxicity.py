@@ -10,7 +10,7 @@ BAD = ["blarg", "snurk", "vorpel"]
 
 def _corpus(n=1500):
     rnd = random.Random(7)
-    words = [f"wort{i}" for i in range(300)]
+    words = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(4, 9))) for _ in range(3000)]
     rows, toxic = [], {}
     for i in range(n):
         w = [rnd.choice(words) for _ in range(rnd.randint(10, 80))]
