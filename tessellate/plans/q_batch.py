@@ -5,7 +5,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import sequences as S
 from ..operators import batching as B
 from ..operators import media as MD
 from ..operators import metrics as M

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text as TX
 from ..operators import judge as J
 from ..operators import prompts as P
 from . import fixtures as X
