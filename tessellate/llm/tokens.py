@@ -2,8 +2,9 @@
 
 The vocabulary file is the ``tokenizers`` JSON.  Where its merges are in the
 order of their ids (so that ids serve as ranks) the same vocabulary is run by
-tiktoken, which yields the same ids several times faster; otherwise the
-``tokenizers`` library runs it.  Strings of special tokens in a text are
+tiktoken, which yields the same ids several times faster; otherwise, and for
+texts that tiktoken refuses (long runs of blanks exhaust its pattern's stack),
+the ``tokenizers`` library runs it.  Strings of special tokens in a text are
 ordinary text.
 """
 
@@ -45,11 +46,27 @@ def encoder(path: str | None = None):
     ranks = {bytes(letters[c] for c in k): v for k, v in model["vocab"].items() if k not in special}
     joined = [m if isinstance(m, str) else " ".join(m) for m in model["merges"]]
     order = [model["vocab"][m.replace(" ", "", 1)] for m in joined]
-    if order == sorted(order):
-        t = tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        return lambda text: np.asarray(t.encode_to_numpy(text, disallowed_special=()), np.uint32)
+    exact = lru_cache(maxsize=1)(lambda: _tokenizer(path))  # made when first needed
+
+    def slowly(text):
+        return np.array(exact().encode(text, add_special_tokens=False).ids, np.uint32)
+
+    if order != sorted(order):
+        return slowly
+    t = tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(text):
+        try:
+            return np.asarray(t.encode_to_numpy(text, disallowed_special=()), np.uint32)
+        except ValueError:
+            return slowly(text)
+
+    return encode
+
+
+def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True
-    return lambda text: np.array(t.encode(text, add_special_tokens=False).ids, np.uint32)
+    return t

@@ -23,6 +23,12 @@ def test_ids_are_those_of_the_vocabulary():
         assert ids.tolist() == want[:-1].tolist()
 
 
+def test_long_runs_of_blanks():
+    texts = [" " * 1_100_000 + "x", "a" + "\n" * 1_500_000]
+    for ids, want in zip(map(encoder(), texts), _reference_ids(texts)):
+        assert ids.dtype == np.uint32 and ids.tolist() == want[:-1].tolist()
+
+
 def test_cut():
     assert P.cut(1, 4) == [(0, 1)] and P.cut(4, 4) == [(0, 4)] and P.cut(5, 4) == [(0, 1), (1, 4)] and P.cut(8, 4) == [(0, 4), (4, 4)]
 
