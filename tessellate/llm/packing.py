@@ -11,7 +11,8 @@ dot product of demand and residual.  Only (id, piece, length) rows are grouped;
 the last bins of a group cost less than 0.1 % of its sequences.
 
 Defined results.  A null or empty text is the end mark alone (one token).
-Repeated rows are packed each.  Empty tables give an empty result; extra
+The string of an added token of the vocabulary is that token.  Repeated rows are
+packed each.  Empty tables give an empty result; extra
 columns are ignored.
 """
 
@@ -47,7 +48,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
            end: int = END, vocabulary: str | None = None) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` of every piece of every row."""
     def run(batches):
-        encode = encoder(vocabulary)
+        encode = encoder(vocabulary, added=True)
         for b in as_batches()(batches):
             rows = []
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):

@@ -29,6 +29,19 @@ def test_long_runs_of_blanks():
         assert ids.dtype == np.uint32 and ids.tolist() == want[:-1].tolist()
 
 
+def test_added_tokens_are_those_of_an_unmodified_tokenizer(make_docs):
+    from tokenizers import Tokenizer
+    t = Tokenizer.from_file(vocabulary_path())
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x  <|endoftext|><|endoftext|>  \n y", "<|endoftext", "<|ENDOFTEXT|>", "plain",
+             " " * 1_100_000 + "<|endoftext|>x"]
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert 50256 in want[0]
+    assert [ids.tolist() for ids in map(encoder(added=True), texts)] == want
+    got = P.pieces(make_docs(list(enumerate(texts[:6])))).collect()
+    assert {r.doc_id: (r.length, r.ids_crc32) for r in got} == {
+        i: (len(w) + 1, zlib.crc32(np.array([*w, 0], "<u4").tobytes())) for i, w in enumerate(want[:6])}
+
+
 def test_cut():
     assert P.cut(1, 4) == [(0, 1)] and P.cut(4, 4) == [(0, 4)] and P.cut(5, 4) == [(0, 1), (1, 4)] and P.cut(8, 4) == [(0, 4), (4, 4)]
 
