@@ -16,6 +16,8 @@ decision.  Empty tables give an empty result; extra columns stay as they are.
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,12 +28,17 @@ BUDGET = 0.5
 #: Targets by default: each marginal's share to this power, normalised.
 FLATTEN = 0.7
 TOPICS = 8
-ROUNDS, TOLERANCE = 30, 5e-3
+ROUNDS, TOLERANCE = 400, 5e-3
+#: Errors are looked at every so many rounds, whatever the number of cells.
+EVERY = 4
+#: Raking stands still when no cell's probability moves by more in these rounds.
+STANDSTILL = 1e-4
 SEED = 17
 #: Cells beyond this meet the documents in a shuffle join.
 MAX_BROADCAST_CELLS = 50_000
 #: Cells up to this many are raked in one task, more are shuffled.
 MAX_ONE_TASK_CELLS = 50_000
+LOG = logging.getLogger(__name__)
 _DIMS = ("source", "lang", "topic")
 
 
@@ -67,14 +74,14 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], budget: float = BUDGET
     """``cells`` (dims, ``tokens``) with ``weight``: tokens to sample of each.
 
     A round scales to each target in turn and caps weights at the cell's
-    tokens.  It ends when no marginal is off by more than ``tolerance`` of its
-    target, when it hardly falls any more (the caps put the targets out of
-    reach together), or after ``rounds`` rounds."""
+    tokens.  Every ``EVERY`` rounds it ends when no marginal is off by more than
+    ``tolerance`` of its target, when the weights stand still (the caps put the
+    targets out of reach together), or after ``rounds`` rounds, which are
+    rounded up to a multiple of ``EVERY``.  The error reached is logged."""
     # a table of bounded size is raked in one partition, without a shuffle, some
     # rounds at a time; a larger one with shuffled sums, a round at a time
     few = cells.count() <= MAX_ONE_TASK_CELLS
     whole = lambda d: d.coalesce(1) if few else d
-    at_once = 4 if few else 1
 
     def with_sum(w: DataFrame, dim: str) -> DataFrame:
         if few:
@@ -86,23 +93,29 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], budget: float = BUDGET
     for dim, t in targets.items():
         goal = goal_tokens(whole(cells), dim, whole(t), budget).withColumnRenamed("__goal", f"__goal_{dim}")
         w = w.join(whole(goal), F.col(dim) == F.col("__v"), "left").drop("__v")
-    w, before = whole(materialise(w.na.fill(0.0, [f"__goal_{d}" for d in targets]), "rake")), float("inf")
+    w = whole(materialise(w.na.fill(0.0, [f"__goal_{d}" for d in targets]), "rake"))
     columns = w.columns
-    for _ in range(0, rounds, at_once):
-        for dim in list(targets) * at_once:
-            scaled = F.col("weight") * F.col(f"__goal_{dim}") / F.when(F.col("__have") > 0, F.col("__have"))
-            w = with_sum(w, dim).withColumn("weight", F.least(F.col("tokens").cast("double"), F.coalesce(scaled, F.lit(0.0)))).drop("__have")
+    for done in range(EVERY, rounds + EVERY, EVERY):
+        w = w.withColumn("__from", F.col("weight"))
+        for i in range(EVERY):
+            for dim in targets:
+                scaled = F.col("weight") * F.col(f"__goal_{dim}") / F.when(F.col("__have") > 0, F.col("__have"))
+                w = with_sum(w, dim).withColumn("weight", F.least(F.col("tokens").cast("double"), F.coalesce(scaled, F.lit(0.0)))).drop("__have")
+            if not few and i + 1 < EVERY:
+                w = materialise(w, "rake")
         off = F.lit(0.0)
         for dim in targets:
             miss = F.when(F.col(f"__goal_{dim}") > 0, F.abs(F.col("__have") / F.col(f"__goal_{dim}") - 1)).otherwise(0.0)
             w = with_sum(w, dim).withColumn(f"__off_{dim}", miss).drop("__have")
             off = F.greatest(off, F.col(f"__off_{dim}"))
-        w = whole(materialise(w.select(*columns, off.alias("__off")), "rake"))
-        error = w.agg(F.max("__off")).first()[0] or 0.0
+        moved = F.when(F.col("tokens") > 0, F.abs(F.col("weight") - F.col("__from")) / F.col("tokens")).otherwise(0.0)
+        w = whole(materialise(w.select(*columns, off.alias("__off"), moved.alias("__moved")), "rake"))
+        error, most = w.agg(F.max("__off"), F.max("__moved")).first()
         w = w.select(*columns)
-        if error <= tolerance or error > 0.95 * before:
+        if not error or error <= tolerance or most <= STANDSTILL:
             break
-        before = error
+    if rounds > 0:
+        LOG.log(logging.WARNING if (error or 0.0) > tolerance else logging.INFO, "raking: %d rounds, targets missed by at most %.4f", done, error or 0.0)
     return w.select(*cells.columns, "weight")
 
 

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -27,6 +28,35 @@ def test_marginals_meet_targets(spark, monkeypatch, few):
             assert got[k] == pytest.approx(share * 0.3 * total, rel=0.01)
 
 
+def _slow_cells(spark):
+    """Cells with a heavy source whose raking takes 40 rounds."""
+    rnd = np.random.default_rng(6)
+    keys = [(s, l, t) for s in range(6) for l in range(3) for t in range(4) if rnd.random() < 0.6]
+    tokens = np.floor(rnd.lognormal(5, 2, len(keys))) + 1
+    big = np.array([s == 0 for s, _, _ in keys])
+    tokens[big] *= max(1, 0.5 * tokens[~big].sum() / tokens[big].sum())
+    rows = [(f"+s{s}", f"+l{l}", f"+t{t}", int(n)) for (s, l, t), n in zip(keys, tokens)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens bigint")
+    return cells, {d: M.materialise(M.flattened_targets(cells, d), "targets") for d in ("source", "lang", "topic")}
+
+
+def test_one_stop_rule_at_every_size(spark, monkeypatch):
+    cells, targets = _slow_cells(spark)
+    weights = lambda: {r[:3]: r.weight for r in M.rake(cells, targets, rounds=12).select("source", "lang", "topic", "weight").collect()}
+    few = weights()
+    monkeypatch.setattr(M, "MAX_ONE_TASK_CELLS", 0)
+    assert weights() == pytest.approx(few, rel=1e-9)
+
+
+def test_raking_goes_on_to_the_tolerance(spark):
+    cells, targets = _slow_cells(spark)
+    out = M.materialise(M.rake(cells, targets), "raked")
+    for d, t in targets.items():
+        goals = {r[0]: r[1] for r in M.goal_tokens(cells, d, t, M.BUDGET).collect()}
+        for value, got in out.groupBy(d).agg(F.sum("weight")).collect():
+            assert got == pytest.approx(goals[value], rel=M.TOLERANCE * 1.01)
+
+
 def test_goals_never_exceed_what_a_value_has(spark):
     cells = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 2000)], "source string, tokens bigint")
     t = spark.createDataFrame([("a", .5), ("b", .25), ("c", .25)], "value string, share double")
