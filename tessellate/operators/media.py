@@ -79,8 +79,23 @@ AUDIO_PROFILE_SCHEMA = ("sample_id bigint, item int, sample_rate int, channels i
                         "seconds double, clipped_samples bigint, failed boolean")
 
 
-#: Bytes of an item that hold its header (the data chunk's size stands in it).
-HEADER_BYTES = 4096
+#: Bytes of an item that hold its header (the data chunk's size stands in it),
+#: and the chunks before the data that are looked at there.
+HEADER_BYTES, HEADER_CHUNKS = 4096, 16
+
+
+def _header(b: Column) -> Column:
+    """The first HEADER_BYTES of an item if its data chunk begins there, else the whole item."""
+    head = F.substring(b, 1, HEADER_BYTES)
+    byte = lambda at: F.conv(F.hex(F.substring(head, at, 1)), 16, 10).cast("bigint")
+
+    def step(at, _):  # at: 1-based start of a chunk, 0 once past the prefix, below 0 at the data chunk
+        size = byte(at + 4) + byte(at + 5) * 256 + byte(at + 6) * 65536 + byte(at + 7) * 16777216
+        after = at + 8 + size + size % 2
+        return F.when(at <= 0, at).when(at + 7 > HEADER_BYTES, 0).when(F.substring(head, at, 4) == F.lit(b"data"), -at).otherwise(F.coalesce(after, F.lit(0))).cast("bigint")
+
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(HEADER_CHUNKS)), F.lit(13).cast("bigint"), step) < 0
+    return F.when((F.octet_length(b) <= HEADER_BYTES) | found, head).otherwise(b)
 
 
 def _profile_one(b: bytes, rate: int, clip: float):
@@ -99,10 +114,9 @@ def audio_profile(df: DataFrame, col: str = "audios", rate: int = TARGET_RATE, c
     """MED-01: WAV header facts per audio item of a binary media column.
 
     Rows are exploded to (sample_id, item, first HEADER_BYTES bytes) in the JVM,
-    so Python sees headers only, never whole media items.
+    so Python sees headers only; items whose data chunk begins later are read whole.
     """
-    items = df.select("sample_id", F.posexplode(col).alias("item", "b")).select(
-        "sample_id", "item", F.substring("b", 1, HEADER_BYTES).alias("b"))
+    items = df.select("sample_id", F.posexplode(col).alias("item", "b")).select("sample_id", "item", _header(F.col("b")).alias("b"))
 
     def run(batches):
         for pdf in batches:
