@@ -59,16 +59,16 @@ def row_key(id_col: Column, text_col: Column) -> Column:
                        F.xxhash64(F.coalesce(text_col, F.lit(""))).cast("string"))
 
 
-def join_on_hot_key(left: DataFrame, right: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+def join_on_hot_key(left: DataFrame, right: DataFrame, key: str, weight: str, total: int, share: int = HOT_SHARE) -> DataFrame:
     """Inner join ``left`` with ``right`` (unique in ``key``) on ``key``.
 
     ``weight`` is a column of ``right`` whose sum over the table is at most
     ``total``; it says how many rows of ``left`` a key has.  Keys heavier than
-    ``total / HOT_SHARE`` are fewer than HOT_SHARE by counting, so they are
+    ``total / share`` are fewer than ``share`` by counting, so they are
     broadcast; the others meet in an ordinary shuffle join whose largest key
     is bounded.  Both tables should be materialised: each is read twice.
     """
-    limit = F.lit(max(1, total // HOT_SHARE))
+    limit = F.lit(max(1, total // share))
     hot = F.broadcast(right.filter(F.col(weight) > limit))
     cold = right.filter(~(F.col(weight) > limit))
     a = left.join(hot, key)
@@ -102,6 +102,22 @@ def keep_rows(docs: DataFrame, keepers: DataFrame, id_col: str = "doc_id", text_
     return same_columns(first.filter(F.col(n) == 1), docs.columns)
 
 
+def by_bytes(batches, column: int, limit: int):
+    """Slices of Arrow batches whose text or binary column holds about ``limit``
+    bytes (more where one value does)."""
+    import pyarrow.compute as pc
+
+    for b in batches:
+        first = held = 0
+        for i, n in enumerate(pc.binary_length(b.column(column)).fill_null(0).to_pylist()):
+            if held and held + n > limit:
+                yield b.slice(first, i - first)
+                first, held = i, 0
+            held += n
+        if b.num_rows > first:
+            yield b.slice(first)
+
+
 def as_batches(rows: int = 512):
     """Split incoming Arrow batches so that a task holds few long texts at once."""
     def split(batches):

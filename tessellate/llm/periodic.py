@@ -28,11 +28,10 @@ from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import by_bytes, let
 
 #: Least number of periods and of words of a run.
 PERIODS, WORDS = 4, 6
@@ -261,19 +260,6 @@ def _collapse(words: list[bytes], runs) -> bytes:
     return b" ".join([words[i] for i in np.flatnonzero(keep)])
 
 
-def by_bytes(batches, column: int, limit: int):
-    """Slices of Arrow batches whose binary column holds about ``limit`` bytes."""
-    for b in batches:
-        first = held = 0
-        for i, n in enumerate(pc.binary_length(b.column(column)).fill_null(0).to_pylist()):
-            if held and held + n > limit:
-                yield b.slice(first, i - first)
-                first, held = i, 0
-            held += n
-        if b.num_rows > first:
-            yield b.slice(first)
-
-
 def repetitions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", periods: int = PERIODS, words: int = WORDS) -> DataFrame:
     """``doc_id, n_words, runs (array of start, length, period), collapsed`` (the
     words outside the repeats of any run, joined by a space) of every row."""

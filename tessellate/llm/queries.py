@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import edit_counts, exact_dedup, html_text, langid, mixing, packing, periodic, quality, simhash, toxicity, url_filter
+from . import align, edit_counts, exact_dedup, html_text, langid, mixing, packing, periodic, quality, simhash, toxicity, url_filter
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_token_counts": edit_counts.op9_token_counts,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     "op11_periodic_runs": periodic.op11_periodic_runs,
+    "op12_token_alignment": align.op12_token_alignment,
 }
 
 ORACLE_SQL = {
