@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import align, edit_counts, exact_dedup, html_text, langid, mixing, packing, periodic, quality, simhash, toxicity, url_filter
+from . import align, edit_counts, exact_dedup, html_text, langid, mixing, packing, periodic, quality, simhash, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -17,9 +17,11 @@ QUERIES = {
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     "op11_periodic_runs": periodic.op11_periodic_runs,
     "op12_token_alignment": align.op12_token_alignment,
+    "op13_legacy_archives": warc.op13_legacy_archives,
 }
 
 ORACLE_SQL = {
     "op6_url_filters": url_filter.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
+    "op13_legacy_archives": warc.ORACLE,
 }
