@@ -4,13 +4,13 @@ Input: one row per rollout ``(step, rollout_id, qid, task, dataset,
 token_rewards array<double>, response_mask array<int>)``; a *step* is one
 training batch.  Output: one advantage per rollout.
 
-Plan shape (per-step and per-task statistics are aggregations joined back, so
-a hot task never lands in one task; windows only span one question's rollouts,
-a handful per prompt, and share one shuffle by (step, qid)):
+Plan shape (statistics of steps, tasks and questions are aggregations with
+map-side combining, joined back, so that neither a hot task nor a hot question
+lands in one task: its rows meet one row, by a broadcast or a skew-split join):
 
     rollouts -> reward sum (ADV-01) -> per-step min/max join (ADV-02)
-      -> per-(step, qid) mean/std and question means (ADV-04, ADV-10)
-      -> responsibilities (ADV-06) -> per-(step, task) mass and question statistics
+      -> per-(step, qid) mean/std (ADV-04) -> responsibilities (ADV-06)
+      -> per-(step, task, qid) means (ADV-10) -> per-(step, task) mass and question statistics
       -> density EMA per task across steps (ADV-07, STR-01 fold)
       -> per-step reference over tasks present -> task scale EMA (ADV-09)
       -> A * task_scale * question_scale (ADV-11) -> token broadcast (ADV-12)
@@ -22,12 +22,16 @@ Defaults follow the published configuration; mode names are parameters.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..streaming.ema import Ema, ema_fold, ema_folds
+from ..sources.sinks import rebalanced
+from ..streaming.ema import Ema, ema_folds, ema_scan
+from .batching import global_row_number
 
 
 @dataclass(frozen=True)
@@ -57,6 +61,8 @@ class AdvantageConfig:
     beta_mu: float = 0.95
     beta_sigma: float = 0.95
     eps: float = 1e-6
+    #: Fold the tasks' histories by :func:`ema_scan`, for very many steps.
+    long_history: bool = False
 
 
 #: Per-task state that the z_score mode carries, besides density, scale and rarity.
@@ -67,6 +73,19 @@ def _clamp(c: Column, lo: float, hi: float) -> Column:
     return F.greatest(F.lit(lo), F.least(F.lit(hi), c))
 
 
+def join_back(df: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``df`` with the columns of ``stats`` (unique in ``keys``), null being a key
+    like any other."""
+    right = stats.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], *[c for c in stats.columns if c not in keys])
+    on = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(keys)])
+    return df.join(right, on).drop(*[f"_k{i}" for i in range(len(keys))])
+
+
+def _fold(df: DataFrame, by: str, emas: list[Ema], cfg: AdvantageConfig, state: DataFrame | None) -> DataFrame:
+    """``by, step`` and the averages of a per-(step, by) table."""
+    return (ema_scan if cfg.long_history else ema_folds)(df, [by], "step", emas, state)
+
+
 def _sigmoid(x: Column) -> Column:
     return 1.0 / (1.0 + F.exp(-x))
 
@@ -90,14 +109,12 @@ def minmax_scale(df: DataFrame, cfg: AdvantageConfig = AdvantageConfig(), col: s
 def group_norm(df: DataFrame, cfg: AdvantageConfig = AdvantageConfig(), col: str = "scaled",
                out: str = "adv") -> DataFrame:
     """ADV-04: per question (v - mean) / max(std_pop, eps); a question with a
-    single rollout keeps its value.  The window holds the rollouts of one
-    question, a handful by construction (rollouts per prompt)."""
+    single rollout keeps its value."""
     if not cfg.group_norm:
         return df.withColumn(out, F.col(col))
-    w = Window.partitionBy("step", "qid")
-    v = F.when(F.count(F.lit(1)).over(w) < 2, F.col(col)).otherwise(
-        (F.col(col) - F.avg(col).over(w)) / F.greatest(F.stddev_pop(col).over(w), F.lit(cfg.eps)))
-    return df.withColumn(out, v)
+    q = df.groupBy("step", "qid").agg(F.count(F.lit(1)).alias("_n"), F.avg(col).alias("_mu"), F.stddev_pop(col).alias("_sd"))
+    v = F.when(F.col("_n") < 2, F.col(col)).otherwise((F.col(col) - F.col("_mu")) / F.greatest(F.col("_sd"), F.lit(cfg.eps)))
+    return join_back(df, q, ["step", "qid"]).withColumn(out, v).drop("_n", "_mu", "_sd")
 
 
 def group_stats(df: DataFrame, by: str, col: str, cfg: AdvantageConfig = AdvantageConfig(),
@@ -110,7 +127,7 @@ def group_stats(df: DataFrame, by: str, col: str, cfg: AdvantageConfig = Advanta
         F.avg(col).alias("mu"), F.stddev_pop(col).alias("sigma"), F.count(F.lit(1)).alias("count"),
         F.avg(F.abs(col)).alias("abs_mu"), F.stddev_pop(F.abs(col)).alias("abs_sigma"))
     emas = [Ema(c, cfg.beta_mu if c.endswith("mu") else cfg.beta_sigma, f"ema_{c}") for c in ("mu", "sigma", "abs_mu", "abs_sigma")]
-    st = st.join(ema_folds(st, ["key"], "step", emas, state), ["key", "step"])
+    st = join_back(st, _fold(st, "key", emas, cfg, state), ["key", "step"])
     st = st.withColumn("kind", F.lit(by))
     if prefix:
         st = st.withColumn("stage", F.lit(prefix))
@@ -139,7 +156,7 @@ def responsibility(df: DataFrame, cfg: AdvantageConfig = AdvantageConfig(), col:
     if cfg.mode == "z_score":
         st = (group_stats(df, "task", col, cfg) if stats is None else stats).select(
             "step", F.col("key").alias("task"), "ema_abs_mu", "ema_abs_sigma", "ema_sigma")
-        j = df.join(st, ["step", "task"])
+        j = join_back(df, st, ["step", "task"])
         mu = F.greatest(F.col("ema_abs_mu"), F.lit(cfg.eps))
         sd = F.greatest(F.when(F.col("ema_abs_sigma") <= 0, F.col("ema_sigma")).otherwise(F.col("ema_abs_sigma")),
                         F.lit(cfg.eps))
@@ -156,6 +173,10 @@ def task_mass(df: DataFrame, col: str = "adv") -> DataFrame:
         F.count(F.lit(1)).alias("cnt"))
 
 
+def _carried(state: DataFrame | None, column: str, out: str) -> DataFrame | None:
+    return None if state is None else state.select("task", F.col(column).alias(out))
+
+
 def task_density(mass: DataFrame, cfg: AdvantageConfig = AdvantageConfig(),
                  state: DataFrame | None = None) -> DataFrame:
     """ADV-07: rho per (step, task), its EMA (seeded with the first batch
@@ -168,9 +189,8 @@ def task_density(mass: DataFrame, cfg: AdvantageConfig = AdvantageConfig(),
     else:
         raise ValueError(cfg.density)
     m = mass.withColumn("rho_batch", rb)
-    init = state.select("task", F.col("rho_prev").alias("prev")) if state is not None else None
-    e = ema_fold(m, ["task"], "step", "rho_batch", cfg.beta_rho, seed="first", out="rho_ema", init_state=init)
-    m = m.join(e, ["task", "step"]).withColumn("rho_ema", F.greatest(F.col("rho_ema"), F.lit(cfg.eps)))
+    e = _fold(m, "task", [Ema("rho_batch", cfg.beta_rho, "rho_ema")], cfg, _carried(state, "rho_prev", "rho_ema"))
+    m = join_back(m, e, ["task", "step"]).withColumn("rho_ema", F.greatest(F.col("rho_ema"), F.lit(cfg.eps)))
     ref = m.groupBy("step").agg(F.avg(F.log("rho_ema")).alias("log_rho_ref"),
                                 F.avg("rho_ema").alias("rho_ref_arith"))
     return m.join(ref, "step")
@@ -181,9 +201,8 @@ def rarity_boost(dens: DataFrame, cfg: AdvantageConfig = AdvantageConfig(), stat
     if not cfg.rarity:
         return dens.withColumn("k", F.lit(1.0))
     d = dens.withColumn("sig_batch", F.greatest(F.col("sig"), F.lit(cfg.eps)))
-    init = state.select("task", F.col("sig_prev").alias("prev")) if state is not None else None
-    e = ema_fold(d, ["task"], "step", "sig_batch", cfg.beta_rho, seed="first", out="sig_ema", init_state=init)
-    d = d.join(e, ["task", "step"])
+    e = _fold(d, "task", [Ema("sig_batch", cfg.beta_rho, "sig_ema")], cfg, _carried(state, "sig_prev", "sig_ema"))
+    d = join_back(d, e, ["task", "step"])
     ref = d.groupBy("step").agg(F.exp(F.avg(F.log(F.greatest(F.col("sig_ema"), F.lit(cfg.eps))))).alias("sig_ref"))
     d = d.join(ref, "step")
     ratio = F.col("sig_ref") / F.greatest(F.col("sig_ema"), F.lit(cfg.eps))
@@ -205,16 +224,14 @@ def task_scale(dens: DataFrame, cfg: AdvantageConfig = AdvantageConfig(),
     rho = F.greatest(F.col("rho_ema"), F.lit(cfg.eps))
     if cfg.scaling == "geom":
         d = dens.withColumn("inst", cfg.gamma * (F.col("log_rho_ref") - F.log(rho)) + F.log("k"))
-        init = state.select("task", F.col("scale_prev").alias("prev")) if state is not None else None
-        e = ema_fold(d, ["task"], "step", "inst", cfg.beta_logmult, seed=0.0, out="log_mult_ema", init_state=init)
-        d = d.join(e, ["task", "step"])
+        e = _fold(d, "task", [Ema("inst", cfg.beta_logmult, "log_mult_ema", 0.0)], cfg, _carried(state, "scale_prev", "log_mult_ema"))
+        d = join_back(d, e, ["task", "step"])
         return d.withColumn("task_scale", _clamp(F.exp("log_mult_ema"), cfg.task_min, cfg.task_max))
     if cfg.scaling == "arith":
         d = dens.withColumn("inst", F.col("rho_ref_arith") / rho * F.col("k"))
-        init = state.select("task", F.col("scale_prev").alias("prev")) if state is not None else None
-        e = ema_fold(d, ["task"], "step", "inst", cfg.beta_logmult, seed="first",
-                     clamp=(cfg.task_min, cfg.task_max), out="task_scale", init_state=init)
-        return d.join(e, ["task", "step"])
+        ema = Ema("inst", cfg.beta_logmult, "task_scale", clamp=(cfg.task_min, cfg.task_max))
+        e = _fold(d, "task", [ema], cfg, _carried(state, "scale_prev", "task_scale"))
+        return join_back(d, e, ["task", "step"])
     if cfg.scaling == "naive_density":
         return dens.withColumn("task_scale", _clamp(1.0 / rho, cfg.task_min, cfg.task_max))
     raise ValueError(cfg.scaling)
@@ -247,29 +264,23 @@ def _question_factor(cfg: AdvantageConfig) -> Column:
 
 
 def question_means(df: DataFrame, cfg: AdvantageConfig = AdvantageConfig(), col: str = "adv") -> DataFrame:
-    """Rollouts with ``m``, the mean signal of their question in its task, and
-    ``_first``, true for one rollout of each question.  Both windows reuse the
-    distribution by (step, qid) of :func:`group_norm`."""
-    w = Window.partitionBy("step", "qid", "task")
-    m = F.greatest(F.avg(F.col("r") * F.abs(col)).over(w), F.lit(cfg.eps))
-    return df.withColumn("m", m).withColumn("_first", F.row_number().over(w.orderBy("rollout_id")) == 1)
-
-
-def task_signals(df: DataFrame, col: str = "adv") -> DataFrame:
-    """:func:`task_mass` and the question statistics of ADV-10 per (step, task),
-    in one aggregation over the result of :func:`question_means`."""
-    one = F.col("_first")
-    return df.groupBy("step", "task").agg(
-        F.sum(F.col("r") * F.abs(col)).alias("mass"), F.sum("r").alias("sig"), F.count(F.lit(1)).alias("cnt"),
-        F.count_if(one).alias("nq"), F.avg(F.when(one, F.log("m"))).alias("log_mbar"), F.avg(F.when(one, F.col("m"))).alias("mbar"))
+    """``step, task, qid`` and ``m``, the mean signal of the question in its task."""
+    return df.groupBy("step", "task", "qid").agg(F.greatest(F.avg(F.col("r") * F.abs(col)), F.lit(cfg.eps)).alias("m"))
+
+
+def task_signals(df: DataFrame, means: DataFrame, col: str = "adv") -> DataFrame:
+    """:func:`task_mass` and the question statistics of ADV-10 per (step, task)
+    from the rollouts and the result of :func:`question_means`."""
+    q = means.groupBy("step", "task").agg(F.count(F.lit(1)).alias("nq"), F.avg(F.log("m")).alias("log_mbar"), F.avg("m").alias("mbar"))
+    return join_back(task_mass(df, col), q, ["step", "task"])
 
 
 def group_relative_advantage(rollouts: DataFrame, cfg: AdvantageConfig = AdvantageConfig(),
                              state: DataFrame | None = None, with_state: bool = False, hold=lambda d: d):
     """ADV-11: the full per-rollout advantage table.
 
-    ``hold`` is applied to each intermediate table that is read more than once;
-    a caller that runs several actions passes ``DataFrame.persist`` or a writer.
+    ``hold`` is applied to each table that is read more than once; a caller that
+    runs several actions passes a writer, which cuts the plan, too.
 
     Columns: step, rollout_id, qid, task, dataset, raw, scaled, adv (after
     group normalisation), r, task_scale, question_scale, advantage.
@@ -280,15 +291,15 @@ def group_relative_advantage(rollouts: DataFrame, cfg: AdvantageConfig = Advanta
     if cfg.mode == "z_score":
         init = None if state is None else state.select(F.col("task").alias("key"), *[F.col(c) for c in STAT_STATE])
         stats = hold(group_stats(df, "task", "adv", cfg, state=init))
-    df = hold(question_means(responsibility(df, cfg, stats=stats), cfg))
-    dens = hold(task_density(hold(task_signals(df)), cfg, state))
-    ts_full = hold(task_scale(hold(rarity_boost(dens, cfg, state)), cfg, state))
+    df = hold(responsibility(df, cfg, stats=stats))
+    means = hold(question_means(df, cfg))
+    dens = hold(task_density(hold(task_signals(df, means)), cfg, state))
+    ts_full = hold(task_scale(hold(rarity_boost(dens, cfg, state)) if cfg.rarity else rarity_boost(dens, cfg, state), cfg, state))
     ts = ts_full.select("step", "task", "task_scale", "rho_ema", "log_rho_ref", "nq", "log_mbar", "mbar")
-    out = df.join(ts, ["step", "task"], "left")
-    out = out.withColumn("task_scale", F.coalesce("task_scale", F.lit(1.0))) \
-             .withColumn("question_scale", F.coalesce(_question_factor(cfg), F.lit(1.0)))
+    out = join_back(join_back(df, means, ["step", "task", "qid"]), ts, ["step", "task"])
+    out = out.withColumn("question_scale", F.coalesce(_question_factor(cfg), F.lit(1.0)))
     out = out.withColumn("advantage", F.col("adv") * F.col("task_scale") * F.col("question_scale")) \
-             .drop("token_rewards", "m", "_first", "nq", "log_mbar", "mbar")
+             .drop("token_rewards", "m", "nq", "log_mbar", "mbar")
     if not with_state:
         return out
     carried = "log_mult_ema" if cfg.scaling == "geom" else "task_scale"
@@ -300,20 +311,17 @@ def group_relative_advantage(rollouts: DataFrame, cfg: AdvantageConfig = Advanta
         new = new.select("*", *[none.alias(c) for c in STAT_STATE])
     else:
         st = stats.groupBy(F.col("key").alias("task")).agg(F.max_by(F.struct(*STAT_STATE), F.col("step")).alias("s"))
-        new = new.join(st.select("task", "s.*"), "task")
+        new = join_back(new, st.select("task", "s.*"), ["task"])
     if state is not None:
-        new = state.select(*new.columns).join(new.select("task"), "task", "left_anti").unionByName(new)
+        now = new.select(F.col("task").alias("_t"))
+        new = state.select(*new.columns).join(now, F.col("task").eqNullSafe(F.col("_t")), "left_anti").unionByName(new)
     return out, new
 
 
 def rollout_pos(df: DataFrame) -> DataFrame:
-    """SMP-08: ordinal of a rollout inside its question, in rollout order.
-
-    A question holds a handful of rollouts (n per prompt), so the window over
-    (step, qid) is bounded by the rollout count per prompt.
-    """
-    w = Window.partitionBy("step", "qid").orderBy("rollout_id")
-    return df.withColumn("rollout_pos", F.row_number().over(w) - 1)
+    """SMP-08: ordinal of a rollout inside its question, in rollout order; a
+    question with any share of the rollouts is numbered by all tasks."""
+    return global_row_number(df, ["step", "qid"], ["rollout_id"], "rollout_pos").withColumn("rollout_pos", F.col("rollout_pos") - 1)
 
 
 def to_tokens(df: DataFrame, adv: str = "advantage", mask: str = "response_mask") -> DataFrame:
@@ -322,9 +330,10 @@ def to_tokens(df: DataFrame, adv: str = "advantage", mask: str = "response_mask"
 
 
 def advantage_log(adv: DataFrame, path: str) -> None:
-    """ADV-13: write (stage, qid, task, dataset, advantage, r) per step."""
+    """ADV-13: write (stage, qid, task, dataset, advantage, r) per step, in files
+    that follow the size of the steps."""
     logged = adv.select("step", F.lit("final").alias("stage"), "qid", "task", "dataset", "advantage",
                         F.col("r").alias("responsibility"))
     post = adv.select("step", F.lit("post_grpo").alias("stage"), "qid", "task", "dataset",
                       F.col("adv").alias("advantage"), F.lit(None).cast("double").alias("responsibility"))
-    logged.unionByName(post).write.mode("overwrite").partitionBy("step").parquet(path)
+    rebalanced(logged.unionByName(post), ["step"]).write.mode("overwrite").partitionBy("step").parquet(path)

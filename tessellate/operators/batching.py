@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import write_once
+from .selection import kth_smallest
 
 
 def number_keys(df: DataFrame, group: Sequence[str], order: Sequence[str], out: str = "rn", size: str = "group_n",
@@ -95,10 +96,67 @@ def resume_position(step: Column, batches_per_epoch: Column) -> Column:
                     F.pmod(step - 1, batches_per_epoch).cast("bigint").alias("offset"))
 
 
+# FIXED VALUES: multiplier and modulus of the round function (a Lehmer generator).
+_MULTIPLIER, _MODULUS = 48271, 2147483647
+ROUNDS = 6
+#: Walks along a cycle; each leaves the range with a chance of less than a half.
+WALKS = 128
+
+
+def round_keys(seed: int, rounds: int = ROUNDS) -> list[int]:
+    """Keys of the rounds from the seed."""
+    keys, x = [], seed % _MODULUS + 1
+    for _ in range(rounds):
+        x = (x * _MULTIPLIER + 12345) % _MODULUS
+        keys.append(x)
+    return keys
+
+
+def permuted(number: Column, n: Column, seed: int, bits: int) -> Column:
+    """The place of ``number`` (0 .. n - 1) in a permutation of 0 .. n - 1 that
+    the seed picks: a Feistel network over ``bits`` bits (2 ** bits >= n), walked
+    along its cycle until it is in range again.  Every place is computed by
+    itself: nothing is sorted, and any part of the order can be found again."""
+    high, low = bits - bits // 2, bits // 2
+
+    def once(x: Column) -> Column:
+        # halves of unequal width swap their widths every round
+        a, b, wa, wb = F.shiftright(x, low), x.bitwiseAND((1 << low) - 1), high, low
+        for k in round_keys(seed):
+            mixed = ((b + 1) * F.lit(_MULTIPLIER) + F.lit(k)) % _MODULUS * F.lit(_MULTIPLIER) % _MODULUS
+            a, b, wa, wb = b, a.bitwiseXOR(F.shiftright(mixed, 7).bitwiseAND((1 << wa) - 1)), wb, wa
+        return F.shiftleft(a, wb).bitwiseOR(b)
+
+    first = once(number.cast("bigint"))
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), first, lambda x, _: F.when(x < n, x).otherwise(once(x)))
+    return F.when(first < n, first).when(walked < n, walked).otherwise(F.raise_error(F.lit("no place found")).cast("bigint"))
+
+
 def seeded_shuffle(df: DataFrame, seed: int, key: str = "sample_id") -> DataFrame:
-    """SMP-04: a seeded, reproducible total order (not the reference's
-    permutation): sort by xxhash64(key, seed)."""
-    return df.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed))).orderBy("_h", key).drop("_h")
+    """SMP-04: ``df`` with ``position``, its place (from 0) in a seeded order of
+    all rows (not the reference's permutation).  Rows are numbered by ``key``, by
+    all tasks, and the place is computed from the number, so the order is part of
+    the table: it survives writing, and :func:`resume` goes on anywhere."""
+    numbered = global_row_number(df, [], [key], "_rn", size="_all")
+    n = df.count()
+    bits = max(2, (n - 1).bit_length())
+    at = permuted(F.col("_rn") - 1, F.lit(n).cast("bigint"), seed, bits)
+    return numbered.withColumn("position", at).drop("_rn", "_all")
+
+
+def resume(shuffled: DataFrame, offset: int, rows: int | None = None) -> DataFrame:
+    """SMP-03 over SMP-04: the rows from place ``offset`` on, in order, or the next
+    ``rows`` of them.  On a table written with :func:`write_shuffled` the places
+    are pushed down to the files."""
+    d = shuffled.filter(F.col("position") >= offset)
+    if rows is not None:
+        d = d.filter(F.col("position") < offset + rows)
+    return d.orderBy("position")
+
+
+def write_shuffled(shuffled: DataFrame, path: str, files: int) -> None:
+    """Write in the order of ``position``, each file a stretch of it."""
+    shuffled.repartitionByRange(files, "position").sortWithinPartitions("position").write.mode("overwrite").parquet(path)
 
 
 def cap_samples(batches: DataFrame, n: int, size: int) -> DataFrame:
@@ -107,25 +165,34 @@ def cap_samples(batches: DataFrame, n: int, size: int) -> DataFrame:
     return batches.filter(F.col("batch_no") * size < n)
 
 
-def early_stop(hist: DataFrame, key: str, order: str, metric: str, patience: int) -> DataFrame:
+def early_stop(hist: DataFrame, key: str, order: str, metric: str, patience: int,
+               epoch: str | None = None, counted: Column | None = None) -> DataFrame:
     """SMP-06: running best (from 0.0, strict improvement), streak of
     non-improving evaluations, and the first point where the streak reaches
-    ``patience`` (patience 0 stops at the first evaluation).
+    ``patience`` (patience 0 stops at the first).
+
+    Without ``epoch`` every evaluation ends an epoch.  With it there may be many
+    evaluations an epoch, and the stop is tested only after the last one of each:
+    a streak that an improvement ends within the epoch stops nothing, and
+    ``stop_at`` is an epoch.  ``counted`` tells the evaluations that lengthen or
+    end the streak (those by steps, say); the others only raise the best.
 
-    The window is one run's evaluation history (epochs), bounded by the
-    training schedule.
+    The window is one run's evaluation history, bounded by the training schedule.
     """
-    w_prev = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    w_cum = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    h = hist.withColumn("_prev_best", F.coalesce(F.max(metric).over(w_prev), F.lit(0.0)))
-    h = h.withColumn("improved", F.col(metric) > F.greatest(F.col("_prev_best"), F.lit(0.0)))
-    h = h.withColumn("best_so_far", F.greatest(F.col("_prev_best"), F.col(metric), F.lit(0.0)))
-    h = h.withColumn("_last_imp", F.max(F.when(F.col("improved"), F.col(order))).over(w_cum))
-    h = h.withColumn("_idx", F.row_number().over(Window.partitionBy(key).orderBy(order)))
-    h = h.withColumn("_imp_idx", F.max(F.when(F.col("improved"), F.col("_idx"))).over(w_cum))
-    h = h.withColumn("streak", (F.col("_idx") - F.coalesce(F.col("_imp_idx"), F.lit(0))).cast("bigint"))
-    stop_at = F.min(F.when(F.col("streak") >= patience, F.col(order))).over(Window.partitionBy(key))
-    return h.withColumn("stop_at", stop_at).drop("_prev_best", "_last_imp", "_idx", "_imp_idx")
+    run = Window.partitionBy(key).orderBy(order)
+    w_prev, w_cum = run.rowsBetween(Window.unboundedPreceding, -1), run.rowsBetween(Window.unboundedPreceding, 0)
+    counted = F.lit(True) if counted is None else counted
+    h = hist.withColumn("_prev_best", F.greatest(F.coalesce(F.max(metric).over(w_prev), F.lit(0.0)), F.lit(0.0)))
+    h = h.withColumn("improved", F.col(metric) > F.col("_prev_best"))
+    h = h.withColumn("best_so_far", F.greatest(F.col("_prev_best"), F.col(metric)))
+    h = h.withColumn("_nth", F.count_if(counted).over(w_cum))
+    ended = F.max(F.when(F.col("improved") & counted, F.col("_nth"))).over(w_cum)
+    h = h.withColumn("streak", (F.col("_nth") - F.coalesce(ended, F.lit(0))).cast("bigint"))
+    at = order if epoch is None else epoch
+    last = F.lit(True) if epoch is None else ~F.lead(epoch).over(run).eqNullSafe(F.col(epoch))
+    h = h.withColumn("_tested", last)
+    stop_at = F.min(F.when(F.col("_tested") & (F.col("streak") >= patience), F.col(at))).over(Window.partitionBy(key))
+    return h.withColumn("stop_at", stop_at).drop("_prev_best", "_nth", "_tested")
 
 
 def best_checkpoint(hist: DataFrame, key: str, order: str, loss: str) -> DataFrame:
@@ -145,11 +212,10 @@ def collate(batches: DataFrame, cols: Sequence[str], order: str = "rn") -> DataF
     return g.select("batch_id", *[F.transform("_r", field(c)).alias(c) for c in cols])
 
 
-def p99_lower(df: DataFrame, group: Sequence[str], value: str, tiebreak: str, q: float = 0.99) -> DataFrame:
+def p99_lower(df: DataFrame, group: Sequence[str], value: str, q: float = 0.99) -> DataFrame:
     """MET-16: sorted[int(q * (n - 1))] per group (0-based rank on the lower
-    side; neither percentile_disc nor percentile_approx uses this rank).
-    Exact, via two-level numbering; groups are never collected."""
-    ranked = number_keys(df, group, [value, tiebreak], "_r", "_n")
-    k = F.floor(F.lit(q) * (F.col("_n") - 1)).cast("bigint") + 1
-    hit = (F.col("_r") <= k) & (k < F.col("_r") + F.col("copies"))
-    return ranked.filter(hit).select(*group, F.col(value).alias("p99"), F.col("_n").alias("n"))
+    side; neither percentile_disc nor percentile_approx uses this rank), as
+    ``group, p99, n``.  Exact, by :func:`.selection.kth_smallest`; a group with
+    most of the rows is counted by all tasks."""
+    r = kth_smallest(df, group, value, {"p99": F.floor(F.lit(q) * (F.col("n") - 1)).cast("bigint") + 1})
+    return r.select(*group, "p99", "n")

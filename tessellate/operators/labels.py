@@ -9,7 +9,7 @@ size and are broadcast.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .. import scheme
@@ -158,11 +158,18 @@ def label_name(df: DataFrame, spark, col: str, out: str = "class_name", missing:
     return j.withColumn(out, F.coalesce(F.col(out), fill))
 
 
-def include_datasets(df: DataFrame, include: DataFrame | None) -> DataFrame:
-    """PRJ-09 / JON-04: keep listed datasets (None = all)."""
+def include_datasets(df: DataFrame, include: DataFrame | None, counts: Observation | None = None) -> DataFrame:
+    """PRJ-09 / JON-04: keep listed datasets (None = all).  ``counts`` fills, in
+    the pass that reads the result, with the rows ``kept`` and ``skipped``; the
+    listed names that no row has are :func:`unknown_datasets`."""
     if include is None:
         return df
-    return df.join(include.select("dataset").distinct(), "dataset", "left_semi")
+    listed = include.select("dataset").distinct()
+    if counts is None:
+        return df.join(listed, "dataset", "left_semi")
+    hit = F.col("_listed").isNotNull()
+    j = df.join(listed.withColumn("_listed", F.lit(True)), "dataset", "left")
+    return j.observe(counts, F.count_if(hit).alias("kept"), F.count_if(~hit).alias("skipped")).filter(hit).select(*df.columns)
 
 
 def unknown_datasets(include: DataFrame, df: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ Pixel and audio decoding are out of scope; what is kept is the per-sample
 accounting: token budgets, frame-sampling plans, byte manifests and a WAV
 header profile.  All but the WAV profile are column expressions; the WAV
 profile parses bytes with the standard-library ``wave`` module inside
-``mapInPandas`` (one small helper per row, Arrow batches, partition-parallel).
+``mapInArrow`` (one small helper per row, Arrow batches, partition-parallel).
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 import io
 import wave
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,6 +79,8 @@ AUDIO_PROFILE_SCHEMA = ("sample_id bigint, item int, sample_rate int, channels i
                         "seconds double, clipped_samples bigint, failed boolean")
 
 
+_FACT_NAMES = [c.split()[0] for c in AUDIO_PROFILE_SCHEMA.split(", ")]
+_FACTS = [pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.int64(), pa.bool_()]
 #: Bytes of an item that hold its header (the data chunk's size stands in it),
 #: and the chunks before the data that are looked at there.
 HEADER_BYTES, HEADER_CHUNKS = 4096, 16
@@ -116,14 +118,11 @@ def audio_profile(df: DataFrame, col: str = "audios", rate: int = TARGET_RATE, c
     Rows are exploded to (sample_id, item, first HEADER_BYTES bytes) in the JVM,
     so Python sees headers only; items whose data chunk begins later are read whole.
     """
-    items = df.select("sample_id", F.posexplode(col).alias("item", "b")).select("sample_id", "item", _header(F.col("b")).alias("b"))
+    items = df.select(F.col("sample_id").cast("bigint").alias("sample_id"), F.posexplode(col).alias("item", "b")).select("sample_id", "item", _header(F.col("b")).alias("b"))
 
     def run(batches):
-        for pdf in batches:
-            rows = [_profile_one(bytes(b), rate, clip) if b is not None else (None,) * 5 + (True,) for b in pdf["b"]]
-            out = pd.DataFrame(rows, columns=["sample_rate", "channels", "n_samples", "seconds",
-                                              "clipped_samples", "failed"])
-            out.insert(0, "item", pdf["item"].astype("int32").values)
-            out.insert(0, "sample_id", pdf["sample_id"].values)
-            yield out
-    return items.mapInPandas(run, AUDIO_PROFILE_SCHEMA)
+        for b in batches:
+            rows = [_profile_one(x, rate, clip) if x is not None else (None,) * 5 + (True,) for x in b.column(2).to_pylist()]
+            facts = [pa.array(c, t) for c, t in zip(zip(*rows), _FACTS)] if rows else [pa.array([], t) for t in _FACTS]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *facts], names=_FACT_NAMES)
+    return items.mapInArrow(run, AUDIO_PROFILE_SCHEMA)

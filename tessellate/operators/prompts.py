@@ -8,7 +8,7 @@ expressions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .. import scheme
@@ -53,9 +53,14 @@ def modality_predicate(modalities: list[str], sig: str = "modality_signature") -
     return cond
 
 
-def filter_modality(df: DataFrame, modalities: list[str]) -> DataFrame:
-    """PRJ-02."""
-    return df.filter(modality_predicate(modalities))
+def filter_modality(df: DataFrame, modalities: list[str], counts: Observation | None = None) -> DataFrame:
+    """PRJ-02.  ``counts`` fills, in the pass that reads the result, with the rows
+    ``kept``, ``dropped`` and ``null_signature`` (those dropped for lack of one)."""
+    keep = modality_predicate(modalities)
+    if counts is not None:
+        df = df.observe(counts, F.count_if(keep).alias("kept"), F.count_if(~keep).alias("dropped"),
+                        F.count_if(~keep & F.col("modality_signature").isNull()).alias("null_signature"))
+    return df.filter(keep)
 
 
 def filter_max_length(df: DataFrame, max_len: int, length: Column | str) -> DataFrame:
@@ -64,11 +69,13 @@ def filter_max_length(df: DataFrame, max_len: int, length: Column | str) -> Data
     return df.filter(length <= max_len)
 
 
-def require_signature(df: DataFrame, strict: bool = True) -> DataFrame:
+def require_signature(df: DataFrame, strict: bool = True, counts: Observation | None = None) -> DataFrame:
     """PRJ-04: strict raises on a null/blank signature when rows are read;
     batching mode marks null signatures as rejected (blank stays a group).
-    Adds ``signature_status``."""
+    Adds ``signature_status``.  ``counts`` fills with ``rows`` and ``rejected``."""
     sig = F.col("modality_signature")
+    if counts is not None:
+        df = df.observe(counts, F.count(F.lit(1)).alias("rows"), F.count_if(sig.isNull()).alias("rejected"))
     if strict:
         bad = sig.isNull() | (TX.py_strip(sig) == "")
         return df.withColumn("signature_status", F.when(bad, F.raise_error(

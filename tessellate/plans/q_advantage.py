@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import advantage as A
 from ..session import scratch_path
-from ..streaming.ema import ema_fold
+from ..streaming.ema import Ema, ema_fold, ema_scan
 from . import fixtures as X
 from .oracle_views import with_views
 from .registry import finish, query
@@ -270,15 +270,41 @@ def smp08(spark, sf_dir):
     return A.rollout_pos(X.rollouts(spark, sf_dir)).select("rollout_id", F.col("rollout_pos").cast("bigint"))
 
 
-@query("str01_ema_fold", """
+#: The averages in closed form.
+STR01 = """
 , h AS (SELECT run, epoch, f1, row_number() OVER (PARTITION BY run ORDER BY epoch) AS i FROM metric_history)
 SELECT run, epoch, round(pow(0.95, i - 1) * first_value(f1) OVER w
        + 0.05 * pow(0.95, i) * sum(CASE WHEN i >= 2 THEN f1 * pow(0.95, -i) ELSE 0 END) OVER w, 6) AS ema_first,
        round(0.05 * pow(0.95, i) * sum(f1 * pow(0.95, -i)) OVER w, 6) AS ema_zero
-FROM h WINDOW w AS (PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
-       ("metric_history",))
+FROM h WINDOW w AS (PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
+
+
+@query("str01_ema_fold", STR01, ("metric_history",))
 def str01(spark, sf_dir):
     h = X.metric_history(spark, sf_dir)
     a = ema_fold(h, ["run"], "epoch", "f1", 0.95, seed="first", out="ema_first")
     b = ema_fold(h, ["run"], "epoch", "f1", 0.95, seed=0.0, out="ema_zero")
     return finish(a.join(b, ["run", "epoch"]))
+
+
+@_recursive("str01c_ema_scan", """
+, h AS (SELECT task, rollout_id, list_sum(token_rewards) / 7 AS v, row_number() OVER (PARTITION BY task ORDER BY rollout_id) AS i FROM rollouts)
+, rec(task, i, rollout_id, a, b) AS (
+    SELECT task, i, rollout_id, v, greatest(15.0, least(40.0, 0.05 * v)) FROM h WHERE i = 1
+    UNION ALL
+    SELECT h.task, h.i, h.rollout_id, 0.95 * rec.a + 0.05 * h.v, greatest(15.0, least(40.0, 0.95 * rec.b + 0.05 * h.v))
+    FROM rec JOIN h ON h.task = rec.task AND h.i = rec.i + 1)
+SELECT task, rollout_id, round(a, 6) AS ema_first, round(b, 6) AS ema_bounded FROM rec""")
+def str01c(spark, sf_dir):
+    """Averages after every rollout of a task, a few long histories, by the scan."""
+    h = A.rollout_reward(X.rollouts(spark, sf_dir)).select("task", "rollout_id", (F.col("raw") / 7).alias("v"))
+    emas = [Ema("v", 0.95, "ema_first"), Ema("v", 0.95, "ema_bounded", 0.0, (15.0, 40.0))]
+    return finish(ema_scan(h, ["task"], "rollout_id", emas))
+
+
+@query("adv11b_final_advantage_long_history", _BASE + """
+SELECT step, rollout_id, round(task_scale, 6) AS task_scale, round(advantage, 6) AS advantage FROM fin""", _V)
+def adv11b(spark, sf_dir):
+    """The final advantage with the tasks' histories folded by the scan."""
+    a = _adv(spark, sf_dir, A.AdvantageConfig(long_history=True))
+    return finish(a.select("step", "rollout_id", "task_scale", "advantage"))

@@ -3,14 +3,17 @@ MED-02/03, SRC-04/06/13)."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import batching as B
 from ..operators import media as MD
 from ..operators import metrics as M
+from ..session import scratch_path
 from ..sources import readers as RD
 from ..sources import sinks as SK
 from . import fixtures as X
+from .oracle_views import with_views
 from .registry import finish, query
 
 _V = ("samples",)
@@ -50,12 +53,45 @@ def smp03(spark, sf_dir):
     return b.select("sample_id", "batch_id", pos["epoch"].alias("epoch"), pos["offset"].alias("offset"))
 
 
-@query("smp04_seeded_shuffle", "SELECT count(*) AS n, count(DISTINCT doc_id) AS distinct_ids FROM documents")
+def _places(seed, then):
+    """SQL: the places of the seeded order, by the same network: the cycle is
+    walked row by row until it is in range."""
+    def once(x):
+        a, b, wa, wb = f"({x} >> low)", f"({x} & ((1 << low) - 1))", "high", "low"
+        for k in B.round_keys(seed):
+            f = f"((((({b} + 1) * 48271 + {k}) % 2147483647 * 48271 % 2147483647) >> 7) & ((1 << {wa}) - 1))"
+            a, b, wa, wb = b, f"xor({a}, {f})", wb, wa
+        return f"(({a} << {wb}) | {b})"
+    return f"""
+, numbered AS (SELECT sample_id, row_number() OVER (ORDER BY sample_id) - 1 AS x, count(*) OVER () AS n FROM samples)
+, halves AS (SELECT sample_id, x, n, b // 2 AS low, b - b // 2 AS high
+             FROM (SELECT *, CAST(greatest(2, ceil(log2(n))) AS BIGINT) AS b FROM numbered))
+, walk AS (SELECT sample_id, n, low, high, {once("x")} AS x FROM halves
+           UNION ALL SELECT sample_id, n, low, high, {once("x")} FROM walk WHERE x >= n)
+{then}"""
+
+
+def _recursive(name, sql):
+    return query(name, with_views(sql, "samples").replace("WITH ", "WITH RECURSIVE ", 1))
+
+
+@_recursive("smp04_seeded_shuffle", _places(42, "SELECT sample_id, CAST(x AS BIGINT) AS position FROM walk WHERE x < n"))
 def smp04(spark, sf_dir):
-    """Seeded total order; checked for being a permutation of the input."""
+    """Every row's place in the seeded order."""
     s = B.seeded_shuffle(X.samples(spark, sf_dir).select("sample_id"), seed=42)
-    return s.withColumn("pos", F.monotonically_increasing_id()).groupBy().agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct("sample_id").alias("distinct_ids"))
+    return s.select("sample_id", "position")
+
+
+@_recursive("smp04b_resume_shuffled", _places(7, """
+SELECT CAST(x AS BIGINT) AS position, sample_id, lead(sample_id) OVER (ORDER BY x) AS next_id
+FROM walk WHERE x < n AND x >= n // 3 AND x < n // 3 + 100"""))
+def smp04b(spark, sf_dir):
+    """The order written, and a hundred rows taken up again at a third of it."""
+    path = scratch_path(spark, "shuffled")
+    s = X.samples(spark, sf_dir).select("sample_id")
+    B.write_shuffled(B.seeded_shuffle(s, seed=7), path, files=4)
+    r = B.resume(spark.read.parquet(path), s.count() // 3, 100)
+    return r.select("position", "sample_id", F.lead("sample_id").over(Window.orderBy("position")).alias("next_id"))
 
 
 @query("smp05_cap_samples", _RN + "SELECT sample_id, batch_id FROM bt WHERE batch_no * 8 < 20", _V)
@@ -79,6 +115,23 @@ def smp06(spark, sf_dir):
     return finish(e.select("run", "epoch", "improved", "best_so_far", "streak", "stop_at"))
 
 
+@query("smp06b_early_stop_stepwise", """
+, h0 AS (SELECT run, epoch AS day, epoch // 6 AS epoch, f1, epoch % 6 <> 5 AS by_step FROM metric_history)
+, h AS (SELECT *, greatest(coalesce(max(f1) OVER (PARTITION BY run ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0), 0.0) AS best,
+               count_if(by_step) OVER (PARTITION BY run ORDER BY day) AS nth,
+               row_number() OVER (PARTITION BY run, epoch ORDER BY day DESC) = 1 AS tested FROM h0)
+, s AS (SELECT *, f1 > best AS improved, nth - coalesce(max(CASE WHEN f1 > best AND by_step THEN nth END)
+               OVER (PARTITION BY run ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS streak FROM h)
+SELECT run, day, improved, CAST(streak AS BIGINT) AS streak, min(CASE WHEN tested AND streak >= 4 THEN epoch END) OVER (PARTITION BY run) AS stop_at
+FROM s""", ("metric_history",))
+def smp06b(spark, sf_dir):
+    """Epochs of six days: five evaluations by steps and one at the end, which
+    raises the best only; the stop is tested at the ends."""
+    h = X.metric_history(spark, sf_dir).withColumnRenamed("epoch", "day").withColumn("epoch", F.floor(F.col("day") / 6).cast("bigint"))
+    e = B.early_stop(h, "run", "day", "f1", patience=4, epoch="epoch", counted=F.col("day") % 6 != 5)
+    return e.select("run", "day", "improved", "streak", "stop_at")
+
+
 @query("smp07_best_checkpoint", """
 SELECT run, epoch, round(min(loss) OVER (PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6)
          AS best_loss, arg_min(epoch, loss) OVER (PARTITION BY run) AS best_at
@@ -105,8 +158,8 @@ def smp09(spark, sf_dir):
 SELECT sig, n_chars AS p99, n FROM r WHERE r = CAST(floor(0.99 * (n - 1)) AS BIGINT) + 1""", _V)
 def met16(spark, sf_dir):
     s = X.samples(spark, sf_dir).select(F.coalesce("modality_signature", F.lit("(null)")).alias("sig"),
-                                        "n_chars", "sample_id")
-    return B.p99_lower(s, ["sig"], "n_chars", "sample_id")
+                                        "n_chars")
+    return B.p99_lower(s, ["sig"], "n_chars")
 
 
 @query("met17_media_budget", """

@@ -7,13 +7,14 @@ These write Spark-derived tables under the shared checkpoint folder
 from __future__ import annotations
 
 import io
+import uuid
 import wave
 
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,14 +24,19 @@ from ..functions import udf as U
 from ..operators import advantage as A
 from ..operators import labels as L
 from ..operators import media as MD
-from ..session import scratch_path
+from ..operators import prompts as P
+from ..operators.batching import global_row_number
+from ..session import scratch_path, write_once
 from ..sources import readers as RD
 from ..sources import sinks as SK
 from ..streaming import advantage_stream as ST
+from ..streaming.ema import Ema
+from ..streaming.ema_stream import write_ema_stream
 from . import fixtures as X
+from . import q_advantage as QA
 from . import q_labels as QL
 from . import q_text as QT
-from .registry import query
+from .registry import finish, query
 
 
 def _samples_schema_rows(spark, sf_dir):
@@ -63,19 +69,46 @@ def src02(spark, sf_dir):
 , l AS (SELECT dataset, row_id % 13 = 0 AS broken, row_id % 13 <> 0 AND row_id % 29 = 0 AS blank FROM label_pairs_in)
 SELECT dataset AS key, count(*) AS n FROM l WHERE NOT broken AND NOT blank GROUP BY 1
 UNION ALL SELECT 'nonblank_lines', count_if(NOT blank) FROM l
-UNION ALL SELECT 'parsed', count_if(NOT blank AND NOT broken) FROM l""", ("label_pairs_in",))
+UNION ALL SELECT 'parsed', count_if(NOT blank AND NOT broken) FROM l
+UNION ALL SELECT 'malformed', count_if(broken) FROM l
+UNION ALL SELECT '{broken ' || row_id, count(*) FROM label_pairs_in WHERE row_id % 13 = 0 GROUP BY 1""", ("label_pairs_in",))
 def src03(spark, sf_dir):
+    """Rows by dataset, the counts of the pass that read them, and the rejects."""
     base = scratch_path(spark, "jsonl_in")
     d = X.label_pairs_in(spark, sf_dir)
     good = F.to_json(F.struct("dataset", "task", "answer"))
     line = (F.when(F.col("row_id") % 13 == 0, F.concat(F.lit("{broken "), F.col("row_id").cast("string")))
             .when(F.col("row_id") % 29 == 0, F.lit("   ")).otherwise(good))
     d.select(line.alias("value")).write.mode("overwrite").option("compression", "gzip").text(f"{base}/pairs.jsonl")
-    rows, report = RD.read_jsonl_tolerant(spark, [f"{base}/pairs.jsonl", f"{base}/missing.jsonl"],
-                                          X_PAIRS_SCHEMA)
-    per = rows.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"))
-    return per.select(F.col("dataset").alias("key"), "n").unionByName(
-        report.select(F.col("kind").alias("key"), "n"))
+    rows, rejects, counts = RD.read_jsonl_tolerant(spark, [f"{base}/pairs.jsonl", f"{base}/missing.jsonl"],
+                                                   X_PAIRS_SCHEMA)
+    per = write_once(rows.groupBy("dataset").agg(F.count(F.lit(1)).alias("n")), "jsonl_rows").select(F.col("dataset").alias("key"), "n")
+    report = _counts(spark, counts)
+    return per.unionByName(report).unionByName(rejects.groupBy(F.col("_line").alias("key")).agg(F.count(F.lit(1)).alias("n")))
+
+
+def _counts(spark, *observed):
+    """Filled observations as rows ``key, n``."""
+    return spark.createDataFrame([(k, int(v)) for o in observed for k, v in o.get.items()], "key string, n bigint")
+
+
+@query("prj02b_skipped_rows", """
+, m AS (SELECT *, contains(lower(coalesce(modality_signature, '')), 'video') AS hit FROM samples)
+, i AS (SELECT dataset IN (SELECT source FROM documents WHERE doc_id % 7 = 0) AS listed FROM samples)
+SELECT 'kept' AS key, count_if(hit) AS n FROM m UNION ALL SELECT 'dropped', count_if(NOT hit) FROM m
+UNION ALL SELECT 'null_signature', count_if(NOT hit AND modality_signature IS NULL) FROM m
+UNION ALL SELECT 'rows', count(*) FROM m UNION ALL SELECT 'rejected', count_if(modality_signature IS NULL) FROM m
+UNION ALL SELECT 'kept_datasets', count_if(listed) FROM i UNION ALL SELECT 'skipped_datasets', count_if(NOT listed) FROM i""", ("samples",))
+def prj02b(spark, sf_dir):
+    """What PRJ-02, PRJ-04 and PRJ-09 warn of, counted by the pass that filters."""
+    s = X.samples(spark, sf_dir)
+    listed = X.table(spark, sf_dir, "documents").filter(F.col("doc_id") % 7 == 0).select(F.col("source").alias("dataset"))
+    seen = [Observation(f"skipped-{uuid.uuid4().hex}") for _ in range(3)]
+    for d in (P.filter_modality(s, ["videos"], seen[0]), P.require_signature(s, strict=False, counts=seen[1]),
+              L.include_datasets(s, listed, seen[2])):
+        d.write.format("noop").mode("overwrite").save()
+    third = spark.createDataFrame([(f"{k}_datasets", int(v)) for k, v in seen[2].get.items()], "key string, n bigint")
+    return _counts(spark, *seen[:2]).unionByName(third)
 
 
 X_PAIRS_SCHEMA = T.StructType([T.StructField("dataset", T.StringType()), T.StructField("task", T.StringType()),
@@ -83,16 +116,22 @@ X_PAIRS_SCHEMA = T.StructType([T.StructField("dataset", T.StringType()), T.Struc
 
 
 @query("src05_media_form", """
-SELECT 'path_form' AS "table", 'path' AS form, count(*) AS n FROM samples
-UNION ALL SELECT 'binary_form', 'binary', NULL""", ("samples",))
+, a AS (SELECT unnest(audios) AS x FROM samples)
+SELECT 'string' AS written, 'path' AS form, count(*) AS items, CAST(sum(length(x)) AS BIGINT) AS size FROM a
+UNION ALL SELECT 'binary', 'binary', count(*), CAST(sum(octet_length(encode(x))) AS BIGINT) FROM a""", ("samples",))
 def src05(spark, sf_dir):
-    s = X.samples(spark, sf_dir)
-    b = s.withColumn("audios", F.transform(F.coalesce("audios", F.array().cast("array<string>")),
-                                           lambda x: F.encode(x, "UTF-8")))
-    rows = [("path_form", RD.media_form(s)), ("binary_form", RD.media_form(b))]
-    forms = spark.createDataFrame(rows, "table string, form string")
-    n = s.groupBy().agg(F.count(F.lit(1)).alias("n")).withColumn("table", F.lit("path_form"))
-    return forms.join(n, "table", "left")
+    """The media form of tables as they are found on disk, and what they hold."""
+    s = X.samples(spark, sf_dir).select("audios")
+    binary = s.select(F.transform("audios", lambda x: F.encode(x, "UTF-8")).alias("audios"))
+    out = []
+    for written, d in (("string", s), ("binary", binary)):
+        path = scratch_path(spark, "media_form")
+        d.write.parquet(path)
+        t = spark.read.parquet(path)
+        size = F.length if RD.media_form(t) == "path" else F.octet_length
+        items = t.select(F.explode("audios").alias("x")).agg(F.count("x").alias("items"), F.sum(size("x")).alias("size"))
+        out.append(items.select(F.lit(written).alias("written"), F.lit(RD.media_form(t)).alias("form"), "items", "size"))
+    return reduce(DataFrame.unionByName, out)
 
 
 @query("src07_read_annotations", """
@@ -157,6 +196,31 @@ def src09(spark, sf_dir):
     return spark.read.json(path).groupBy("step", "dataset", "y_true", "y_pred").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("src09b_prediction_documents", r"""
+, r AS (SELECT *, CAST(conv_id % 3 AS BIGINT) AS step, CASE WHEN regexp_matches(response, '\\boxed\{[^}]+\}') THEN regexp_extract(response, '\\boxed\{([^}]+)\}', 1)
+                     ELSE regexp_replace(response, '^\s+|\s+$', '', 'g') END AS boxed FROM responses)
+SELECT 'arrays' AS layout, dataset, boxed AS pred, lower(truth) AS gold, count(*) AS n FROM r GROUP BY ALL
+UNION ALL SELECT 'dump', dataset, boxed, lower(truth), count(*) FROM r GROUP BY ALL
+UNION ALL SELECT 'records', dataset, response, lower(truth), count(*) FROM r GROUP BY ALL
+UNION ALL SELECT 'accuracy', CAST(step AS VARCHAR), CAST(CAST(round(1e6 * avg(CASE WHEN response = truth THEN 1.0 ELSE 0.0 END)) AS BIGINT) AS VARCHAR),
+                 array_to_string(list_sort(list(task)), ','), count(*) FROM r GROUP BY step""", ("responses",))
+def src09b(spark, sf_dir):
+    """The document layouts, written and read back by SRC-08."""
+    base = scratch_path(spark, "prediction_documents")
+    r = X.responses(spark, sf_dir).select((F.col("conv_id") % 3).cast("bigint").alias("step"), F.concat_ws("-", "conv_id", "turn").alias("row_id"),
+                                          "dataset", F.col("response").alias("pred"), F.col("truth").alias("gold"), "task")
+    out = []
+    for layout in ("arrays", "dump", "records"):
+        SK.write_predictions(r, f"{base}/{layout}", layout)
+        p = RD.read_predictions(spark, f"{base}/{layout}", "rows" if layout == "records" else "arrays", multiline=False)
+        out.append(p.groupBy("dataset", "pred", "gold").agg(F.count(F.lit(1)).alias("n")).withColumn("layout", F.lit(layout)))
+    dump = spark.read.json(f"{base}/dump")
+    out.append(dump.select(F.lit("accuracy").alias("layout"), F.col("global_step").cast("string").alias("dataset"),
+                           F.round(F.col("overall_accuracy") * 1e6).cast("bigint").cast("string").alias("pred"),
+                           F.array_join(F.sort_array("tasks"), ",").alias("gold"), F.size("tasks").cast("bigint").alias("n")))
+    return reduce(DataFrame.unionByName, out)
+
+
 @query("src10_write_label_scheme", QL._SQL_CANON + """
 SELECT 'label_mapping' AS "table", key AS item, CAST(global_index AS VARCHAR) AS value FROM canon
 UNION ALL SELECT 'global_classes', label, CAST(global_index AS VARCHAR) FROM gclass
@@ -250,48 +314,81 @@ def udf01(spark, sf_dir):
 
 @query("udf02_embedding_plugin")
 def udf02(spark, sf_dir):
-    r = X.responses(spark, sf_dir)
-    emb = U.embedding_udf(lambda: U.hashed_ngram_embedder(64))
+    """Similarity of answers and truths; each distinct text is embedded once."""
     lab = F.lower(TX.py_strip(TX.boxed_reward(TX.tighten_tags("response"))))
-    e = r.select("conv_id", "turn", emb(lab).alias("e_pred"), emb(F.col("truth")).alias("e_truth"))
-    return e.select("conv_id", "turn", F.round(R.cosine_scaled("e_pred", "e_truth"), 6).alias("similarity"))
+    r = X.responses(spark, sf_dir).select("conv_id", "turn", lab.alias("pred"), "truth")
+    e = U.embed_texts(r, ["pred", "truth"], lambda: U.hashed_ngram_embedder(64))
+    return e.select("conv_id", "turn", F.round(R.cosine_scaled("pred_embedding", "truth_embedding"), 6).alias("similarity"))
+
+
+def _feed(df, path: str, order: list[str], parts: int = 3) -> list:
+    """Ways to write the rows of ``df`` in so many files, following each other by
+    ``order`` and cut at any row: one call a file."""
+    numbered = write_once(global_row_number(df, [], order, "_rn", size="_all"), "stream_input")
+    part = F.floor((F.col("_rn") - 1) * parts / F.col("_all"))
+    return [lambda c=c: numbered.filter(part == c).drop("_rn", "_all").coalesce(1).write.mode("append").parquet(path) for c in range(parts)]
+
+
+# the advantages of the z_score mode: responsibilities by the task's averages
+_Z_SCORE = QA._BASE.replace("\n, tm AS", """
+, z0 AS (SELECT step, task, stddev_pop(adv) AS sg, avg(abs(adv)) AS am, stddev_pop(abs(adv)) AS asg FROM r2 GROUP BY 1, 2)
+, z1 AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY step) AS i FROM z0)
+, z2 AS (SELECT step, task, {sg}, {am}, {asg} FROM z1
+         WINDOW w AS (PARTITION BY task ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+, r3 AS (SELECT r2.*, 1 / (1 + exp(-4.0 * ((abs(adv) - greatest(e_am, 1e-6))
+           / (greatest(CASE WHEN e_asg <= 0 THEN e_sg ELSE e_asg END, 1e-6) + 1e-6) - 0.25))) AS r FROM r2 JOIN z2 USING (step, task))
+, tm AS""".format(**{c: QA._EMA.format(c=c) for c in ("sg", "am", "asg")}), 1)
+_Z_SCORE = _Z_SCORE.replace("sum(abs(adv)) AS mass, count(*) AS sig, count(*) AS cnt FROM r2", "sum(r * abs(adv)) AS mass, sum(r) AS sig, count(*) AS cnt FROM r3")
+_Z_SCORE = _Z_SCORE.replace("greatest(sum(abs(adv)) / count(*), 1e-6) AS m FROM r2", "greatest(sum(r * abs(adv)) / count(*), 1e-6) AS m FROM r3")
+
+
+def _sized(spark, sf_dir):
+    """The rollouts with the number of rows of their step."""
+    ro = X.rollouts(spark, sf_dir)
+    return ro.join(ro.groupBy("step").agg(F.count(F.lit(1)).alias("step_size")), "step")
 
 
-#: Configurations whose streamed result is compared with the batch result.
-STREAM_MODES = {
-    "default": A.AdvantageConfig(),
-    "z_score": A.AdvantageConfig(mode="z_score"),
-    "arith_rarity": A.AdvantageConfig(scaling="arith", rarity=True, rare_ratio=0.5),
-}
+def _streamed(spark, base, schema, cfg, files=None):
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", files or 1_000_000).parquet(f"{base}/src")
+    ST.advantage_stream(spark, src, f"{base}/out", f"{base}/state", f"{base}/ckpt", cfg, size="step_size").awaitTermination()
 
 
-@query("str02_advantage_stream", """
-SELECT m.mode, r.task, count(*) AS n, true AS same
-FROM rollouts r CROSS JOIN (VALUES ('default'), ('z_score'), ('arith_rarity')) m(mode) GROUP BY 1, 2""", ("rollouts",))
+@query("str02_advantage_stream", QA._BASE + """
+SELECT step, rollout_id, round(task_scale, 6) AS task_scale, round(question_scale, 6) AS question_scale,
+       round(advantage, 6) AS advantage FROM fin""", ("rollouts",))
 def str02(spark, sf_dir):
-    """Streaming advantage over three micro-batches of whole steps, the stream
-    stopped and resumed between them; per mode and task the rows and whether
-    every advantage is that of the batch operator (to 1e-9)."""
-    base = scratch_path(spark, "adv_stream")
-    ro = X.rollouts(spark, sf_dir)
-    lo, hi = ro.agg(F.min("step"), F.max("step")).first()
-    span = max(1, (hi - lo + 3) // 3)
-    src = None
-    for c in range(3):
-        chunk = ro.filter((F.col("step") - lo >= c * span) & (F.col("step") - lo < (c + 1) * span))
-        chunk.write.mode("append").parquet(f"{base}/src")
-        src = spark.readStream.schema(ro.schema).option("maxFilesPerTrigger", 1_000_000).parquet(f"{base}/src")
-        for mode, cfg in STREAM_MODES.items():
-            ST.advantage_stream(spark, src, f"{base}/{mode}/out", f"{base}/{mode}/state", f"{base}/{mode}/ckpt", cfg).awaitTermination()
-    out = None
-    for mode, cfg in STREAM_MODES.items():
-        streamed = spark.read.parquet(f"{base}/{mode}/out").select("rollout_id", "task", F.col("advantage").alias("a_stream"))
-        batch = A.group_relative_advantage(ro, cfg).select("rollout_id", F.col("advantage").alias("a_batch"))
-        j = streamed.join(batch, "rollout_id").groupBy("task").agg(
-            F.count(F.lit(1)).alias("n"), (F.max(F.abs(F.col("a_stream") - F.col("a_batch"))) < 1e-9).alias("same"))
-        j = j.select(F.lit(mode).alias("mode"), "task", "n", "same")
-        out = j if out is None else out.unionByName(j)
-    return out
+    """Streaming advantage of rollouts that come in three parts cut within steps,
+    the stream stopped and resumed after each."""
+    base, ro = scratch_path(spark, "adv_stream"), _sized(spark, sf_dir)
+    for write in _feed(ro, f"{base}/src", ["step", "rollout_id"]):
+        write()
+        _streamed(spark, base, ro.schema, A.AdvantageConfig())
+    return finish(spark.read.parquet(f"{base}/out").select("step", "rollout_id", "task_scale", "question_scale", "advantage"))
+
+
+@query("str02b_advantage_stream_z_score", _Z_SCORE + """
+SELECT step, rollout_id, round(task_scale, 6) AS task_scale, round(question_scale, 6) AS question_scale,
+       round(advantage, 6) AS advantage FROM fin""", ("rollouts",))
+def str02b(spark, sf_dir):
+    """As str02 in the mode z_score, in one run of three micro-batches."""
+    base, ro = scratch_path(spark, "adv_stream_z"), _sized(spark, sf_dir)
+    for write in _feed(ro, f"{base}/src", ["step", "rollout_id"]):
+        write()
+    _streamed(spark, base, ro.schema, A.AdvantageConfig(mode="z_score"), files=1)
+    return finish(spark.read.parquet(f"{base}/out").select("step", "rollout_id", "task_scale", "question_scale", "advantage"))
+
+
+@query("str01b_ema_stream", QA.STR01, ("metric_history",))
+def str01b(spark, sf_dir):
+    """str01 as a stream with keyed state, stopped and resumed after each of
+    three parts; the averages outlive the stops."""
+    base, h = scratch_path(spark, "ema_stream"), X.metric_history(spark, sf_dir).select("run", "epoch", "f1")
+    emas = [Ema("f1", 0.95, "ema_first"), Ema("f1", 0.95, "ema_zero", 0.0)]
+    for write in _feed(h, f"{base}/src", ["epoch", "run"]):
+        write()
+        src = spark.readStream.schema(h.schema).parquet(f"{base}/src")
+        write_ema_stream(src, ["run"], "epoch", emas, f"{base}/out", f"{base}/ckpt").awaitTermination()
+    return finish(spark.read.parquet(f"{base}/out").select("run", "epoch", "ema_first", "ema_zero"))
 
 
 @query("str03_metric_stream", """

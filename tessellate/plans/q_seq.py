@@ -141,7 +141,9 @@ SELECT sample_id, CAST(d AS INTEGER) AS d, round(sum(v * m) / greatest(sum(m), 1
        round(sum(v * m) / sum(m), 6) AS value FROM x GROUP BY 1, 2""", ("frames",))
 def seq08(spark, sf_dir):
     fr = X.frames(spark, sf_dir).withColumn("m", (F.col("t") % 3 != 0).cast("int"))
-    return finish(FE.masked_means(fr, "m").withColumn("d", F.col("d").cast("int")))
+    m = FE.masked_means(fr, "m")
+    return finish(m.select("sample_id", F.posexplode(F.arrays_zip("value_floor", "value")).alias("d", "v"))
+                  .select("sample_id", "d", "v.value_floor", "v.value"))
 
 
 @query("seq09_domain_argmax", """

@@ -8,12 +8,15 @@ system of the path (works for local, HDFS and object stores).
 from __future__ import annotations
 
 import re
+import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import write_once
+
 # FIXED VALUE: the sample schema forced on path-form inputs.
 SAMPLE_SCHEMA = T.StructType([
     T.StructField("problem", T.StringType()), T.StructField("answer", T.StringType()),
@@ -128,16 +131,45 @@ def read_slice(spark: SparkSession, path: str, spec: str) -> DataFrame:
     return reduce(DataFrame.unionByName, out)
 
 
+#: Rows of a file counted together by :func:`split_slice`.
+RUN = 1 << 16
+
+
 def split_slice(df: DataFrame, spec: str) -> DataFrame:
     """SRC-04 after a filter: rows [int(n*a), int(n*b)) of ``df`` in (file, row)
-    order.  Only the (file, row) keys are numbered; the total comes from the
-    piece counts.  For a whole split use :func:`read_slice`, which does not
-    shuffle."""
-    from ..operators.batching import global_row_number
+    order.  One pass counts the rows that are left per file and run of ``RUN``
+    rows; running counts over that small table say in which run the slice begins
+    and ends, and only those two runs are put in order.  The slice itself is a
+    filter on file and row: nothing is joined or shuffled.  For a whole split use
+    :func:`read_slice`."""
     _, a, b = parse_split(spec)
-    ranked = global_row_number(df, [], ["_file", "_row"], "_pos", size="_n")
-    keep = (F.col("_pos") - 1 >= F.floor(F.col("_n") * F.lit(a))) & (F.col("_pos") - 1 < F.floor(F.col("_n") * F.lit(b)))
-    return ranked.filter(keep).drop("_pos", "_n")
+    counts = write_once(df.groupBy("_file", F.floor(F.col("_row") / RUN).alias("_run")).agg(F.count(F.lit(1)).alias("n")), "slice_counts")
+    files = counts.groupBy("_file").agg(F.sum("n").alias("n"))
+    n = files.agg(F.sum("n")).first()[0] or 0
+    lo, hi = int(n * a), int(n * b)
+    if lo >= hi:
+        return df.limit(0)
+    out = df
+    if lo > 0:
+        file, row = _row_at(df, counts, files, lo)
+        out = out.filter((F.col("_file") > file) | ((F.col("_file") == file) & (F.col("_row") >= row)))
+    if hi < n:
+        file, row = _row_at(df, counts, files, hi)
+        out = out.filter((F.col("_file") < file) | ((F.col("_file") == file) & (F.col("_row") < row)))
+    return out
+
+
+def _row_at(df: DataFrame, counts: DataFrame, files: DataFrame, at: int) -> tuple[str, int]:
+    """(file, row) of the row of ``df`` that has ``at`` rows before it."""
+    def holder(d: DataFrame, by: str, at: int):
+        before = F.sum("n").over(Window.orderBy(by).rowsBetween(Window.unboundedPreceding, -1))
+        r = d.withColumn("before", F.coalesce(before, F.lit(0))).filter((F.col("before") <= at) & (F.col("before") + F.col("n") > at)).first()
+        return r[by], at - r["before"]
+
+    file, rest = holder(files, "_file", at)
+    run, rest = holder(counts.filter(F.col("_file") == file).select("_run", "n"), "_run", rest)
+    rows = df.filter((F.col("_file") == file) & (F.col("_row") >= run * RUN) & (F.col("_row") < (run + 1) * RUN))
+    return file, rows.select("_row").orderBy("_row").offset(rest).first()[0]
 
 
 def read_samples(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -158,19 +190,26 @@ def read_samples(spark: SparkSession, paths: list[str]) -> DataFrame:
     return out
 
 
-def read_jsonl_tolerant(spark: SparkSession, paths: list[str], schema: T.StructType) -> tuple[DataFrame, DataFrame]:
-    """SRC-03: JSON lines (plain or gzip) with blank and malformed lines
-    skipped and missing paths skipped.  Returns (rows, report) where the
-    report has the non-blank line count and the parsed row count (their
-    difference is the malformed lines)."""
+def read_jsonl_tolerant(spark: SparkSession, paths: list[str], schema: T.StructType) -> tuple[DataFrame, DataFrame, Observation]:
+    """SRC-03: JSON lines (plain or gzip) with blank and malformed lines skipped
+    and missing paths skipped: (rows, rejects, counts).
+
+    ``rejects`` are the malformed lines as ``_file, _line``.  ``counts`` fills
+    with ``nonblank_lines``, ``parsed`` and ``malformed`` when an action has read
+    ``rows`` to the end: the lines are read once, and the same pass counts them."""
     existing = [p for p in paths if _exists(spark, p)]
     if not existing:
         raise ValueError(f"none of {paths} exists")
-    good = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(existing)
-    lines = spark.read.text(existing).filter(F.trim("value") != "")
-    report = (lines.groupBy().agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit("nonblank_lines"))
-              .unionByName(good.groupBy().agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit("parsed"))))
-    return good, report
+    bad = "_malformed"
+    full = T.StructType([*schema.fields, T.StructField(bad, T.StringType())])
+    lines = spark.read.text(existing).select(F.col("value").alias("_line"), F.col("_metadata.file_path").alias("_file"))
+    lines = lines.filter(~F.col("_line").rlike(r"^\s*$")).withColumn(
+        "_r", F.from_json("_line", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad}))
+    broken = F.col(f"_r.{bad}").isNotNull() | F.col("_r").isNull()
+    counts = Observation(f"jsonl-{uuid.uuid4().hex}")
+    seen = lines.observe(counts, F.count(F.lit(1)).alias("nonblank_lines"), F.count_if(~broken).alias("parsed"), F.count_if(broken).alias("malformed"))
+    rows = seen.filter(~broken).select(*[F.col(f"_r.{c}").alias(c) for c in schema.fieldNames()])
+    return rows, lines.filter(broken).select("_file", "_line"), counts
 
 
 def media_form(df: DataFrame) -> str:
