@@ -288,17 +288,17 @@ def str01(spark, sf_dir):
 
 
 @_recursive("str01c_ema_scan", """
-, h AS (SELECT task, rollout_id, list_sum(token_rewards) / 7 AS v, row_number() OVER (PARTITION BY task ORDER BY rollout_id) AS i FROM rollouts)
+, h AS (SELECT task, rollout_id, ln(1 + list_sum(token_rewards)) AS v, row_number() OVER (PARTITION BY task ORDER BY rollout_id) AS i FROM rollouts)
 , rec(task, i, rollout_id, a, b) AS (
-    SELECT task, i, rollout_id, v, greatest(15.0, least(40.0, 0.05 * v)) FROM h WHERE i = 1
+    SELECT task, i, rollout_id, v, greatest(4.5, least(5.2, 0.05 * v)) FROM h WHERE i = 1
     UNION ALL
-    SELECT h.task, h.i, h.rollout_id, 0.95 * rec.a + 0.05 * h.v, greatest(15.0, least(40.0, 0.95 * rec.b + 0.05 * h.v))
+    SELECT h.task, h.i, h.rollout_id, 0.95 * rec.a + 0.05 * h.v, greatest(4.5, least(5.2, 0.95 * rec.b + 0.05 * h.v))
     FROM rec JOIN h ON h.task = rec.task AND h.i = rec.i + 1)
 SELECT task, rollout_id, round(a, 6) AS ema_first, round(b, 6) AS ema_bounded FROM rec""")
 def str01c(spark, sf_dir):
     """Averages after every rollout of a task, a few long histories, by the scan."""
-    h = A.rollout_reward(X.rollouts(spark, sf_dir)).select("task", "rollout_id", (F.col("raw") / 7).alias("v"))
-    emas = [Ema("v", 0.95, "ema_first"), Ema("v", 0.95, "ema_bounded", 0.0, (15.0, 40.0))]
+    h = A.rollout_reward(X.rollouts(spark, sf_dir)).select("task", "rollout_id", F.log1p("raw").alias("v"))
+    emas = [Ema("v", 0.95, "ema_first"), Ema("v", 0.95, "ema_bounded", 0.0, (4.5, 5.2))]
     return finish(ema_scan(h, ["task"], "rollout_id", emas))
 
 
