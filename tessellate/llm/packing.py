@@ -22,7 +22,6 @@ import zlib
 from math import isqrt
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,7 +30,8 @@ from .common import as_batches, materialise
 from .tokens import encoder
 
 TOKENS = 2048
-DOCUMENTS = 1024
+#: Documents of a sequence: by default as many as it has tokens, so no limit.
+DOCUMENTS = TOKENS
 END = 0
 #: Pieces packed together in one task.
 GROUP = 1 << 15
@@ -117,9 +117,12 @@ def _place(todo, cand, room, size, need, free, tokens, bins, offsets) -> int:
     return total
 
 
-def pack(parts: DataFrame, tokens: int = TOKENS, documents: int = DOCUMENTS, attention: int | None = None,
+def pack(parts: DataFrame, tokens: int = TOKENS, documents: int | None = None, attention: int | None = None,
          score: str = "norm", group: int = GROUP) -> DataFrame:
-    """``parts`` (as made by :func:`pieces`) with ``sequence_id`` and ``offset``."""
+    """``parts`` (as made by :func:`pieces`) with ``sequence_id`` and ``offset``.
+    ``documents`` is by default ``tokens``, ``attention`` tokens ** 2: neither
+    binds unless set lower."""
+    documents = tokens if documents is None else documents
     attention = tokens * tokens if attention is None else attention
     if isqrt(attention) < tokens or documents < 1:
         raise ValueError("a full piece must fit a sequence: attention >= tokens ** 2 and documents >= 1")
@@ -128,16 +131,17 @@ def pack(parts: DataFrame, tokens: int = TOKENS, documents: int = DOCUMENTS, att
     short = parts.filter(F.col("length") < tokens)
     groups = max(1, -(-short.count() // group))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("row", ignore_index=True)
-        b, o = best_fit(pdf["length"].to_numpy(), tokens, documents, attention, score)
+    def run(t: pa.Table) -> pa.Table:  # Arrow throughout: ids beside a null stay whole
+        t = t.sort_by("row")
+        b, o = best_fit(t.column("length").to_numpy(), tokens, documents, attention, score)
         # a group has fewer bins than pieces, far below 2 ** 31
-        return pdf.assign(sequence_id=((pdf["group"].to_numpy().astype(np.int64) << 31) + b) * 2, offset=o)[names]
+        ids = ((t.column("group").to_numpy() << 31) + b) * 2
+        return pa.table([*[t.column(c) for c in names[:5]], pa.array(ids), pa.array(o)], names=names)
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     kinds = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
     dealt = short.withColumn("group", F.pmod(F.xxhash64("row"), F.lit(groups)))
-    packed = dealt.groupBy("group").applyInPandas(run, kinds)
+    packed = dealt.groupBy("group").applyInArrow(run, kinds)
     return packed.unionByName(full.select(*names))
 
 

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessellate.llm import packing as P
 from tessellate.llm.tokens import encoder, vocabulary_path
@@ -77,3 +78,12 @@ def test_documents_exact_round_trip(make_docs):
     assert P.pack(P.pieces(make_docs([]))).count() == 0
     with pytest.raises(ValueError):
         P.pack(P.pieces(make_docs([])), attention=100)
+
+
+def test_ids_beside_a_null_stay_whole_and_tiny_documents_fill_sequences(spark, make_docs):
+    big = [(1 << 60) + 1, (1 << 60) + 3, None]
+    got = P.pack(P.pieces(make_docs([(i, "some words") for i in big]))).collect()
+    assert sorted(map(str, (r.doc_id for r in got))) == sorted(map(str, big))
+    many = spark.range(20_480).select(F.col("id").alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    out = P.pack(P.pieces(many))
+    assert out.select("sequence_id").distinct().count() == 10 and out.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 2048").count() == 0
