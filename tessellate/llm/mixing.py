@@ -4,14 +4,15 @@ Documents are counted into cells of (source, language, topic) with their
 tokens.  Raking scales the cells' token weights to the target of each source,
 each language and each topic in turn, never above the tokens a cell has, until
 the marginals hold; a cell's sampling probability is its weight over its
-tokens, and a document is sampled where a hash of its id falls below it.  All
+tokens, and a document is sampled where a hash of its id and text falls below it.  All
 steps are DataFrame operations; only the cell table, which does not grow with
 the documents of a cell, is iterated, through tables in the shared folder.
 
 Defined results.  A null source, language or topic is a value of its own.  A
 null or empty text has no tokens; it is in a cell like any other and cells
-without tokens have probability zero.  Repeated rows get one and the same
-decision.  Empty tables give an empty result; extra columns stay as they are.
+without tokens have probability zero.  Rows repeated with id and text get one and
+the same decision; different texts under one id, or without any, are drawn each.
+With targets given, a value that they don't name gets weight zero.  Empty tables give an empty result; extra columns stay as they are.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import logging
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, let, materialise, same_columns
+from .common import free_name, let, materialise, row_key, same_columns
 
 #: Part of all tokens that the sample should hold.
 BUDGET = 0.5
@@ -137,12 +138,14 @@ def goal_tokens(cells: DataFrame, dim: str, target: DataFrame, budget: float) ->
     return g.select("__v", F.least(F.col("share") * F.lit(factor), F.col("__have")).alias("__goal"))
 
 
-def cell_of(text_col: str = "text", source: str = "source", lang: str = "lang", topic: Column | None = None) -> Column:
+def cell_of(text_col: str = "text", source: str = "source", lang: str = "lang", topic: Column | None = None, id_col: str = "doc_id") -> Column:
     """A struct of source, lang and topic (as labels that tell null from any
-    text) and tokens.  ``topic`` defaults to :func:`hashed_topic`."""
+    text), tokens, and the key of the row's draw.  ``topic`` defaults to
+    :func:`hashed_topic`."""
     topic = hashed_topic(F.col(text_col)) if topic is None else topic
     return F.struct(_label(F.col(source)).alias("source"), _label(F.col(lang)).alias("lang"),
-                    _label(topic).alias("topic"), n_tokens(F.col(text_col)).alias("tokens"))
+                    _label(topic).alias("topic"), n_tokens(F.col(text_col)).alias("tokens"),
+                    row_key(F.col(id_col), F.col(text_col)).alias("draw"))
 
 
 def _label(c: Column) -> Column:
@@ -150,7 +153,7 @@ def _label(c: Column) -> Column:
 
 
 def mix(docs: DataFrame, cell: str, budget: float = BUDGET, targets: dict[str, DataFrame] | None = None,
-        id_col: str = "doc_id", seed: int = SEED) -> DataFrame:
+        seed: int = SEED) -> DataFrame:
     """All rows of ``docs`` with, in place of the column ``cell`` (as made by
     :func:`cell_of`), a struct of topic, tokens, probability and sampled.
     ``docs`` is written once, so leave columns not needed out.  ``targets`` maps
@@ -168,7 +171,7 @@ def mix(docs: DataFrame, cell: str, budget: float = BUDGET, targets: dict[str, D
     if cells.count() <= MAX_BROADCAST_CELLS:
         w = F.broadcast(w)
     j = d.join(w, F.struct(*[F.col(f"{cell}.{c}").alias(c) for c in _DIMS]) == F.col(key))
-    u = F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    u = F.pmod(F.xxhash64(F.col(f"{cell}.draw"), F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
     out = F.struct(F.substring(F.col(f"{cell}.topic"), 2, 1 << 20).alias("topic"), F.col(f"{cell}.tokens").alias("tokens"),
                    F.col(p).alias("probability"), (u < F.col(p)).alias("sampled"))
     return same_columns(j.withColumn(cell, out), docs.columns)

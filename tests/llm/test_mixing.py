@@ -81,3 +81,12 @@ def test_topics(spark):
     got = [r[0] for r in df.select(M.hashed_topic(F.col("t"))).collect()]
     one = df.sparkSession.createDataFrame([("alpha",)], "t string").select(M.hashed_topic(F.col("t"))).first()[0]
     assert got == [one, "none", "none", "none"] and one.startswith("t")
+
+
+def test_texts_without_ids_are_drawn_each(make_docs):
+    docs = make_docs([(None, f"text number {i} of many") for i in range(400)] + [(5, f"other text {i}") for i in range(400)])
+    got = M.decisions(docs).collect()
+    for rows in ([r for r in got if r.doc_id is None], [r for r in got if r.doc_id == 5]):
+        assert 120 < sum(r.sampled for r in rows) < 280
+    twice = M.decisions(make_docs([(None, "one and the same text")] * 60)).collect()
+    assert len(twice) == 60 and len({r.sampled for r in twice}) == 1
