@@ -11,12 +11,13 @@ those pre-tokens only, and adds the differences along the paths to the root.
 Tokens never cross pre-tokens, so the sums are exact.
 
 Edits (doc_id, start, end, replacement) hold code point positions of the text
-before the batch.
+before the batch.  With a column row_key (as :func:`redactions` makes it) an edit
+is for the rows of that id and text alone, without it for all rows of the id.
 
 Defined results.  A null text is empty.  Positions are clipped to the text; an
 edit with end before start, or that overlaps one that starts before it (ties:
 the one that ends first, then the smaller replacement), is skipped and counted.
-A null position or id skips the edit, a null replacement deletes.  Repeated
+A null position, id or key skips the edit, a null replacement deletes.  Repeated
 rows get the same edits each.  A document without edits keeps its counts.
 Empty tables give an empty result; extra columns are ignored.
 """
@@ -213,15 +214,16 @@ def recount(docs: DataFrame, trees: DataFrame, edits: DataFrame, id_col: str = "
     """One row per row of ``docs``: counts before and after its edits, the edits
     applied and skipped, the characters encoded again, and the tree after.
     Texts of documents without edits are not read."""
-    per_doc = (edits.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("__id"))
+    key = "row_key" if "row_key" in edits.columns else "doc_id"
+    per_doc = (edits.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("__id"))
                .agg(F.collect_list(F.struct("start", "end", "replacement")).alias("edits")))
     same = trees.groupBy("row_key").agg(*[F.first(c).alias(c) for c in ("chars", "tokens", "pieces")])
-    kept = trees.join(per_doc.select("__id"), F.col("doc_id") == F.col("__id"), "left_anti")
+    kept = trees.join(per_doc.select("__id"), F.col(key) == F.col("__id"), "left_anti")
     none = F.lit(0).cast("bigint")
     root = lambda c: F.col(c)[1].cast("bigint")
     unchanged = kept.select("doc_id", root("tokens").alias("n_tokens_before"), root("tokens").alias("n_tokens"), root("chars").alias("n_chars"),
                             none.alias("n_edits"), none.alias("n_skipped"), none.alias("n_chars_encoded"), "chars", "tokens", "pieces")
-    touched = (_keyed(docs, id_col, text_col).join(per_doc, F.col("doc_id") == F.col("__id")).join(same, "row_key")
+    touched = (_keyed(docs, id_col, text_col).join(per_doc, F.col(key) == F.col("__id")).join(same, "row_key")
                .select("doc_id", "text", "edits", "chars", "tokens", "pieces"))
 
     names = unchanged.columns
@@ -246,21 +248,20 @@ def recount(docs: DataFrame, trees: DataFrame, edits: DataFrame, id_col: str = "
 
 def redactions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Edits that put a mark in place of mail addresses and of telephone and
-    other long numbers: ``doc_id, start, end, replacement``."""
+    other long numbers: ``doc_id, row_key, start, end, replacement``."""
     import re
 
     find = re.compile("|".join(f"({p})" for p in _PII))
 
     def run(batches):
         for b in as_batches()(batches):
-            rows = [(i, m.start(), m.end(), "<mail>" if m.lastindex == 1 else "<number>")
-                    for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for m in find.finditer(t or "")]
-            cols = list(zip(*rows)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.string()))],
-                                             names=["doc_id", "start", "end", "replacement"])
-
-    d = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    return d.mapInArrow(run, "doc_id bigint, start int, end int, replacement string")
+            rows = [(i, k, m.start(), m.end(), "<mail>" if m.lastindex == 1 else "<number>")
+                    for i, k, t in zip(*(c.to_pylist() for c in b.columns)) for m in find.finditer(t or "")]
+            cols = list(zip(*rows)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string()))],
+                                             names=["doc_id", "row_key", "start", "end", "replacement"])
+
+    return _keyed(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, row_key string, start int, end int, replacement string")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,6 +52,7 @@ def test_tables(spark, make_docs, pre):
     docs = make_docs(ODD + [(20, "write to a.b@c.example.org or +1 (578) 555-6437 now")])
     edits = E.redactions(docs).dropDuplicates()
     assert {(r.start, r.end, r.replacement) for r in edits.collect()} == {(9, 26, "<mail>"), (30, 47, "<number>")}
+    edits = edits.drop("row_key")  # edits of ids, for all their rows
     extra = spark.createDataFrame([(1, 0, 0, "new text"), (4, 0, 5, None), (None, 0, 1, "x"), (999, 0, 1, "x")], edits.schema)
     out = E.recount(docs, E.build_trees(docs), edits.unionByName(extra))
     got = sorted((r.doc_id, r.n_tokens_before, r.n_tokens, r.n_edits) for r in out.collect() if r.doc_id is not None)
@@ -64,3 +65,12 @@ def test_tables(spark, make_docs, pre):
     assert got == sorted(want) and out.count() == len(ODD) + 1
     none = make_docs([])
     assert E.recount(none, E.build_trees(none), edits).count() == 0
+
+
+def test_texts_under_one_id_keep_their_own_edits(make_docs, pre):
+    texts = ["write to a.b@c.example.org", "no address in this text at all, but many words", "call +1 (578) 555-6437"]
+    docs = make_docs([(7, t) for t in texts] + [(None, texts[0]), (None, texts[1])])
+    out = E.recount(docs, E.build_trees(docs), E.redactions(docs).dropDuplicates())
+    new = {texts[0]: "write to <mail>", texts[1]: texts[1], texts[2]: "call <number>"}
+    want = [(i, len(pre.encode(t)), len(pre.encode(new[t]))) for i, t in [(7, t) for t in texts] + [(None, texts[0]), (None, texts[1])]]
+    assert sorted(map(str, ((r.doc_id, r.n_tokens_before, r.n_tokens) for r in out.collect()))) == sorted(map(str, want))
