@@ -39,11 +39,20 @@ class DigestIndex:
             spark.sql(f"CREATE TABLE {table} (digest BINARY, keep_id BIGINT, batch STRING) USING parquet "
                       f"CLUSTERED BY (digest) SORTED BY (digest) INTO {n} BUCKETS")
 
-    def admit(self, batch: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def drop(self) -> None:
+        """Remove the index; results of :meth:`admit` stay readable."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+
+    def admit(self, batch: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str | None = None) -> DataFrame:
         """Deduplicate ``batch`` against the index and itself, append its new
         digests, and return one row per row of the batch: ``doc_id, row_key,
-        keep_id, group_size, kept, text_sha256``."""
-        name = uuid.uuid4().hex
+        keep_id, group_size, kept, text_sha256``.
+
+        ``name`` names the batch (any new name by default).  Digests that the
+        index has under this name are the batch's own, so a batch admitted again
+        under its name, as after a driver lost between append and output, gets the
+        same result and appends nothing."""
+        name = uuid.uuid4().hex if name is None else name
         digests = materialise(batch.select(
             F.col(id_col).cast("bigint").alias("doc_id"), row_key(F.col(id_col), F.col(text_col)).alias("row_key"),
             F.unhex(F.sha2(ascii_lower(F.col(text_col)).cast("binary"), 256)).alias("digest"),
@@ -68,12 +77,16 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, as the first batch of a new index."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     index = DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
-    return index.admit(docs).drop("row_key")
+    out = index.admit(docs).drop("row_key")
+    index.drop()  # what was admitted is written
+    return out
 
 
 def stage_exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the kept row of each group of equal texts."""
-    decisions = materialise(DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}").admit(docs), "digest-kept")
+    index = DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
+    decisions = materialise(index.admit(docs), "digest-kept")
+    index.drop()
     return keep_rows(docs, decisions.filter("kept").select("row_key"))
 
 

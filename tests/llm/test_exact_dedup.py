@@ -44,3 +44,17 @@ def test_stage_keeps_one_row_of_each_text(spark, make_docs):
     texts = [(r.text or "").translate(LOWER) for r in out.collect()]
     assert sorted(texts) == sorted({(t or "").translate(LOWER) for _, t in ODD})
     assert E.stage_exact_dedup(spark, make_docs([]), "").count() == 0
+
+
+def test_a_batch_admitted_again_under_its_name_keeps_the_same_rows(spark, make_docs):
+    index = _index(spark)
+    index.admit(make_docs([(1, "a")]), name="first").collect()
+    rows = [(5, "A"), (6, "b"), (7, "B"), (8, None), (None, "c")]
+    once = sorted(map(str, index.admit(make_docs(rows), name="second").collect()))
+    size = spark.table(index.table).count()
+    # the driver was lost after the append: the batch comes again, its rows in another order
+    again = index.admit(make_docs(rows[::-1]), name="second")
+    assert sorted(map(str, again.collect())) == once and spark.table(index.table).count() == size == 4
+    assert not any(r.kept for r in index.admit(make_docs(rows), name="third").collect())
+    index.drop()
+    assert not spark.catalog.tableExists(index.table) and sorted(map(str, again.collect())) == once
