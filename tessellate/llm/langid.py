@@ -114,12 +114,27 @@ class Model:
         return best, prob
 
 
+def shares(sizes: list[int], most: int) -> list[float]:
+    """Rows to take of each size, ``most`` in all: the small ones whole, the
+    others alike."""
+    left, out = float(most), [0.0] * len(sizes)
+    order = sorted(range(len(sizes)), key=sizes.__getitem__)
+    for k, i in enumerate(order):
+        out[i] = min(float(sizes[i]), left / (len(order) - k))
+        left -= out[i]
+    return out
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = TRAIN) -> Model:
     d = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     d = d.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id")))
-    n = d.count()
-    if n > most:
-        d = d.filter(F.pmod(F.xxhash64("id", F.lit(29)), F.lit(1 << 30)) < F.lit(int(most / n * (1 << 30))))
+    sizes = d.groupBy("lang").count().limit(LANGUAGES + 1).collect()
+    if len(sizes) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    share = {lang: min(1.0, rows / n) for (lang, n), rows in zip(sizes, shares([n for _, n in sizes], most))}
+    if any(x < 1 for x in share.values()):
+        table = F.create_map(*[x for lang, p in share.items() for x in (F.lit(lang), F.lit(int(p * (1 << 30))))])
+        d = d.filter(F.pmod(F.xxhash64("id", F.lit(29)), F.lit(1 << 30)) < F.try_element_at(table, F.col("lang")))
 
     def run(batches):
         counts: dict[str, np.ndarray] = {}
@@ -140,9 +155,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         yield from (rows(k, c) for k, c in counts.items())
 
     sums = d.mapInArrow(run, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    langs = sorted(r[0] for r in d.select("lang").distinct().limit(LANGUAGES + 1).collect())
-    if len(langs) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
+    langs = sorted(share)
     got = sums.toArrow()
     counts = np.zeros((BUCKETS, len(langs)))
     if got.num_rows:

@@ -30,3 +30,18 @@ def test_languages_and_odd_rows(spark, make_docs):
     empty = L.train(make_docs([]))
     assert empty.languages == [] and {r.found.lang for r in L.identify(docs, empty, out="found").collect()} == {"und"}
     assert L.identify(make_docs([]), L.train(docs), out="found").count() == 0
+
+
+def test_a_rare_language_is_learned_beside_common_ones(make_docs):
+    rnd = random.Random(2)
+    rows = [(i, _text(rnd, "cc" if i < 12 else rnd.choice(["aa", "bb"]), 12), None) for i in range(3000)]
+    rows = [(i, t, "cc" if i < 12 else "aa" if set(t) <= set(LETTERS["aa"] + " ") else "bb") for i, t, _ in rows]
+    docs = make_docs(rows)
+    model = L.train(docs, most=100)
+    assert model.languages == ["aa", "bb", "cc"]
+    out = {r.doc_id: r["found"].lang for r in L.identify(docs, model, out="found").collect()}
+    assert all(out[i] == "cc" for i in range(12)) and sum(out[i] == lang for i, _, lang in rows) > 2900
+
+
+def test_small_languages_give_all_their_rows():
+    assert L.shares([5, 1000, 10, 500], 100) == [5, 42.5, 10, 42.5] and L.shares([5, 6], 100) == [5, 6] and L.shares([], 5) == []
