@@ -11,12 +11,16 @@ with g = 0.9, l presentations and m distinct pages::
     content importance = 1 - mean over distinct blocks of log_m(pages with the block)
 
 so branches whose looks and words repeat from page to page are unimportant and
-go, on hosts of ``MIN_PAGES`` distinct pages or more.  Two things guide it: elements
-that name their role (menus, footers, adverts, forms, comments ...) go at any
-importance, since a host may have few pages, and the branch that names itself
-the article stays whole except for such elements, since an article may be
-copied all over a site.  Where nothing is left by importance, every branch
-stays.
+go, on hosts of ``MIN_PAGES`` distinct pages or more, within articles as well.
+Where nothing is left of a page by importance, every branch stays.
+
+Names help where counts cannot, on hosts with few pages and for branches that
+differ from page to page, such as reader comments: an element goes whose tag or
+role says that it is no article, or that has a class or id made of nothing but
+words for such parts and for the boxes they come in (``cookiebar``,
+``top-nav-links``, but not ``share-price`` or ``has-sidebar``).  A name never
+takes the article or what the article lies in.  Where a page marks an article
+(``article``, ``main``), only text in one counts.
 
 Counts are summed within a task before they are shuffled, keyed by (host, node,
 value), so a host with a third of all pages is spread over tasks.  Each of n
@@ -36,6 +40,7 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -67,21 +72,66 @@ GONE = frozenset("head nav footer aside form button input menu dialog".split())
 ARTICLE = frozenset("article main".split())
 #: Elements that a start tag closes when they are open (up to the next container).
 CLOSES = {t: frozenset([t]) for t in "li option tr".split()} | {t: frozenset("dt dd".split()) for t in "dt dd".split()} | {t: frozenset("td th".split()) for t in "td th".split()}
-_ROLE = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|sponsor(?:ed)?|banner|cookies?|consent|notice|popup|modal|menu|nav|navbar|navigation|"
-                   r"breadcrumbs?|sidebar|side|widget|footer|comments?|replies|disqus|related|share|social|newsletter|subscribe|promo|hidden|search|login)(?:$|[\s_-])", re.I)
-_HEADER = re.compile(r"(?:^|[\s_-])(?:header|masthead|topbar)(?:$|[\s_-])", re.I)
+#: Words for parts that are not the article, and for the boxes and places they come in.
+PARTS = frozenset("""ad ads adsbygoogle advert adverts advertisement advertisements adbox sponsor sponsors sponsored banner banners cookie cookies consent gdpr
+    notice notices popup modal menu menus nav navbar navigation breadcrumb breadcrumbs sidebar side aside footer comment comments reply replies disqus
+    opinion opinions discussion related share sharing social newsletter subscribe subscription promo promos promotion hidden search login signup signin""".split())
+BOXES = frozenset("""bar bars box boxes list lists block blocks wrapper wrap container section sections area region link links button buttons btn group
+    item items top bottom left right center site page global inner outer panel pane column columns col row rows main primary secondary reader readers user
+    users visitor visitors post posts sticky fixed floating mobile desktop form forms icon icons tool tools toolbar widget widgets slot unit units zone
+    header head title article articles entry story stories news blog form field fields us this more thread threads tree body content holder strip
+    overlay dialog layer js small large""".split())
+_HEADERS = frozenset("header masthead topbar".split())
+_CAMEL, _WORD = re.compile(r"(?<=[a-z])(?=[A-Z])"), re.compile(r"[a-z]+|\d+")
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog".split())
 
 
+@lru_cache(maxsize=100_000)
+def names_a_part(name: str) -> bool:
+    """Whether a class or id is made of words for parts that are not the article
+    (and of words for their boxes), at least one of the former."""
+    part = False
+    for w in _WORD.findall(_CAMEL.sub("-", name).lower()):
+        if w.isdigit():
+            continue
+        known = w in PARTS, w in BOXES
+        if not any(known):  # two words in one
+            cuts = [(w[:i], w[i:]) for i in range(2, len(w) - 1)]
+            known = any((x in PARTS or y in PARTS) and all(z in PARTS or z in BOXES for z in (x, y)) for x, y in cuts), False
+            if not known[0]:
+                return False
+        part |= known[0]
+    return part
+
+
+class Mark:
+    """An element that a name takes, and the one around it that a name takes."""
+
+    __slots__ = ("void", "outer")
+
+    def __init__(self, outer: Mark | None):
+        self.void, self.outer = False, outer
+
+    def chain(self) -> Iterator[Mark]:
+        mark = self
+        while mark is not None:
+            yield mark
+            mark = mark.outer
+
+
 class Block:
     """A run of text between block boundaries, and the containers it lies in, as
     links (node, outer link) up to None; ``article`` is the article's own link
-    (None: not in one)."""
+    (None: not in one), ``taken`` the innermost :class:`Mark` around it."""
+
+    __slots__ = ("parts", "path", "taken", "article")
 
-    __slots__ = ("parts", "path", "gone", "article")
+    def __init__(self, path, taken, article):
+        self.parts, self.path, self.taken, self.article = [], path, taken, article
 
-    def __init__(self, path, gone, article):
-        self.parts, self.path, self.gone, self.article = [], path, gone, article
+    @property
+    def gone(self) -> bool:
+        return self.taken is not None and any(not m.void for m in self.taken.chain())
 
     def nodes(self) -> Iterator[int]:
         """Nodes of the containers from the innermost out."""
@@ -101,9 +151,10 @@ def parse(page: str | None):
     page = page or ""
     children: dict[int, list[str]] = {}
     blocks: list[Block] = []
-    # open elements: (tag, node, link, gone, article's link)
-    stack = [("", 0, None, False, None)]
+    # open elements: (tag, node, link, innermost mark, article's link)
+    stack = [("", 0, None, None, None)]
     now: Block | None = None
+    articles: list[tuple[Mark | None, object]] = []  # marks around each article, and its link
 
     def put(text):
         nonlocal now
@@ -150,8 +201,8 @@ def parse(page: str | None):
                 now = None
             if tag not in VOID:
                 _, node, path, gone, article = stack[-1]
-                if not gone and (tag in GONE or m[3]) and _named(tag, _attributes(m[3])):
-                    gone, now = True, None
+                if (tag in GONE or m[3]) and _named(tag, _attributes(m[3])):
+                    gone, now = Mark(gone), None
                 stack.append((tag, node, path, gone, article))
             continue
         now = None
@@ -162,9 +213,10 @@ def parse(page: str | None):
         _, node, path, gone, article = stack[-1]
         attrs = _attributes(m[3]) if m[3] else {}
         children.setdefault(node, []).append(tag)
-        gone = gone or _named(tag, attrs) or (not article and tag not in ("html", "body", *ARTICLE) and (
-            tag == "header" or bool(_HEADER.search(attrs.get("class", ""))) or bool(_HEADER.search(attrs.get("id", "")))))
-        starts = article is None and (tag in ARTICLE or attrs.get("role") in ARTICLE)
+        taken = _named(tag, attrs) or not article and _heads_page(tag, attrs)
+        starts = article is None and not taken and (tag in ARTICLE or attrs.get("role") in ARTICLE)
+        if taken:
+            gone = Mark(gone)
         if tag in CONTAINER or starts:
             key = f"{node}>{tag}.{' '.join(sorted(attrs.get('class', '').split()))}#{attrs.get('id', '')}@{attrs.get('role', '')}"
             node = xxh64_intdigest(key.encode("utf-8", "surrogatepass")) >> 1
@@ -172,8 +224,17 @@ def parse(page: str | None):
             children.setdefault(node, [])
         if starts:
             article = path
+            articles.append((gone, path))
         stack.append((tag, node, path, gone, article))
     put(page[at:])
+    if articles and all(mark is not None for mark, _ in articles):
+        # every article lies in something that a name would take: the longest frees what is around it
+        size = {id(link): 0 for _, link in articles}
+        for b in blocks:
+            if b.article is not None:
+                size[id(b.article)] += sum(map(len, b.parts))
+        for mark in max(articles, key=lambda a: size[id(a[1])])[0].chain():
+            mark.void = True
     return blocks, children
 
 
@@ -181,14 +242,26 @@ def _attributes(raw: str) -> dict[str, str]:
     return {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(raw)}
 
 
+def _of_names(attrs: dict[str, str]) -> Iterator[str]:
+    yield from attrs.get("class", "").split()
+    yield from attrs.get("id", "").split()
+
+
 def _named(tag: str, attrs: dict[str, str]) -> bool:
     """Whether an element says of itself that it is not the article."""
     if tag in GONE:
         return True
-    if not attrs:
+    if not attrs or tag in ("html", "body", "main"):
         return False
     return (attrs.get("role", "").lower() in _ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true"
-            or bool(_ROLE.search(attrs.get("class", ""))) or bool(_ROLE.search(attrs.get("id", "")))) and tag not in ("html", "body", *ARTICLE)
+            or any(map(names_a_part, _of_names(attrs))))
+
+
+def _heads_page(tag: str, attrs: dict[str, str]) -> bool:
+    """A header outside of articles is the page's."""
+    if tag in ("html", "body", *ARTICLE):
+        return False
+    return tag == "header" or any(w in _HEADERS for name in _of_names(attrs) for w in _WORD.findall(name.lower()))
 
 
 def main_text(page: str | None, unimportant: frozenset[int] = frozenset()) -> str:
@@ -196,10 +269,10 @@ def main_text(page: str | None, unimportant: frozenset[int] = frozenset()) -> st
     alone if the page marks any."""
     blocks, _ = parse(page)
     named = [b for b in blocks if not b.gone]
-    if any(b.article for b in named):  # the page says where its article is, which stays whole
-        return " ".join(t for b in named if b.article and (t := b.text()))
+    if any(b.article for b in named):
+        named = [b for b in named if b.article]
     left = [t for b in named if unimportant.isdisjoint(b.nodes()) and (t := b.text())]
-    # everything is unimportant, as where the page is a copy: all of it stays
+    # everything is unimportant, as where all of a host is one template: all of it stays
     return " ".join(left or [t for b in named if (t := b.text())])
 
 
