@@ -80,8 +80,8 @@ def src03(spark, sf_dir):
     line = (F.when(F.col("row_id") % 13 == 0, F.concat(F.lit("{broken "), F.col("row_id").cast("string")))
             .when(F.col("row_id") % 29 == 0, F.lit("   ")).otherwise(good))
     d.select(line.alias("value")).write.mode("overwrite").option("compression", "gzip").text(f"{base}/pairs.jsonl")
-    rows, rejects, counts = RD.read_jsonl_tolerant(spark, [f"{base}/pairs.jsonl", f"{base}/missing.jsonl"],
-                                                   X_PAIRS_SCHEMA)
+    rows, rejects, counts = RD.read_jsonl_with_rejects(
+        spark, [f"{base}/pairs.jsonl", f"{base}/missing.jsonl"], X_PAIRS_SCHEMA)
     per = write_once(rows.groupBy("dataset").agg(F.count(F.lit(1)).alias("n")), "jsonl_rows").select(F.col("dataset").alias("key"), "n")
     report = _counts(spark, counts)
     return per.unionByName(report).unionByName(rejects.groupBy(F.col("_line").alias("key")).agg(F.count(F.lit(1)).alias("n")))

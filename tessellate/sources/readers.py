@@ -190,13 +190,9 @@ def read_samples(spark: SparkSession, paths: list[str]) -> DataFrame:
     return out
 
 
-def read_jsonl_tolerant(spark: SparkSession, paths: list[str], schema: T.StructType) -> tuple[DataFrame, DataFrame, Observation]:
-    """SRC-03: JSON lines (plain or gzip) with blank and malformed lines skipped
-    and missing paths skipped: (rows, rejects, counts).
-
-    ``rejects`` are the malformed lines as ``_file, _line``.  ``counts`` fills
-    with ``nonblank_lines``, ``parsed`` and ``malformed`` when an action has read
-    ``rows`` to the end: the lines are read once, and the same pass counts them."""
+def _json_lines(spark: SparkSession, paths: list[str], schema: T.StructType) -> DataFrame:
+    """The lines that are not blank, as ``_file, _line, _r`` (parsed) and
+    ``_broken``; missing paths are skipped."""
     existing = [p for p in paths if _exists(spark, p)]
     if not existing:
         raise ValueError(f"none of {paths} exists")
@@ -205,11 +201,35 @@ def read_jsonl_tolerant(spark: SparkSession, paths: list[str], schema: T.StructT
     lines = spark.read.text(existing).select(F.col("value").alias("_line"), F.col("_metadata.file_path").alias("_file"))
     lines = lines.filter(~F.col("_line").rlike(r"^\s*$")).withColumn(
         "_r", F.from_json("_line", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad}))
-    broken = F.col(f"_r.{bad}").isNotNull() | F.col("_r").isNull()
+    return lines.withColumn("_broken", F.col(f"_r.{bad}").isNotNull() | F.col("_r").isNull())
+
+
+def _parsed(lines: DataFrame, schema: T.StructType) -> DataFrame:
+    return lines.filter(~F.col("_broken")).select(*[F.col(f"_r.{c}").alias(c) for c in schema.fieldNames()])
+
+
+def read_jsonl_with_rejects(spark: SparkSession, paths: list[str], schema: T.StructType) -> tuple[DataFrame, DataFrame, Observation]:
+    """SRC-03: JSON lines (plain or gzip) with blank and malformed lines skipped
+    and missing paths skipped: (rows, rejects, counts).
+
+    ``rejects`` are the malformed lines as ``_file, _line``.  ``counts`` fills
+    with ``nonblank_lines``, ``parsed`` and ``malformed`` when an action has read
+    ``rows`` to the end: the lines are read once, and the same pass counts them."""
+    lines = _json_lines(spark, paths, schema)
     counts = Observation(f"jsonl-{uuid.uuid4().hex}")
-    seen = lines.observe(counts, F.count(F.lit(1)).alias("nonblank_lines"), F.count_if(~broken).alias("parsed"), F.count_if(broken).alias("malformed"))
-    rows = seen.filter(~broken).select(*[F.col(f"_r.{c}").alias(c) for c in schema.fieldNames()])
-    return rows, lines.filter(broken).select("_file", "_line"), counts
+    seen = lines.observe(counts, F.count(F.lit(1)).alias("nonblank_lines"), F.count_if(~F.col("_broken")).alias("parsed"),
+                         F.count_if("_broken").alias("malformed"))
+    return _parsed(seen, schema), lines.filter("_broken").select("_file", "_line"), counts
+
+
+def read_jsonl_tolerant(spark: SparkSession, paths: list[str], schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """SRC-03 as (rows, report): the report has the non-blank line count and the
+    parsed row count (their difference is the malformed lines) as ``kind, n``,
+    from one pass of its own; :func:`read_jsonl_with_rejects` counts while the
+    rows are read."""
+    lines = _json_lines(spark, paths, schema)
+    n = lines.agg(F.count(F.lit(1)).alias("nonblank_lines"), F.count_if(~F.col("_broken")).alias("parsed"))
+    return _parsed(lines, schema), n.unpivot([], ["nonblank_lines", "parsed"], "kind", "n").select("n", "kind")
 
 
 def media_form(df: DataFrame) -> str:

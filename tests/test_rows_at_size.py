@@ -21,7 +21,7 @@ def test_malformed_lines_are_counted_and_kept_in_one_pass(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"k": "x", "n": 1}\n\n   \n{broken\n{"k": "y"}\n{"k": "z", "n": "text"}\n')
     (tmp_path / "b.jsonl").write_text('[1\n{"k": "x", "n": 2}')
     schema = T.StructType([T.StructField("k", T.StringType()), T.StructField("n", T.IntegerType())])
-    rows, rejects, counts = RD.read_jsonl_tolerant(spark, [str(tmp_path / f) for f in ("a.jsonl", "none.jsonl", "b.jsonl")], schema)
+    rows, rejects, counts = RD.read_jsonl_with_rejects(spark, [str(tmp_path / f) for f in ("a.jsonl", "none.jsonl", "b.jsonl")], schema)
     assert rows._jdf.queryExecution().executedPlan().toString().count("FileScan text") == 1
     assert sorted((r.k, r.n) for r in rows.collect() if r.n) == [("x", 1), ("x", 2)]
     assert counts.get == {"nonblank_lines": 6, "parsed": 3, "malformed": 3}
