@@ -3,11 +3,14 @@ only.
 
 A rule is a pattern in the common filter-list notation: ``||`` anchors at a
 host name or one of its subdomains, ``|`` at an end of the address, ``^`` is a
-separator, ``*`` anything; a pattern without anchor fits anywhere.  Each rule
-is indexed under the rarest of its literal tokens, rarity being the number of
-addresses of the table that hold the token.  Addresses fetch candidate rules by
-their own tokens and only those run their regular expression.  A rule without
-a whole literal token is a candidate for every address.
+separator, ``*`` anything; a pattern without anchor fits anywhere.  Rules are a
+table (or a short list); Spark makes their regular expressions and literal
+tokens.  Each rule is indexed under the rarest of its literal tokens, rarity
+being the number of addresses of the table that hold the token.  Addresses fetch
+candidate rules by their own tokens and only those run their regular expression.
+A rule without a whole literal token is a candidate for every address.  A small
+index is broadcast; a larger one meets the addresses in a shuffle, in which a
+token that many addresses have is dealt in as many shares as it needs.
 
 Defined results.  A null address, or one without ``://``, has empty host and
 path, fits no rule and is allowed.  Repeated rows and null page ids are judged
@@ -37,8 +40,10 @@ PATTERNS = (
     ("/cart^", "block"), ("/checkout^", "block"), ("/signup^", "block"), (".exe|", "block"), (".zip|", "block"), (".apk|", "block"),
     ("||ads.", "block"), ("||adserver.", "block"), ("/ads/", "block"), ("||doc.*/login^", "allow"), ("/docs/login^", "allow"),
 )
-#: A rule table of at most this many rows is broadcast, a larger one shuffled.
+#: An index of at most this many rules is broadcast, a larger one shuffled.
 MAX_BROADCAST_RULES = 100_000
+#: A token is dealt in shares when it makes up more than this part of all tokens.
+SHARE = 1000
 _TOKEN = "[a-z0-9%]+"
 
 
@@ -83,10 +88,31 @@ DEFAULT_RULES = tuple(Rule(t, v, True) for t, v in LISTED) + tuple(Rule(t, v) fo
 
 
 def rule_table(spark: SparkSession, rules) -> DataFrame:
-    rows = [F.struct(F.lit(r.text).alias("rule"), F.lit(r.verdict).alias("verdict"), F.lit(r.listed).alias("listed"),
-                     F.lit(r.regex()).alias("regex"), F.array(*[F.lit(t) for t in r.tokens()]).cast("array<string>").alias("literals")) for r in rules]
-    empty = "array<struct<rule:string,verdict:string,listed:boolean,regex:string,literals:array<string>>>"
-    return spark.range(1).select(F.inline(F.array(*rows).cast(empty)))
+    """``rule, verdict, listed`` of a list of :class:`Rule`."""
+    return spark.createDataFrame([(r.text, r.verdict, r.listed) for r in rules], "rule string, verdict string, listed boolean")
+
+
+def compile_rules(rules: DataFrame) -> DataFrame:
+    """``rule, verdict, listed, regex, literals`` of a table of rules (``listed``
+    may be missing: false); null and repeated rules go.  As
+    :meth:`Rule.regex` and :meth:`Rule.tokens`."""
+    listed = F.coalesce(F.col("listed"), F.lit(False)) if "listed" in rules.columns else F.lit(False)
+    r = rules.select("rule", "verdict", listed.alias("listed")).filter(F.col("rule").isNotNull()).dropDuplicates()
+    p = F.when(F.col("listed"), F.concat(F.lit("||"), "rule")).otherwise(F.col("rule"))
+    host, start = p.startswith("||"), p.startswith("|")
+    core = F.regexp_replace(p, r"^\|\|?", "")
+    end = core.endswith("|")
+    core = F.when(end, F.regexp_replace(core, r"\|$", "")).otherwise(core)
+    # ASCII signs but * and ^ stand for themselves
+    plain = F.regexp_replace(core, r"([!-)+-/:-@\[-\]_`{-~])", r"\\$1")
+    body = F.replace(F.replace(plain, F.lit("*"), F.lit(".*")), F.lit("^"), F.lit(r"(?:[^a-zA-Z0-9_.%-]|$)"))
+    head = F.when(host, F.lit(r"^//(?:[^/?#]*\.)?")).when(start, F.lit("^//")).otherwise("")
+    regex = F.concat(F.when(F.col("listed"), F.lit("")).otherwise("(?i)"), head, body, F.when(end, F.lit("$")).otherwise(""))
+    # an open side may go on with the same token, as beside a *
+    side = lambda anchored: F.when(anchored, F.lit(" ")).otherwise("*")
+    bounded = F.concat(side(start), F.lower(F.regexp_replace(p, r"^\|+|\|+$", "")), side(end))
+    literals = F.array_distinct(F.regexp_extract_all(bounded, F.lit(r"(?<![a-z0-9%*])[a-z0-9%]+(?![a-z0-9%*])"), F.lit(0)))
+    return r.select("rule", "verdict", "listed", regex.alias("regex"), literals.alias("literals"))
 
 
 def address(pages: DataFrame, url_col: str = "url") -> DataFrame:
@@ -103,12 +129,15 @@ def address(pages: DataFrame, url_col: str = "url") -> DataFrame:
     return d.withColumn("__tokens", F.when(F.col("__address") != "", F.array_union(F.array(F.lit("")), tokens)).otherwise(F.array().cast("array<string>")))
 
 
-def index_rules(addresses: DataFrame, rules: DataFrame) -> DataFrame:
-    """``rules`` with ``token``: the literal held by the fewest addresses, or the
-    empty token, which every address has."""
-    literals = rules.select(F.explode("literals").alias("token")).distinct()
-    seen = (addresses.select(F.explode("__tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-            .join(literals, "token", "right"))
+def token_counts(addresses: DataFrame) -> DataFrame:
+    """``token, n``: the addresses that hold each token."""
+    return addresses.select(F.explode("__tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+
+
+def index_rules(seen: DataFrame, rules: DataFrame) -> DataFrame:
+    """The compiled ``rules`` with ``token``: the literal held by the fewest
+    addresses (``seen``: as by :func:`token_counts`), or the empty token, which
+    every address has."""
     per_rule = rules.select("rule", "verdict", "listed", "regex", F.explode_outer("literals").alias("token"))
     ranked = per_rule.join(seen, "token", "left")
     rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("token", F.lit("")).alias("token")))
@@ -116,18 +145,33 @@ def index_rules(addresses: DataFrame, rules: DataFrame) -> DataFrame:
         "rule", "verdict", "listed", "regex", F.col("r.token").alias("token"))
 
 
+def _candidates(tokens: DataFrame, index: DataFrame, seen: DataFrame) -> DataFrame:
+    """``tokens`` (rows with ``token``) joined with their rules of an index too
+    large to be broadcast.  Fewer than ``SHARE`` tokens are common, by counting;
+    their rows are dealt in shares, and each share gets the token's rules."""
+    most = (seen.agg(F.sum("n")).first()[0] or 0) // SHARE + 1
+    common = F.broadcast(seen.filter(F.col("n") > most).select("token", F.ceil(F.col("n") / most).cast("int").alias("__shares")))
+    one = F.coalesce("__shares", F.lit(1))
+    left = tokens.join(common, "token", "left").withColumn("__share", F.pmod(F.xxhash64("__row"), one).cast("int"))
+    right = index.join(common, "token", "left").withColumn("__share", F.explode(F.sequence(F.lit(0), one - 1)))
+    return left.drop("__shares").join(right.drop("__shares"), ["token", "__share"])
+
+
 def judge(pages: DataFrame, rules=DEFAULT_RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """``page_id, host, path, rule, pattern, verdict`` of every row; ``rule`` is the
-    listed rule that decided, ``pattern`` the method's."""
-    spark = pages.sparkSession
+    listed rule that decided, ``pattern`` the method's.  ``rules`` are a DataFrame
+    (rule, verdict and, if wanted, listed) or a list of :class:`Rule`."""
     a = address(pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url")))
     a = materialise(a.select("page_id", "__host", "__path", "__address", "__tokens", F.monotonically_increasing_id().alias("__row")), "addresses")
-    table = rule_table(spark, rules)
-    index = materialise(index_rules(a, table), "rule-index")
-    if len(rules) <= MAX_BROADCAST_RULES:
-        index = F.broadcast(index)
-    fits = (a.select("__row", "__address", F.explode("__tokens").alias("token")).join(index, "token")
-            .filter(F.rlike(F.col("__address"), F.col("regex"))))
+    rules = rules if isinstance(rules, DataFrame) else rule_table(pages.sparkSession, rules)
+    seen = materialise(token_counts(a), "token-counts")
+    index = materialise(index_rules(seen, compile_rules(rules)), "rule-index")
+    tokens = a.select("__row", "__address", F.explode("__tokens").alias("token"))
+    if index.count() <= MAX_BROADCAST_RULES:
+        pairs = tokens.join(F.broadcast(index), "token")
+    else:
+        pairs = _candidates(tokens, index, seen)
+    fits = pairs.filter(F.rlike(F.col("__address"), F.col("regex")))
     best = fits.groupBy("__row").agg(F.max(F.struct("listed", F.length("rule").alias("n"), "rule", "verdict")).alias("best"))
     out = a.select("__row", "page_id", "__host", "__path").join(best, "__row", "left")
     return out.select("page_id", F.col("__host").alias("host"), F.col("__path").alias("path"),
