@@ -5,7 +5,10 @@ is the unlabelled text, which holds toxic ones too.  A linear model
 over hashed features is trained in numpy on the non-negative risk
 ``pi * R_p(+) + max(0, R_u(-) - pi * R_p(-))`` with the sigmoid loss; where the
 estimated negative risk falls below zero the step goes the other way.  ``pi``,
-the class prior, is the toxic share of labelled training rows unless given.
+the class prior, is the toxic share of labelled training rows unless given.  The
+risk is not convex: descent starts from the features' log-likelihood ratios, cut
+to a small range, with the bias of least risk, and the weights of least risk on
+its way are taken.
 
 The model is fitted on at most ``POSITIVES`` and ``UNLABELLED`` documents, drawn
 by hash (a documented bound); every document is scored over its whole text.
@@ -36,9 +39,11 @@ BUCKETS = 1 << 20
 #: Most documents the model is fitted on.
 POSITIVES, UNLABELLED = 4000, 12000
 #: Most features the model has, and the least likelihood ratio of one.
-FEATURES, MIN_RATIO = 1000, 30.0
+FEATURES, MIN_RATIO = 1000, 15.0
+#: Weights at the start are log-likelihood ratios between 0 and this.
+START = 1.0
 #: Steps over the whole sample: the correction is sound where the risks are, not in small batches.
-STEPS, RATE = 400, 0.05
+STEPS, RATE = 300, 0.02
 BETA, GAMMA = 0.0, 1.0
 _STRIP = ".,;:!?\"'()[]{}<>«»¡¿*#$%&|-_/\\"
 
@@ -82,65 +87,94 @@ class Model:
         return w
 
 
-_MIXERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
-
-
 def distinct_rows(rows: list[np.ndarray]) -> list[np.ndarray]:
-    """Rows that share no pair of minhash values (of three pairs) with an earlier
-    one, so that near copies don't pass for independent evidence."""
+    """Rows of other features than every earlier one, so that copies don't pass
+    for independent evidence; empty ones go."""
     seen, out = set(), []
     for r in rows:
-        if not len(r):
-            continue
-        x = (r.astype(np.uint64) + np.uint64(1)) * _MIXERS[:, None]
-        h = ((x ^ x >> np.uint64(32)) * _MIXERS[0] >> np.uint64(16)).min(axis=1).tolist()
-        keys = {(k, *h[2 * k:2 * k + 2]) for k in range(3)}
-        if seen.isdisjoint(keys):
+        key = np.sort(r).tobytes()
+        if key and key not in seen:
+            seen.add(key)
             out.append(r)
-        seen |= keys
     return out
 
 
 def select_features(pos: list[np.ndarray], unl: list[np.ndarray], most: int) -> np.ndarray:
-    """Buckets held by surely more or fewer positives than unlabelled documents:
-    those with the largest likelihood ratio of the positives' count against a
-    Poisson count at the unlabelled rate."""
+    """Buckets held by surely more positives than unlabelled documents: those with
+    the largest likelihood ratio of the positives' count against a Poisson count
+    at the unlabelled rate, raised where positives are longer."""
     count = lambda rows: np.bincount(np.concatenate(rows), minlength=BUCKETS).astype(float)
+    size = lambda rows: np.mean([len(r) for r in rows])
     k, rate = count(pos), (count(unl) + 0.5) / (len(unl) + 1)
-    mean = rate * len(pos)
-    ratio = 2 * (np.where(k > 0, k * np.log(np.maximum(k, 1) / mean), 0) - (k - mean))
+    mean = rate * len(pos) * max(1.0, size(pos) / size(unl))
+    ratio = np.where(k > mean, 2 * (k * np.log(np.maximum(k, 1) / mean) - (k - mean)), 0.0)
     best = np.argsort(-ratio, kind="stable")[:most]
     return np.sort(best[ratio[best] > MIN_RATIO])
 
 
+class Risk:
+    """The non-negative PU risk of a linear model (weights, then the bias) over
+    sparse binary features; positives come first in ``rows``."""
+
+    def __init__(self, rows: list[np.ndarray], n_pos: int, prior: float):
+        self.flat = np.concatenate(rows).astype(np.int64)
+        self.owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        self.n, self.n_p, self.prior = len(rows), n_pos, prior
+
+    def scores(self, theta: np.ndarray) -> np.ndarray:
+        z = np.bincount(self.owner, theta[self.flat], self.n) + theta[-1]
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+    def negative(self, s: np.ndarray) -> float:
+        """The estimated risk of the negatives, which may fall below zero."""
+        return s[self.n_p:].mean() - self.prior * s[:self.n_p].mean()
+
+    def of(self, s: np.ndarray) -> float:
+        return self.prior * (1 - s[:self.n_p]).mean() + max(0.0, self.negative(s))
+
+    def slope(self, s: np.ndarray, features: int) -> np.ndarray:
+        n_p, n_u = self.n_p, self.n - self.n_p
+        d = s * (1 - s)  # sigmoid loss: l(+) = 1 - s, l(-) = s; bounded, so a prior somewhat off does little
+        if self.negative(s) >= -BETA:
+            g = np.append(-2 * self.prior * d[:n_p] / n_p, d[n_p:] / n_u)
+        else:
+            g = GAMMA * np.append(self.prior * d[:n_p] / n_p, -d[n_p:] / n_u)
+        return np.append(np.bincount(self.flat, g[self.owner], features), g.sum())
+
+
+def first_weights(pos: list[np.ndarray], unl: list[np.ndarray], ids: np.ndarray, prior: float) -> np.ndarray:
+    """Log-likelihood ratios of the features ``ids`` between positives and the
+    rest of the unlabelled documents, between 0 and ``START``."""
+    share = lambda rows, add: (np.bincount(np.concatenate(rows), minlength=BUCKETS)[ids] + add) / (len(rows) + 2 * add)
+    rest = np.maximum(share(unl, 0.0) - prior * share(pos, 0.0), 0.0) + 0.5 / len(unl)
+    return np.clip(np.log(share(pos, 0.5)) - np.log(rest), 0.0, START)
+
+
 def fit_nnpu(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, steps: int = STEPS, rate: float = RATE,
              features: int = FEATURES) -> Model | None:
     """Adam on the non-negative PU risk over sparse binary features."""
     pos, unl = distinct_rows(pos), distinct_rows(unl)
     if not pos or not unl:
         return None
-    docs = pos + unl
     ids = select_features(pos, unl, features)
     slot = np.full(BUCKETS, -1, np.int32)
     slot[ids] = np.arange(len(ids))
-    rows = [r[r >= 0] for r in (slot[d] for d in docs)]
-    flat, owner = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    n_p, n_u = len(pos), len(unl)
-    theta = np.append(np.zeros(len(ids)), -1.0)
+    risk = Risk([r[r >= 0] for r in (slot[d] for d in pos + unl)], len(pos), prior)
+    theta = np.append(first_weights(pos, unl, ids, prior), 0.0)
+    z = np.bincount(risk.owner, theta[risk.flat], risk.n)[len(pos):]
+    starts = [np.append(theta[:-1], -c - 0.5) for c in np.quantile(z, np.linspace(0.5, 0.995, 60))]
+    theta = min(starts, key=lambda t: risk.of(risk.scores(t)))
+    least, best = np.inf, theta
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    for t in range(1, steps + 1):
-        z = np.bincount(owner, theta[flat], len(docs)) + theta[-1]
-        s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        slope = s * (1 - s)  # sigmoid loss: l(+) = 1 - s, l(-) = s; bounded, so a prior somewhat off does little
-        if s[n_p:].mean() - prior * s[:n_p].mean() >= -BETA:
-            g = np.append(-2 * prior * slope[:n_p] / n_p, slope[n_p:] / n_u)
-        else:
-            g = GAMMA * np.append(prior * slope[:n_p] / n_p, -slope[n_p:] / n_u)
-        grad = np.append(np.bincount(flat, g[owner], len(ids)), g.sum())
+    for t in range(1, steps + 2):
+        s = risk.scores(theta)
+        if t % 10 == 1 and (now := risk.of(s)) < least:
+            least, best = now, theta.copy()
+        grad = risk.slope(s, len(ids))
         m += 0.1 * (grad - m)
         v += 0.001 * (grad * grad - v)
-        theta -= rate * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
-    return Model(ids.astype(np.int32), theta[:-1].astype(np.float32), float(theta[-1]))
+        theta = theta - rate * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
+    return Model(ids.astype(np.int32), best[:-1].astype(np.float32), float(best[-1]))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", prior: float | None = None,

@@ -1,6 +1,10 @@
+import math
 import random
 import zlib
 
+import numpy as np
+import pytest
+
 from tessellate.llm import toxicity as T
 
 from .conftest import ODD
@@ -51,3 +55,57 @@ def test_features_read_whole_texts():
     read = T.FeatureReader(keep=3)
     assert set(read("x " * 100_000 + "blarg")) >= set(T.word_features("blarg"))
     assert set(read("Blarg!")) == set(read("blarg")) and len(read(None)) == 0
+
+
+def _fitted():
+    rows, toxic = _corpus(600)
+    read = T.FeatureReader()
+    pos = [read(t) for i, t in rows if toxic[i] and i % 3]
+    return rows, toxic, pos, [read(t) for _, t in rows]
+
+
+def test_scores_equal_brute_force(make_docs):
+    rows, _, pos, unl = _fitted()
+    model = T.fit_nnpu(pos, unl, 0.125)
+    weight = dict(zip(model.ids.tolist(), model.weights.tolist()))
+    docs = rows[:80] + [(5000 + i, t) for i, (_, t) in enumerate(ODD)]
+    got = {r.doc_id: r.verdict for r in T.score(make_docs(docs), model, out="verdict").collect()}
+    for i, t in docs:
+        held = {f for w in (t or "").lower().split() for f in T.word_features(w)}
+        z = model.bias + sum(weight.get(f, 0.0) for f in held)
+        assert abs(got[i] - 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))) < 1e-6
+
+
+def test_risk_and_its_slope_equal_the_formula():
+    rnd = np.random.default_rng(2)
+    rows = [np.flatnonzero(rnd.random(6) < 0.5) for _ in range(30)]
+    risk, prior = T.Risk(rows, 8, 0.3), 0.3
+    sig = lambda z: 1 / (1 + math.exp(-z))
+    for sign in (1, -1):  # the estimated negative risk above and below zero
+        theta = rnd.normal(size=7) - 2 * (sign < 0)
+        if sign < 0:
+            theta[:6] = 3 * np.array([x[0] if len(x) else 1 for x in np.array_split(np.bincount(np.concatenate(rows[:8]), minlength=6) - np.bincount(np.concatenate(rows[8:]), minlength=6) / 3, 6)])
+        s = [sig(sum(theta[r]) + theta[-1]) for r in rows]
+        neg = np.mean(s[8:]) - prior * np.mean(s[:8])
+        assert risk.of(risk.scores(theta)) == pytest.approx(prior * (1 - np.mean(s[:8])) + max(0.0, neg))
+
+        def value(t):
+            s = risk.scores(t)
+            return prior * (1 - s[:8]).mean() + risk.negative(s) if risk.negative(s) >= 0 else -risk.negative(s)
+
+        step = 1e-6 * np.eye(7)
+        near = [(value(theta + e) - value(theta - e)) / 2e-6 for e in step]
+        assert risk.slope(risk.scores(theta), 6) == pytest.approx(near, abs=1e-5)
+
+
+def test_the_fit_does_not_hang_on_the_bound_of_features(monkeypatch):
+    """More and weaker features, copies and another order leave the verdicts as they are."""
+    rows, toxic, pos, unl = _fitted()
+    read = T.FeatureReader()
+    right = []
+    for least, p, u in ((15.0, pos, unl), (5.0, pos, unl), (15.0, pos[::-1] + pos[:5] * 20, unl[::-1] + unl[:9] * 30)):
+        monkeypatch.setattr(T, "MIN_RATIO", least)
+        m = T.fit_nnpu(p, u, 0.125)
+        w = m.dense()
+        right.append(np.mean([(w[read(t)].sum() + m.bias >= 0) == toxic[i] for i, t in rows]))
+    assert min(right) > 0.97
