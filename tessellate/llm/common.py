@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,17 +90,29 @@ def same_columns(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[F.col("`" + c.replace("`", "``") + "`") for c in names])
 
 
+def with_place(docs: DataFrame, file: str, row: str) -> DataFrame:
+    """``docs`` with the file and the row in it that each row comes from.  A
+    DataFrame that is not read straight from files is written first."""
+    place = lambda d: d.withColumn(file, F.col("_metadata.file_path")).withColumn(row, F.col("_metadata.row_index"))
+    if "_metadata" not in docs.columns:
+        try:
+            return place(docs)
+        except AnalysisException:
+            pass
+    taken = docs.withColumnRenamed("_metadata", free_name(docs, "__metadata")) if "_metadata" in docs.columns else docs
+    return place(materialise(taken, "rows")).toDF(*docs.columns, file, row)
+
+
 def keep_rows(docs: DataFrame, keepers: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` whose :func:`row_key` is in ``keepers`` (one column
     ``row_key``, unique), one of each set of repeated rows, with the columns of
-    ``docs``.  One shuffle; the row number reuses the join's order."""
-    from pyspark.sql import Window
-
-    k, n = free_name(docs, "__row_key"), free_name(docs, "__row_no")
-    d = docs.withColumn(k, row_key(docs[id_col], docs[text_col]))
-    j = d.join(keepers.select(F.col("row_key").alias(k)), k)
-    first = j.withColumn(n, F.row_number().over(Window.partitionBy(k).orderBy(k)))
-    return same_columns(first.filter(F.col(n) == 1), docs.columns)
+    ``docs``.  Keys are combined before they are shuffled, and whole rows meet
+    their place in the files, which no other row has: no key is hot."""
+    file, row = free_name(docs, "__file"), free_name(docs, "__row")
+    d = with_place(docs, file, row)
+    first = d.groupBy(row_key(d[id_col], d[text_col]).alias("row_key")).agg(F.min(F.struct(F.col(file), F.col(row))).alias("at"))
+    kept = materialise(first.join(keepers.select("row_key"), "row_key").select(F.col(f"at.{file}").alias(file), F.col(f"at.{row}").alias(row)), "kept-rows")
+    return same_columns(d.join(kept, [file, row], "left_semi"), docs.columns)
 
 
 def by_bytes(batches, column: int, limit: int):
