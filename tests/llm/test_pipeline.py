@@ -26,5 +26,5 @@ def test_run_packs_only_given_documents(spark):
 def test_queries_are_registered():
     import __spark_entry__ as E
     q, sql = E.queries(), E.oracle_sql()
-    assert {int(k[2:].split("_")[0]) for k in q if k.startswith("op")} == set(range(1, 11)) and "pipeline" in q
+    assert {int(k[2:].split("_")[0]) for k in q if k.startswith("op")} == set(range(1, 14)) and "pipeline" in q
     assert "op10_exact_dedup" in sql and "op6_url_filters" in sql
