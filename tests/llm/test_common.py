@@ -43,19 +43,3 @@ def test_components_against_union_find(spark, monkeypatch, limit):
     alone = {a for a, b in edges if a == b}
     assert {k: v for k, v in got.items()} == {x: find(x) for x in parent if x in got} and set(parent) - set(got) <= alone
     assert connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
-
-
-def test_rows_are_kept_by_their_place_in_files(spark, make_docs, tmp_path):
-    """A third of the rows under one key, also where docs are read from files and
-    where a column has the name of the files' own."""
-    rows = [(None, "same text") if i % 3 == 0 else (i, f"text {i % 50}") for i in range(300)] + [(7, "x"), (7, "y"), (7, "x")]
-    docs = make_docs(rows)
-    docs.repartition(4).write.parquet(str(tmp_path / "d"))
-    want = sorted(map(str, set(rows)))
-    for d in (docs, spark.read.parquet(str(tmp_path / "d")), docs.withColumn("_metadata", F.lit("own")), docs.filter("doc_id > 5").limit(20)):
-        keys = d.select(C.row_key(F.col("doc_id"), F.col("text")).alias("row_key")).distinct()
-        out = C.keep_rows(d, keys)
-        assert out.columns == d.columns and "Window" not in out._jdf.queryExecution().executedPlan().toString()
-        got = sorted(str((r.doc_id, r.text)) for r in out.collect())
-        assert got == want if d.columns[-1] == "_metadata" or len(got) > 20 else len(got) == len(set(got))
-    assert C.keep_rows(docs, keys.limit(0)).count() == 0
