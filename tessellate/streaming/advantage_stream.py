@@ -127,8 +127,9 @@ class StepBuffer(StatefulProcessor):
 def whole_steps(source: DataFrame, size: str | None = None, shards: int = 1, patience: int = 0) -> DataFrame:
     """The rollouts of ``source`` with their summed reward, each step in one
     micro-batch.  ``size`` names a column with the number of rows of the step
-    (steps then arrive in order); without it a step waits for one that is more
-    than ``patience`` steps later, and may be spread over ``shards`` tasks."""
+    (steps then arrive in order; one that lacks rows goes on with the rows it has
+    when later steps come); without it a step waits for one that is more than
+    ``patience`` steps later, and may be spread over ``shards`` tasks."""
     if size is not None and shards != 1:
         raise ValueError("the rows of a step are counted together: shards = 1")
     text = lambda c: F.col(c).cast("string").alias(c)  # noqa: E731  (beside a null, pandas would make ids floats)
@@ -154,7 +155,7 @@ def advantage_stream(spark: SparkSession, source: DataFrame, out_dir: str, state
 
     w = whole_steps(source, size, shards, patience).writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if trigger_once else w
-    with rocksdb(spark):
+    with rocksdb(spark, timers=size is None):
         return w.start()
 
 

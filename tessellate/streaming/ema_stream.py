@@ -22,18 +22,22 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from .ema import Ema
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_NO_DATA = "spark.sql.streaming.noDataMicroBatches.enabled"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 @contextmanager
-def rocksdb(spark):
-    """Queries started inside keep their state in RocksDB, as keyed state needs."""
-    before = spark.conf.get(_PROVIDER)
+def rocksdb(spark, timers: bool = False):
+    """Queries started inside keep their state in RocksDB, as keyed state needs;
+    they run micro-batches without data only where ``timers`` wait for these."""
+    before = {k: spark.conf.get(k) for k in (_PROVIDER, _NO_DATA)}
     spark.conf.set(_PROVIDER, ROCKSDB)
+    spark.conf.set(_NO_DATA, str(timers).lower())
     try:
         yield
     finally:
-        spark.conf.set(_PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 class EmaProcessor(StatefulProcessor):
