@@ -29,6 +29,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import write_once
 from ..sources.sinks import rebalanced
 from ..streaming.ema import Ema, ema_folds, ema_scan
 from .batching import global_row_number
@@ -279,19 +280,22 @@ def group_relative_advantage(rollouts: DataFrame, cfg: AdvantageConfig = Advanta
                              state: DataFrame | None = None, with_state: bool = False, hold=lambda d: d):
     """ADV-11: the full per-rollout advantage table.
 
-    ``hold`` is applied to each table that is read more than once; a caller that
-    runs several actions passes a writer, which cuts the plan, too.
+    The rollouts with their signals are written once, since four aggregations and
+    the result read them.  ``hold`` is applied to the small tables that are read
+    more than once; a caller that runs several actions passes a writer, which cuts
+    the plan, too.
 
     Columns: step, rollout_id, qid, task, dataset, raw, scaled, adv (after
     group normalisation), r, task_scale, question_scale, advantage.
     """
     base = rollouts.select("step", "rollout_id", "qid", "task", "dataset", "token_rewards")
-    df = hold(group_norm(minmax_scale(rollout_reward(base), cfg), cfg))
+    df = group_norm(minmax_scale(rollout_reward(base), cfg), cfg)
     stats = None
     if cfg.mode == "z_score":
+        df = write_once(df, "normed_rollouts")
         init = None if state is None else state.select(F.col("task").alias("key"), *[F.col(c) for c in STAT_STATE])
         stats = hold(group_stats(df, "task", "adv", cfg, state=init))
-    df = hold(responsibility(df, cfg, stats=stats))
+    df = write_once(responsibility(df.drop("token_rewards"), cfg, stats=stats), "rollout_signals")
     means = hold(question_means(df, cfg))
     dens = hold(task_density(hold(task_signals(df, means)), cfg, state))
     ts_full = hold(task_scale(hold(rarity_boost(dens, cfg, state)) if cfg.rarity else rarity_boost(dens, cfg, state), cfg, state))
@@ -299,7 +303,7 @@ def group_relative_advantage(rollouts: DataFrame, cfg: AdvantageConfig = Advanta
     out = join_back(join_back(df, means, ["step", "task", "qid"]), ts, ["step", "task"])
     out = out.withColumn("question_scale", F.coalesce(_question_factor(cfg), F.lit(1.0)))
     out = out.withColumn("advantage", F.col("adv") * F.col("task_scale") * F.col("question_scale")) \
-             .drop("token_rewards", "m", "nq", "log_mbar", "mbar")
+             .drop("m", "nq", "log_mbar", "mbar")
     if not with_state:
         return out
     carried = "log_mult_ema" if cfg.scaling == "geom" else "task_scale"

@@ -9,19 +9,20 @@ shuffled is at most ``DIGIT`` bits of counts per group and task.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import write_once
 
 #: Bits of a digit.
-DIGIT = 12
+DIGIT = 18
 _FLIP = np.int64(0x7FFF_FFFF_FFFF_FFFF)
 
 
@@ -50,23 +51,24 @@ def kth_smallest(df: DataFrame, group: Sequence[str], value: str, ranks: dict[st
     cols = [F.col(c).alias(n) for c, n in zip(group, names)] or [F.lit(0).alias("_g0")]
     v = F.col(value)
     d = df.select(*cols, F.when(v.isNotNull(), _to_key(F.coalesce(v.cast("double"), F.lit(0.0)))).alias("_v") if real else v.cast("bigint").alias("_v"))
-    sizes = write_once(d.groupBy(*names).agg(F.count(F.lit(1)).alias(count), F.count("_v").alias("_there"),
-                                             F.min("_v").alias("_lo"), F.max("_v").alias("_hi")), "select_sizes")
     steps = list(range(0, 64, 4))
     wide = [F.max(F.coalesce(F.expr(f"try_subtract(shiftright(_hi, {s}), shiftright(_lo, {s}))"),
-                             F.when(F.col("_lo").isNotNull(), F.lit(1 << 62)).otherwise(0))) for s in steps]
-    most = sizes.agg(*wide).first()
-    shift = next(s for s, w in zip(steps, most) if (w or 0) < 1 << DIGIT)
+                             F.when(F.col("_lo").isNotNull(), F.lit(1 << 62)).otherwise(0))).alias(f"w{s}") for s in steps]
+    most = Observation(f"select-{uuid.uuid4().hex}")
+    sizes = write_once(d.groupBy(*names).agg(F.count(F.lit(1)).alias(count), F.count("_v").alias("_there"),
+                                             F.min("_v").alias("_lo"), F.max("_v").alias("_hi")).observe(most, *wide), "select_sizes")
+    shift = next(s for s in steps if (most.get[f"w{s}"] or 0) < 1 << DIGIT)
     # ranks among the values that are there
     asked = F.array(*[F.struct(F.lit(q).alias("_q"), (k.cast("bigint") - (F.col(count) - F.col("_there"))).alias("_k")) for q, k in ranks.items()])
     todo = sizes.select(*names, F.inline(asked)).filter("_k >= 1")
     hist = d.filter("_v IS NOT NULL").groupBy(*names, F.shiftright("_v", shift).alias("_d")).agg(F.count(F.lit(1)).alias("_c"))
-    found = write_once(_digit(todo, hist, names), "select_digit")
+    found = _digit(todo, hist, names)
     while shift:
+        found = write_once(found, "select_digit")
         below = max(0, shift - DIGIT)
         rows = _join(d, found.select(*names, "_q", F.col("_d").alias("_p")), names).filter(F.shiftright("_v", shift) == F.col("_p"))
         hist = rows.groupBy(*names, "_q", F.shiftright("_v", below).alias("_d")).agg(F.count(F.lit(1)).alias("_c"))
-        found = write_once(_digit(found.drop("_d"), hist, [*names, "_q"]), "select_digit")
+        found = _digit(found.drop("_d"), hist, [*names, "_q"])
         shift = below
     got = F.map_from_entries(F.collect_list(F.struct("_q", "_d")))
     out = _join(sizes, found.groupBy(*names).agg(got.alias("_m")), names, "left")
