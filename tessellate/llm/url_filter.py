@@ -88,8 +88,10 @@ DEFAULT_RULES = tuple(Rule(t, v, True) for t, v in LISTED) + tuple(Rule(t, v) fo
 
 
 def rule_table(spark: SparkSession, rules) -> DataFrame:
-    """``rule, verdict, listed`` of a list of :class:`Rule`."""
-    return spark.createDataFrame([(r.text, r.verdict, r.listed) for r in rules], "rule string, verdict string, listed boolean")
+    """``rule, verdict, listed`` of a short list of :class:`Rule`, as literals of the
+    plan; long lists come as a table."""
+    rows = [F.struct(F.lit(r.text).alias("rule"), F.lit(r.verdict).alias("verdict"), F.lit(r.listed).alias("listed")) for r in rules]
+    return spark.range(1).select(F.inline(F.array(*rows).cast("array<struct<rule:string,verdict:string,listed:boolean>>")))
 
 
 def compile_rules(rules: DataFrame) -> DataFrame:
