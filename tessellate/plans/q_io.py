@@ -391,13 +391,21 @@ def str01b(spark, sf_dir):
     return finish(spark.read.parquet(f"{base}/out").select("run", "epoch", "ema_first", "ema_zero"))
 
 
+def _in_files(df, path: str, parts: int = 4) -> int:
+    """Write ``df`` as ``parts`` files or more, each task its own rows as they come:
+    nothing is shuffled, nor sorted in memory as before a round-robin.  Returns how
+    many files make a micro-batch, so that there are ``parts`` of these or more."""
+    df.write.mode("overwrite").option("maxRecordsPerFile", max(1, -(-df.count() // parts))).parquet(path)
+    return max(1, len(df.sparkSession.read.schema(df.schema).parquet(path).inputFiles()) // parts)
+
+
 @query("str03_metric_stream", """
 SELECT dataset, y_true, y_pred, count(*) AS n FROM preds GROUP BY 1, 2, 3""", ("preds",))
 def str03(spark, sf_dir):
     """Confusion cells counted over a stream of prediction files."""
     base = scratch_path(spark, "metric_stream")
     p = X.preds(spark, sf_dir)
-    p.repartition(4).write.mode("overwrite").parquet(f"{base}/src")
-    src = spark.readStream.schema(p.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/src")
+    files = _in_files(p, f"{base}/src")
+    src = spark.readStream.schema(p.schema).option("maxFilesPerTrigger", files).parquet(f"{base}/src")
     ST.metric_stream(src, f"{base}/cells", f"{base}/ckpt").awaitTermination()
     return ST.current_cells(spark, f"{base}/cells")

@@ -90,3 +90,22 @@ def test_fold_of_long_histories_and_bounds(spark):
         a = 0.9 * (x if a is None else a) + 0.1 * x
         b = min(2.0, max(1.0, 0.5 * b + 0.5 * x))
         assert got[i] == (pytest.approx(a), pytest.approx(b))
+
+
+def test_metric_stream_is_fed_rows_as_they_come(spark, monkeypatch):
+    """The files of the stream are cut from the input without a shuffle, whose
+    round-robin sorts each task's rows in memory."""
+    from tessellate.plans import q_io
+
+    d, base = tempfile.mkdtemp(prefix="feed-"), tempfile.mkdtemp(prefix="metric-")
+    rows = spark.range(0, 1003, 1, 1).selectExpr("id AS l_orderkey", "id AS l_partkey", "id % 10 AS l_suppkey", "CAST(0 AS INT) AS l_linenumber",
+                                                 "IF(id % 50 = 0, NULL, 'ANR') AS l_returnflag")
+    rows.write.mode("overwrite").parquet(f"{d}/lineitem.parquet")
+    monkeypatch.setattr(q_io, "scratch_path", lambda spark, name: base)
+    got = q_io.str03(spark, d)
+    assert sum(r.n for r in got.collect()) == 1003
+    files = spark.read.parquet(f"{base}/src").inputFiles()
+    parts = [[r.y_true for r in spark.read.parquet(f).collect()] for f in files]
+    assert len(parts) == 4 and sorted(map(len, parts)) == [250, 251, 251, 251]
+    assert all(b == (a + 1) % 7 for p in parts for a, b in zip(p, p[1:]))  # rows that follow each other in the input
+    assert ST.latest_version(spark, f"{base}/cells") == 3  # a micro-batch each
