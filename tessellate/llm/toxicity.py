@@ -24,6 +24,7 @@ Extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -89,23 +90,30 @@ class Model:
 
 def distinct_rows(rows: list[np.ndarray]) -> list[np.ndarray]:
     """Rows of other features than every earlier one, so that copies don't pass
-    for independent evidence; empty ones go."""
+    for independent evidence; empty ones go.  Digests of rows are held, not rows."""
     seen, out = set(), []
     for r in rows:
-        key = np.sort(r).tobytes()
-        if key and key not in seen:
+        key = hashlib.blake2b(np.sort(r), digest_size=16).digest()
+        if len(r) and key not in seen:
             seen.add(key)
             out.append(r)
     return out
 
 
+def counts(rows: list[np.ndarray]) -> np.ndarray:
+    """How many rows hold each bucket, some rows at a time: no copy of all is made."""
+    total = np.zeros(BUCKETS, np.int64)
+    for i in range(0, len(rows), 500):
+        total += np.bincount(np.concatenate(rows[i:i + 500]), minlength=BUCKETS)
+    return total
+
+
 def select_features(pos: list[np.ndarray], unl: list[np.ndarray], most: int) -> np.ndarray:
     """Buckets held by surely more positives than unlabelled documents: those with
     the largest likelihood ratio of the positives' count against a Poisson count
     at the unlabelled rate, raised where positives are longer."""
-    count = lambda rows: np.bincount(np.concatenate(rows), minlength=BUCKETS).astype(float)
     size = lambda rows: np.mean([len(r) for r in rows])
-    k, rate = count(pos), (count(unl) + 0.5) / (len(unl) + 1)
+    k, rate = counts(pos).astype(float), (counts(unl) + 0.5) / (len(unl) + 1)
     mean = rate * len(pos) * max(1.0, size(pos) / size(unl))
     ratio = np.where(k > mean, 2 * (k * np.log(np.maximum(k, 1) / mean) - (k - mean)), 0.0)
     best = np.argsort(-ratio, kind="stable")[:most]
@@ -145,7 +153,7 @@ class Risk:
 def first_weights(pos: list[np.ndarray], unl: list[np.ndarray], ids: np.ndarray, prior: float) -> np.ndarray:
     """Log-likelihood ratios of the features ``ids`` between positives and the
     rest of the unlabelled documents, between 0 and ``START``."""
-    share = lambda rows, add: (np.bincount(np.concatenate(rows), minlength=BUCKETS)[ids] + add) / (len(rows) + 2 * add)
+    share = lambda rows, add: (counts(rows)[ids] + add) / (len(rows) + 2 * add)
     rest = np.maximum(share(unl, 0.0) - prior * share(pos, 0.0), 0.0) + 0.5 / len(unl)
     return np.clip(np.log(share(pos, 0.5)) - np.log(rest), 0.0, START)
 
@@ -209,7 +217,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return [np.frombuffer(x.as_buffer(), np.int32) for x in got]
 
     p, u = read(pos, positives), read(unl, unlabelled)
-    return fit_nnpu(p, u, prior) if p and u else None
+    model = fit_nnpu(p, u, prior) if p and u else None
+    del p, u
+    pa.default_memory_pool().release_unused()  # the rows' memory, which the driver would keep for the rest of the job
+    return model
 
 
 def score(docs: DataFrame, model: Model | None, text_col: str = "text", out: str = "score") -> DataFrame:

@@ -43,3 +43,10 @@ def test_components_against_union_find(spark, monkeypatch, limit):
     alone = {a for a, b in edges if a == b}
     assert {k: v for k, v in got.items()} == {x: find(x) for x in parent if x in got} and set(parent) - set(got) <= alone
     assert connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_rounds_of_few_edges_leave_the_driver_alone(spark):
+    e = spark.range(50).selectExpr("id + 1 AS a", "id AS b")
+    plan = components._round(e, 50, True)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan and "Broadcast" not in plan and "Exchange" not in plan
+    assert components._round(e, 50, True).count() > 0

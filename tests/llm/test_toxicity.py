@@ -109,3 +109,19 @@ def test_the_fit_does_not_hang_on_the_bound_of_features(monkeypatch):
         w = m.dense()
         right.append(np.mean([(w[read(t)].sum() + m.bias >= 0) == toxic[i] for i, t in rows]))
     assert min(right) > 0.97
+
+
+def test_fitting_holds_no_second_copy_of_the_rows():
+    """Drawn rows are told apart and counted in a fraction of the memory they take."""
+    import tracemalloc
+
+    rnd = np.random.default_rng(5)
+    rows = [rnd.integers(0, T.BUCKETS, 4000).astype(np.int32) for _ in range(3000)]  # 48 MB
+    rows += [rows[0][::-1].copy(), np.empty(0, np.int32)]
+    tracemalloc.start()
+    kept = T.distinct_rows(rows)
+    n = T.counts(kept)
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert len(kept) == 3000 and (n == np.bincount(np.concatenate(kept), minlength=T.BUCKETS)).all()
+    assert peak < 40
