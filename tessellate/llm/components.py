@@ -36,7 +36,7 @@ def _round(e: DataFrame, n: int, few: bool) -> DataFrame:
     """The edges after a large-star and a small-star step over ``n`` edges."""
     one = (lambda d: d.coalesce(1)) if few else (lambda d: d)
     cut = (lambda d, name: d) if few else materialise
-    # both sides of the one partition meet there by a merge: nothing goes through the driver as a broadcast
+    # few edges meet by a merge, so that no side goes through the driver as a broadcast
     meet = (lambda left, right, w: left.join(right.hint("merge"), "a")) if few else (lambda left, right, w: join_on_hot_key(left, right, "a", "w", w))
     e = one(e)
     both = cut(one(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))), "cc-both")
