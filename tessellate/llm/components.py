@@ -3,7 +3,7 @@ small-star rounds), with aggregates and bounded joins only."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import join_on_hot_key, materialise
@@ -24,7 +24,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while mark[0]:
         few = mark[0] <= ONE_TASK_EDGES
         e = materialise(_round(e, mark[0], few), "cc-edges")
-        now = _mark(e)
+        now = _mark(e.coalesce(1) if few else e)
         if now == mark:
             break
         mark = now
@@ -34,19 +34,28 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 def _round(e: DataFrame, n: int, few: bool) -> DataFrame:
     """The edges after a large-star and a small-star step over ``n`` edges."""
-    one = (lambda d: d.coalesce(1)) if few else (lambda d: d)
-    cut = (lambda d, name: d) if few else materialise
-    # few edges meet by a merge, so that no side goes through the driver as a broadcast
-    meet = (lambda left, right, w: left.join(right.hint("merge"), "a")) if few else (lambda left, right, w: join_on_hot_key(left, right, "a", "w", w))
-    e = one(e)
-    both = cut(one(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))), "cc-both")
+    if few:
+        return _small_round(e)
+    both = materialise(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))), "cc-both")
     # large star: greater neighbours of a node go to the least of its neighbourhood
-    least = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("w")), "cc-least")
-    large = cut(meet(both.filter("b > a"), least, 2 * n).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "cc-large")
+    least = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("w")), "cc-least")
+    large = materialise(join_on_hot_key(both.filter("b > a"), least, "a", "w", 2 * n).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "cc-large")
     # small star: a node and its lesser neighbours go to the least of them
-    least = cut(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("w")), "cc-least")
-    small = meet(large, least, n).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return one(small.unionByName(least.select("a", F.col("m").alias("b")))).distinct()
+    least = materialise(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("w")), "cc-least")
+    small = join_on_hot_key(large, least, "a", "w", n).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return small.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+
+
+def _small_round(e: DataFrame) -> DataFrame:
+    """The same two steps over few edges, in one partition.  No side goes through
+    the driver as a broadcast, and nothing is written or computed twice, so the
+    plan, which the driver holds, stays small."""
+    pairs = lambda d, *two: d.select(F.inline(F.array(*[F.struct(F.col(a).alias("a"), F.col(b).alias("b")) for a, b in two])))
+    both = pairs(e.coalesce(1), ("a", "b"), ("b", "a"))
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    large = both.filter("b > a").join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    small = large.withColumn("m", F.min("b").over(Window.partitionBy("a")))
+    return pairs(small, ("b", "m"), ("a", "m")).filter("a <> b").distinct()
 
 
 def _mark(e: DataFrame) -> tuple:

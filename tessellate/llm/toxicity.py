@@ -188,7 +188,8 @@ def fit_nnpu(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, steps:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", prior: float | None = None,
           positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model | None:
     """Fit on documents outside the held-out fold; None if nothing can be learned.
-    Only the sampled documents' feature ids reach the driver, a bounded number."""
+    The sampled documents' feature ids, a bounded number, meet in one task; only the
+    model reaches the driver."""
     lab = (labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
            .groupBy(F.col("doc_id").alias("__id")).agg(F.max("toxic").alias("__toxic")))
     n_pos, n_lab = lab.agg(F.sum((F.col("__toxic") == 1).cast("long")), F.count(F.lit(1))).first()
@@ -207,20 +208,35 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     pos = d.join(ids, F.col("id") == F.col("__id")).drop("__id")
     unl = d.filter(drawn("id", unlabelled, n_all))  # of all documents, as the risk estimator asks
 
-    def read(frame, most):
+    def read(frame, most, positive):
         def run(batches):
             reader = FeatureReader()
             for b in as_batches()(batches):
                 yield pa.RecordBatch.from_arrays([pa.array([reader(t).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["f"])
 
-        got = frame.mapInArrow(run, "f binary").limit(most).toArrow().column(0)
-        return [np.frombuffer(x.as_buffer(), np.int32) for x in got]
-
-    p, u = read(pos, positives), read(unl, unlabelled)
-    model = fit_nnpu(p, u, prior) if p and u else None
-    del p, u
-    pa.default_memory_pool().release_unused()  # the rows' memory, which the driver would keep for the rest of the job
-    return model
+        return frame.mapInArrow(run, "f binary").limit(most).select("f", F.lit(positive).alias("positive"))
+
+    # the drawn rows meet in one task and not in the driver, which would keep their memory for the rest of the job
+    both = read(pos, positives, True).unionByName(read(unl, unlabelled, False))
+    got = both.coalesce(1).mapInArrow(fit_batches(prior), "ids array<int>, weights array<float>, bias double").first()
+    return Model(np.array(got.ids, np.int32), np.array(got.weights, np.float32), got.bias) if got else None
+
+
+def fit_batches(prior: float):
+    """A function for ``mapInArrow``: all batches of ``f, positive`` (feature ids and
+    whether the row is a drawn positive) -> a row of the fitted model, or none."""
+    def run(batches):
+        rows = {True: [], False: []}
+        for b in batches:
+            for f, positive in zip(b.column(0), b.column(1).to_pylist()):
+                rows[positive].append(np.frombuffer(f.as_buffer(), np.int32))
+        model = fit_nnpu(rows[True], rows[False], prior) if rows[True] and rows[False] else None
+        if model is not None:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([model.ids], pa.list_(pa.int32())), pa.array([model.weights], pa.list_(pa.float32())), pa.array([model.bias])],
+                names=["ids", "weights", "bias"])
+
+    return run
 
 
 def score(docs: DataFrame, model: Model | None, text_col: str = "text", out: str = "score") -> DataFrame:

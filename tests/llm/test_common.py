@@ -50,3 +50,18 @@ def test_rounds_of_few_edges_leave_the_driver_alone(spark):
     plan = components._round(e, 50, True)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
     assert components._round(e, 50, True).count() > 0
+
+
+def test_rounds_of_few_edges_have_a_small_plan(spark):
+    e = spark.range(50).selectExpr("id + 1 AS a", "id AS b")
+    plan = components._round(e, 50, True)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Range (") <= 2 and plan.count("HashAggregate") <= 8
+
+
+def test_rounds_are_the_same_for_few_and_many_edges(spark):
+    import random
+    rnd = random.Random(11)
+    pairs = {(max(a, b), min(a, b)) for a, b in ((rnd.randrange(80), rnd.randrange(80)) for _ in range(90)) if a != b}
+    e = spark.createDataFrame(sorted(pairs), "a bigint, b bigint")
+    few, many = ({tuple(r) for r in components._round(e, len(pairs), f).collect()} for f in (True, False))
+    assert few == many

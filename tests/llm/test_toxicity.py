@@ -1,4 +1,5 @@
 import math
+import os
 import random
 import zlib
 
@@ -125,3 +126,15 @@ def test_fitting_holds_no_second_copy_of_the_rows():
     tracemalloc.stop()
     assert len(kept) == 3000 and (n == np.bincount(np.concatenate(kept), minlength=T.BUCKETS)).all()
     assert peak < sum(r.nbytes for r in rows) / 1e6
+
+
+def test_drawn_rows_are_fitted_away_from_the_driver(spark, make_docs, monkeypatch):
+    rows, toxic = _corpus(300)
+    labels = spark.createDataFrame([(i, 0, int(toxic[i])) for i, _ in rows], "doc_id bigint, quality int, toxic int")
+    here = T.train(make_docs(rows), labels)
+    assert len(here.ids) == len(here.weights) > 0 and here.ids.dtype == np.int32 and here.weights.dtype == np.float32
+    monkeypatch.setattr(T, "fit_nnpu", lambda pos, unl, prior: T.Model(np.array([len(pos)], np.int32), np.array([len(unl)], np.float32), float(os.getpid())))
+    model = T.train(make_docs(rows), labels)
+    taught = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 5]
+    assert model.ids[0] == sum(toxic[i] for i in taught) and model.weights[0] == len(taught)
+    assert model.bias != os.getpid()
